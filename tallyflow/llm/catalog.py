@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import decontaminate, exact_dedup, line_dedup, sharding
+from tallyflow.llm import decontaminate, exact_dedup, line_dedup, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op3_curve_packing": packing.op3_curve_packing,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
