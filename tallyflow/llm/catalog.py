@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import decontaminate, exact_dedup, langid, line_dedup, packing, sharding, simhash
+from tallyflow.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_curve_packing": packing.op3_curve_packing,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {

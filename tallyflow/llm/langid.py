@@ -80,7 +80,9 @@ def word_scores(weights: np.ndarray, owner: np.ndarray, feature: np.ndarray, wor
 
 
 def words_in(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words; none if there is no letter (number signs alone are no words)."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray):
