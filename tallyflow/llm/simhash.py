@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, documents, row_key, text_bytes, written
 
 WIDTH = 4
 MAX_BITS = 4
@@ -62,14 +62,14 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each row."""
+    """id, rid (a hash of id and text) and fp (the fingerprint as a signed long) of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.array([fingerprint(t, width) for t in text_bytes(batch["text"])], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch["id"], pa.array(values)], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch["id"], batch["rid"], pa.array(values)], names=["id", "rid", "fp"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(by_batch(run), "id long, fp long")
+    slim = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(by_batch(run), "id long, rid long, fp long")
 
 
 def block_masks(max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
@@ -161,18 +161,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """id, fp (signed long) and component_id of each row."""
+def labelled(df: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and (fp, root) of the distinct fingerprints."""
     bounded_batches(df.sparkSession)
     marked = written(fingerprints(df, id_col, text_col, width), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    found = components(links(nodes, max_bits, blocks))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = written(marked.select("fp").distinct(), "nodes")
+    found = components(links(nodes, max_bits, blocks)).withColumnRenamed("node", "fp")
+    return marked, nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """id, fp (signed long) and component_id of each row."""
+    marked, rooted = labelled(df, id_col, text_col, width, max_bits, blocks)
+    least = marked.groupBy("fp").agg(F.min("id").alias("least")).join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``df`` that stay: of each component the one with the least id (null ids last).
+
+    Rows that agree in id and text count as one.
+    """
+    marked, rooted = labelled(df, id_col, text_col, width, max_bits, blocks)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
+    best = marked.groupBy("fp").agg(first.alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    keep = best.select(F.col("best.rid").alias("__tf_rid"))
+    keyed = df.withColumn("__tf_rid", row_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(keep, "__tf_rid", "left_semi").dropDuplicates(["__tf_rid"]).drop("__tf_rid")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
