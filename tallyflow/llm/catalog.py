@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, sharding, simhash
+from tallyflow.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op3_curve_packing": packing.op3_curve_packing,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_line_dedup": line_dedup.op7_line_dedup,
