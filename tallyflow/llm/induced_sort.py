@@ -24,8 +24,8 @@ import numpy as np
 #: Symbols up to which a string of names is sorted by induction.
 FEW_SYMBOLS = 1024
 #: Tuples handled at once, and tuples a queue holds before it moves to disk.
-BATCH = 1 << 21
-HELD = 1 << 19
+BATCH = 1 << 19
+HELD = 1 << 18
 
 
 class DiskQueue:
@@ -44,8 +44,8 @@ class DiskQueue:
             self.file = self.file or tempfile.TemporaryFile()
             at = self.file.seek(0, 2)
             suffixes, common = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            self.file.write(suffixes.astype(np.int64).tobytes())
-            self.file.write(common.astype(np.int16).tobytes())
+            self.file.write(suffixes.astype(np.int64).data)
+            self.file.write(common.astype(np.int16).data)
             self.stored.append((at, len(suffixes)))
             self.parts, self.count = [], 0
 
@@ -79,14 +79,19 @@ class DiskQueue:
                 yield suffixes[::-1], common[::-1]
 
 
+def _place(n: int) -> type:
+    """The narrowest type for places of a text."""
+    return np.int32 if n < (1 << 31) - 1 else np.int64
+
+
 def s_types(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the one after them; the last is not."""
     n = len(text)
     rising = text[:-1] < text[1:]
     differs = np.append(text[:-1] != text[1:], True)
-    following = np.where(differs, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1]
-    return np.append(rising, False)[following]
+    following = np.where(differs, np.arange(n, dtype=_place(n)), n).astype(_place(n), copy=False)[::-1]
+    np.minimum.accumulate(following, out=following)
+    return np.append(rising, False)[following[::-1]]
 
 
 class Induction:
@@ -242,9 +247,9 @@ def sorted_lms(text: np.ndarray, symbols: int, is_s: np.ndarray, cap: int | None
     by_symbol = lms[np.argsort(text[lms], kind="stable")]
     order = induce(text, symbols, is_s, by_symbol, np.zeros(len(lms), np.int16), 1, None)
     # Name equal substrings alike. A substring ends with the next left-most S suffix's first symbol.
-    follow = np.full(len(text), len(text), np.int64)
+    follow = np.full(len(text), len(text), _place(len(text)))
     follow[lms[:-1]] = lms[1:]
-    size = np.minimum(follow[order] + 1, len(text)) - order
+    size = np.minimum(follow[order].astype(np.int64) + 1, len(text)) - order
     a, b = order[:-1], order[1:]
     same = (size[:-1] == size[1:]) & (follow[a] < len(text)) & (follow[b] < len(text))
     check = np.flatnonzero(same)
@@ -253,9 +258,9 @@ def sorted_lms(text: np.ndarray, symbols: int, is_s: np.ndarray, cap: int | None
     name = np.cumsum(np.append(0, ~same))
     if name[-1] == len(lms) - 1:
         return order
-    reduced = np.empty(len(text), np.int64)
-    reduced[order] = name
-    reduced = reduced[lms]
+    follow[order] = name
+    reduced = follow[lms]
+    del follow, size, same, a, b
     if name[-1] < FEW_SYMBOLS:
         return lms[sorted_suffixes(reduced, int(name[-1]) + 1)]
     return lms[doubled(reduced, cap and cap // 2 + 2)]  # a name covers two symbols at least

@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, documents, row_key, text_bytes, written
 from tallyflow.llm.induced_sort import neighbours
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of segments in one shard on average, before equal segments are joined.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 6 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -133,8 +133,8 @@ def _digest(length: int, gram: int):
             [pa.array(columns[0].view(np.int64)), *(pa.array(c.astype(np.int32)) for c in columns[1:])], names=["hash", "first", "stop", "weight"]
         )
         return pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(offsets, struct)],
-            names=["id", "tid", "n_bytes", "sha", "segments"],
+            [batch["id"], batch["rid"], pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(offsets, struct)],
+            names=["id", "rid", "tid", "n_bytes", "sha", "segments"],
         )
 
     return by_batch(run)
@@ -167,14 +167,20 @@ def _cut_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["hash", "tid", "first", "bytes"])
 
 
-def repeated_starts(text: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
-    """Which starts of a text have another start with the same ``length`` bytes; ``room`` is what is left of a start's segment."""
+def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Which starts of a text have another start with the same ``length`` bytes.
+
+    Segments lie end to end, each with one separator; ``ends`` has the places after these.
+    """
     flagged = np.zeros(len(text), bool)
 
+    def fits(starts: np.ndarray) -> np.ndarray:
+        return starts + length < ends[np.searchsorted(ends, starts, "right")]
+
     def pair(first: np.ndarray, second: np.ndarray, common: np.ndarray) -> None:
         long = np.flatnonzero((common >= length) & (first >= 0))
         a, b = first[long], second[long]
-        both = (room[a] >= length) & (room[b] >= length)
+        both = fits(a) & fits(b)
         flagged[a[both]] = True
         flagged[b[both]] = True
 
@@ -192,18 +198,17 @@ def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def _sort_shard(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners: dict[bytes, list[tuple[bytes, int]]] = {}
+        owners: dict[bytes, set[tuple[bytes, int]]] = {}
         for batch in batches:
             for tid, first, own in zip(batch["tid"].to_pylist(), batch["first"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-                owners.setdefault(own, []).append((tid, first))
+                owners.setdefault(own, set()).add((tid, first))
         parts = list(owners)
         if not parts:
             return
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes + 1)
-        text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in parts), np.uint8)
-        room = np.repeat(ends - 1, sizes + 1) - np.arange(len(text))
-        flagged = repeated_starts(text, room, length)
+        text = np.frombuffer(bytes([SEPARATOR]).join([*parts, b""]), np.uint8)
+        flagged = repeated_starts(text, ends, length)
         tids, starts, stops = [], [], []
         for part, size, end in zip(parts, sizes.tolist(), ends.tolist(), strict=True):
             own = owners[part]
@@ -245,27 +250,27 @@ def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digests of all rows (id, tid, n_bytes, sha); one row for each distinct text
-    (tid, id, n, n_bytes); texts with repeats (tid, text, spans)."""
+    (tid, rid, n, n_bytes); texts with repeats (tid, text, spans)."""
     spark = df.sparkSession
     bounded_batches(spark)
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digests = written(slim.mapInArrow(_digest(length, gram), f"id long, tid binary, n_bytes long, sha string, segments {_SEGMENTS}"), "digests")
-    texts = digests.groupBy("tid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("segments").alias("segments"))
+    slim = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    digests = written(slim.mapInArrow(_digest(length, gram), f"id long, rid long, tid binary, n_bytes long, sha string, segments {_SEGMENTS}"), "digests")
+    texts = digests.groupBy("tid").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("segments").alias("segments"))
     texts = written(texts, "texts")
 
-    each = texts.select("tid", "id", F.inline("segments"))
+    each = texts.select("tid", "rid", F.inline("segments"))
     repeated = each.groupBy("hash").agg(F.sum("weight").alias("seen")).where("seen > 1").select("hash")
-    wanted = each.join(repeated, "hash").groupBy("tid", "id").agg(F.collect_list(F.struct("hash", "first", "stop")).alias("wanted"))
-    # The text of one row of each wanted text; rows with this id but another text are told apart by their hash.
-    held = wanted.withColumnRenamed("id", "own").join(slim, F.col("own").eqNullSafe(F.col("id"))).select("tid", "text", "wanted")
-    held = written(held.mapInArrow(_same_text, "tid binary, text string, wanted array<struct<hash: long, first: int, stop: int>>").dropDuplicates(["tid"]), "held")
+    wanted = each.join(repeated, "hash").groupBy("tid", "rid").agg(F.collect_list(F.struct("hash", "first", "stop")).alias("wanted"))
+    # The text of the row that stands for each wanted text; repeated rows come as often as they are there.
+    held = wanted.join(slim.drop("id"), "rid").select("tid", "text", "wanted").mapInArrow(_same_text, "tid binary, text string, wanted array<struct<hash: long, first: int, stop: int>>")
+    held = written(held, "held")
 
     total = held.select(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["first"] + F.lit(length)))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     cut = held.mapInArrow(_cut(length), "hash long, tid binary, first int, bytes binary")
     found = cut.repartition(shards, "hash").mapInArrow(_sort_shard(length), "tid binary, start int, stop int")
     spans = found.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return digests.drop("segments"), texts.drop("segments"), held.select("tid", "text").join(spans, "tid")
+    return digests.drop("segments", "rid"), texts.drop("segments"), held.select("tid", "text").join(spans, "tid")
 
 
 def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +282,7 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     digests, texts, hit = repeats(df, id_col, text_col, length, gram, shard_bytes)
-    partly = hit.mapInArrow(by_batch(_kept), "tid binary, cut long, spans long, left_sha string")
+    partly = hit.mapInArrow(by_batch(_kept), "tid binary, cut long, spans long, left_sha string").dropDuplicates(["tid"])
     none = hashlib.sha256(b"").hexdigest()
     copied = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     by_text = texts.join(partly, "tid", "left").where(copied | F.col("cut").isNotNull()).select(
