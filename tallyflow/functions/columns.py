@@ -66,7 +66,7 @@ def lag_millis(as_of: Column, then: Column) -> Column:
 
 def trimmed_list(text: Column, separator: str = ",") -> Column:
     """Parts of a separated list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(text: Column) -> Column:

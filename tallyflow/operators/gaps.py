@@ -14,17 +14,24 @@ def missing_seqs(df: DataFrame, low: int, high: int) -> DataFrame:
 def gap_ranges(df: DataFrame, bucket_size: int = 1_000_000) -> DataFrame:
     """(first_missing, last_missing, missing) of each hole between present positions.
 
-    Neighbours are found inside buckets of positions, and across buckets from the
-    edges of each bucket alone, so no task orders all positions.
+    Neighbours are found inside buckets of positions; then between the edges of
+    buckets inside buckets of buckets, and so on. No task orders more than
+    ``bucket_size`` rows, and each level is smaller by that factor.
     """
-    seqs = df.select("seq", F.floor(F.col("seq") / bucket_size).alias("bucket"))
-    inside = seqs.withColumn("next", F.lead("seq").over(Window.partitionBy("bucket").orderBy("seq"))).select("seq", "next")
-    edges = seqs.groupBy("bucket").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
-    # One row a bucket; neighbouring buckets meet again in buckets of buckets.
-    coarse = edges.withColumn("group", F.floor(F.col("bucket") / bucket_size))
-    across = coarse.withColumn("next", F.lead("low").over(Window.partitionBy("group").orderBy("bucket"))).select(F.col("high").alias("seq"), "next")
-    both = inside.unionByName(across).where("next - seq > 1")
-    return both.select((F.col("seq") + 1).alias("first_missing"), (F.col("next") - 1).alias("last_missing"), (F.col("next") - F.col("seq") - 1).alias("missing"))
+    size = max(2, bucket_size)
+    low, high = df.agg(F.min("seq"), F.max("seq")).first()
+    low, span = low or 0, (high or 0) - (low or 0)
+    level = df.select(F.col("seq").alias("low"), F.col("seq").alias("high"), F.floor((F.col("seq") - low) / size).alias("group"))
+    pairs, width = None, size
+    while True:
+        found = level.select(F.col("high").alias("seq"), F.lead("low").over(Window.partitionBy("group").orderBy("low")).alias("next"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if width > span:
+            break
+        level = level.groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("group", F.floor(F.col("group") / size))
+        width *= size
+    holes = pairs.where("next - seq > 1")
+    return holes.select((F.col("seq") + 1).alias("first_missing"), (F.col("next") - 1).alias("last_missing"), (F.col("next") - F.col("seq") - 1).alias("missing"))
 
 
 def missing_slots(slots: DataFrame) -> DataFrame:

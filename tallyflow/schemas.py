@@ -1,38 +1,36 @@
-"""Fixed schemas of the event stream and of the stored tables."""
+"""Fixed schemas of the event stream and of the stored tables, as DDL (which needs no session)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import StructType
-
 KINDS = ("account", "transaction", "slot", "block_meta")
 
 #: One row for each event; exactly one of the four structs is set, as ``kind`` says.
-BRONZE = StructType.fromDDL("""
+BRONZE = """
   seq BIGINT, kind STRING, slot BIGINT, observed_at TIMESTAMP,
   account STRUCT<pubkey: BINARY, owner: BINARY, lamports: BIGINT, write_version: BIGINT, data: BINARY>,
   transaction STRUCT<signature: BINARY, fee: BIGINT, success: BOOLEAN, accounts: ARRAY<BINARY>, program_ids: ARRAY<BINARY>, log_messages: ARRAY<STRING>>,
   slot_update STRUCT<parent_slot: BIGINT, status: STRING>,
   block_meta STRUCT<block_time: TIMESTAMP, block_height: BIGINT>
-""")
+"""
 
 #: A transaction as it comes off the wire, before flattening.
-RAW_TX = StructType.fromDDL("""
+RAW_TX = """
   signature BINARY, meta STRUCT<err: STRING, fee: BIGINT, log_messages: ARRAY<STRING>>,
   message STRUCT<account_keys: ARRAY<BINARY>, instructions: ARRAY<STRUCT<program_id_index: INT>>>
-""")
+"""
 
 #: A block document for backfill; ``slot`` is the requested position.
-BLOCK = StructType.fromDDL("""
+BLOCK = """
   slot BIGINT, blockTime BIGINT, parentSlot BIGINT, blockhash STRING, previousBlockhash STRING, blockHeight BIGINT,
   transactions ARRAY<STRUCT<
     transaction: STRUCT<signatures: ARRAY<STRING>, message: STRUCT<accountKeys: ARRAY<STRING>, instructions: ARRAY<STRUCT<programIdIndex: INT>>>>,
     meta: STRUCT<err: STRING, fee: BIGINT, logMessages: ARRAY<STRING>>>>,
   error STRUCT<code: INT, message: STRING>
-""")
+"""
 
-WATCHLIST = StructType.fromDDL("protocol STRING, kind STRING, key STRING, include_slots BOOLEAN, include_blocks_meta BOOLEAN")
+WATCHLIST = "protocol STRING, kind STRING, key STRING, include_slots BOOLEAN, include_blocks_meta BOOLEAN"
 
 
 @dataclass(frozen=True)

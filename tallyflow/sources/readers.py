@@ -27,8 +27,7 @@ def after_seq(df: DataFrame, last: int | None) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Block documents (JSON); a document that cannot be read is a row in ``_corrupt_record``."""
-    schema = BLOCK.add("_corrupt_record", "string") if "_corrupt_record" not in BLOCK.names else BLOCK
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(f"{BLOCK}, _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
 
 
 def read_table(spark: SparkSession, root: str, name: str, since=None, until=None) -> DataFrame:

@@ -28,8 +28,9 @@ def with_bucket(df: DataFrame, table: str, unit: str | None = None) -> DataFrame
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    """Whether a table has any bucket."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
 
 def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -64,8 +65,10 @@ def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq"
         # The bucket follows from the key's timestamp, so it joins along and prunes.
         rows = absent(rows, _touched(stored, rows), spec.key)
     rows = _staged(rows, root)
-    _append(rows, path, spec.sort)
-    return rows.count()
+    added = rows.count()
+    if added:
+        _append(rows, path, spec.sort)
+    return added
 
 
 def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") -> int:
@@ -78,9 +81,10 @@ def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") ->
         old = _touched(spark.read.parquet(path), fresh).withColumn("__new", F.lit(0)).select(*fresh.columns)
         fresh = fresh.unionByName(old)
     rows = _staged(last_by_key(fresh, spec.key, "__new"), root)
-    out = rows.drop("__new").repartition("bucket")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return rows.where("__new = 1").count()
+    stored = rows.where("__new = 1").count()
+    if stored:
+        rows.drop("__new").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return stored
 
 
 def write_clustered(df: DataFrame, root: str, table: str, unit: str | None = None) -> None:
@@ -102,7 +106,8 @@ def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
     stored = spark.read.parquet(path)
     limit = F.lit(cutoff).cast(stored.schema["timestamp"].dataType)
     old = stored.where((F.col("timestamp") < limit) & (F.col("bucket") <= bucket_of(limit, unit)))
-    counts = old.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Readers may take a bucket's name for a timestamp; its text is the folder's name either way.
+    counts = old.groupBy(F.col("bucket").cast("string").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return 0
     edge = spark.range(1).select(bucket_of(limit, unit)).first()[0]
