@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +117,31 @@ class CallEdges:
             "timestamp", "slot", F.lit(self.name).alias("decoder_name"), F.col("signature").cast("string").alias("record_key"), F.col("depth").cast("short").alias("event_index"),
             F.to_json(F.struct("caller", "callee", "depth", "success")).alias("payload"),
         )
+
+
+class RowDecoder:
+    """Adapter for user code: a Python function from one event to any number of rows.
+
+    ``decode`` gets the event's columns as keywords and yields (record_key,
+    event_index, payload). It runs in Arrow batches on the executors; decoders
+    that can be written as expressions should be.
+    """
+
+    def __init__(self, name: str, decode: Callable[..., Iterable[tuple[str, int, str]]], columns: Sequence[str]):
+        self.name, self.decode, self.columns = name, decode, list(columns)
+
+    def apply(self, events: DataFrame) -> DataFrame:
+        name, decode, columns = self.name, self.decode, self.columns
+        own = events.select(F.col("observed_at").alias("timestamp"), "slot", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+        kind = own.schema["timestamp"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [
+                    (event.timestamp, event.slot, name, key, index, payload)
+                    for event in batch.itertuples(index=False)
+                    for key, index, payload in decode(**{c.rpartition(".")[2]: getattr(event, f"c{i}") for i, c in enumerate(columns)})
+                ]
+                yield pd.DataFrame(rows, columns=list(DECODED))
+
+        return own.mapInPandas(run, f"timestamp {kind}, slot long, decoder_name string, record_key string, event_index short, payload string")

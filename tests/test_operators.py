@@ -135,6 +135,17 @@ def test_decoders_side_by_side(spark, events):
     ]
 
 
+def test_user_decoder(spark, events):
+    def by_fee(signature, fee):
+        if fee > 5:
+            yield bytes(signature).decode(), 0, str(fee)
+            yield bytes(signature).decode(), 1, str(fee + 1)
+
+    df = events(tx(1, fee=9), tx(2, fee=1)).where("kind = 'transaction'")
+    got = decoders.decode(df, [decoders.RowDecoder("fees", by_fee, ["transaction.signature", "transaction.fee"])])
+    assert sorted((r.timestamp, r.slot, r.decoder_name, r.record_key, r.event_index, r.payload) for r in got.collect()) == [(T0, 10, "fees", "S", 0, "9"), (T0, 10, "fees", "S", 1, "10")]
+
+
 def test_progress_of_block_times_alone(spark, events):
     df = events(meta(1, 100, 0, 10), meta(2, 101, 100, 120))
     row = metrics.batch_progress(df).first()
