@@ -20,7 +20,7 @@ from tallyflow.llm import decontaminate, langid, line_dedup, packing, simhash
 from tallyflow.llm._common import written
 
 #: Least mean marginal of the predicted language.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
