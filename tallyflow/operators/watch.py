@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.columns import checked_key
@@ -23,15 +23,38 @@ def validate_watchlist(watch: DataFrame) -> DataFrame:
     return checked.select(*watch.columns, F.col("checked.bytes").alias("bytes"), F.col("checked.reason").isNull().alias("valid"), reason.alias("reason"))
 
 
+#: Watch entries up to which the filter is an expression in each event's own row.
+IN_ROW = 1000
+
+
+def _keys_of(kind: str) -> Column:
+    """The keys by which an event can be watched as a ``program`` or an ``account``, as strings."""
+    of_account, of_tx = ("account.owner", "transaction.program_ids") if kind == "program" else ("account.pubkey", "transaction.accounts")
+    keys = F.when(F.col("kind") == "account", F.array(F.col(of_account).cast("string"))).when(F.col("kind") == "transaction", F.transform(of_tx, lambda x: x.cast("string")))
+    return F.coalesce(keys, F.array().cast("array<string>"))
+
+
 def event_keys(events: DataFrame) -> DataFrame:
-    """The (watch kind, key) pairs an event can be watched by, as strings, one row each."""
-    programs = F.when(F.col("kind") == "account", F.array(F.col("account.owner").cast("string"))).when(F.col("kind") == "transaction", F.transform("transaction.program_ids", lambda x: x.cast("string")))
-    accounts = F.when(F.col("kind") == "account", F.array(F.col("account.pubkey").cast("string"))).when(F.col("kind") == "transaction", F.transform("transaction.accounts", lambda x: x.cast("string")))
+    """(event_kind, seq, kind, key): one row for each key an event can be watched by."""
 
-    def pairs(kind: str, keys):
-        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    def pairs(kind: str) -> Column:
+        return F.transform(_keys_of(kind), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
-    return events.select(F.col("kind").alias("event_kind"), "seq", F.explode(F.array_distinct(F.concat(pairs("program", programs), pairs("account", accounts)))).alias("k")).select("event_kind", "seq", "k.kind", "k.key")
+    each = events.select(F.col("kind").alias("event_kind"), "seq", F.explode(F.array_distinct(F.concat(pairs("program"), pairs("account")))).alias("k"))
+    return each.select("event_kind", "seq", "k.kind", "k.key")
+
+
+def _matches(rows: list) -> Column:
+    """Whether an event is watched by any of some watchlist rows."""
+    out = F.lit(False)
+    for kind in ("program", "account"):
+        keys = sorted({r.key for r in rows if r.kind == kind and r.key is not None})
+        if keys:
+            out = out | F.arrays_overlap(_keys_of(kind), F.array(*map(F.lit, keys)))
+    for flag, kind in (("include_slots", "slot"), ("include_blocks_meta", "block_meta")):
+        if any(r[flag] for r in rows):
+            out = out | (F.col("kind") == kind)
+    return F.coalesce(out, F.lit(False))
 
 
 def watched(events: DataFrame, watch: DataFrame, tag: bool = False) -> DataFrame:
@@ -39,10 +62,23 @@ def watched(events: DataFrame, watch: DataFrame, tag: bool = False) -> DataFrame
 
     An empty watchlist lets all events through. With ``tag`` there is one row
     for each (event, protocol) with the protocol's name; otherwise each event is
-    there once. (event kind, seq) must name an event.
+    there once. Up to ``IN_ROW`` entries the filter is an expression and nothing
+    is shuffled; beyond that keys are joined, and (event kind, seq) must name an
+    event.
     """
-    if watch.isEmpty():
+    rows = watch.limit(IN_ROW + 1).collect()
+    if not rows:
         return events.withColumn("protocol", F.lit(None).cast("string")) if tag else events
+    if len(rows) > IN_ROW:
+        return _watched_by_join(events, watch, tag)
+    if not tag:
+        return events.where(_matches(rows))
+    names = sorted({r.protocol for r in rows})
+    hits = F.filter(F.array(*[F.when(_matches([r for r in rows if r.protocol == n]), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    return events.withColumn("protocol", F.explode(hits))
+
+
+def _watched_by_join(events: DataFrame, watch: DataFrame, tag: bool) -> DataFrame:
     wanted = watch.select("protocol", "kind", "key").distinct()
     hits = event_keys(events).join(wanted, ["kind", "key"]).select(F.col("event_kind").alias("kind"), "seq", "protocol").distinct()
     by_kind = (

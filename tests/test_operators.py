@@ -41,7 +41,9 @@ def watch_of(spark, *rows):
     return readers.watchlist_of(spark, rows)
 
 
-def test_program_watch_with_slots_and_account_watch(spark, events):
+@pytest.mark.parametrize("in_row", [1000, 0])
+def test_program_watch_with_slots_and_account_watch(spark, events, monkeypatch, in_row):
+    monkeypatch.setattr(watch, "IN_ROW", in_row)
     df = events(account(1), tx(2, programs=(b"P", b"T")), slot(3), slot(4, status="confirmed", ms=500), account(5, owner=b"S", pubkey=b"B"))
     got = watch.watched(df, watch_of(spark, ("p", "program", "P", True, False)))
     assert sorted(r.seq for r in got.collect()) == [1, 2, 3, 4]
@@ -50,7 +52,9 @@ def test_program_watch_with_slots_and_account_watch(spark, events):
     assert watch.watched(df, watch_of(spark).limit(0)).count() == 5
 
 
-def test_watch_tags_each_protocol(spark, events):
+@pytest.mark.parametrize("in_row", [1000, 0])
+def test_watch_tags_each_protocol(spark, events, monkeypatch, in_row):
+    monkeypatch.setattr(watch, "IN_ROW", in_row)
     df = events(account(1), tx(2, programs=(b"P", b"Q")), slot(3))
     both = watch_of(spark, ("a", "program", "P", True, False), ("b", "program", "Q", False, False), ("b", "program", "P", False, False))
     got = watch.watched(df, both, tag=True)
