@@ -14,7 +14,8 @@ code-switched texts ``word_languages`` gives each word its own label.
 
 Training is bounded: at most ``per_label`` documents of each label, the ones
 with the least hash of (id, text), and of each at most ``label_words`` of its
-words. Prediction is whole-text, in batches of chains padded to one length.
+words. Prediction is whole-text, in batches of chains padded to one length; a text of
+more than ``PIECE`` words runs in pieces that overlap by ``CONTEXT`` words.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 null labels are not learned from; a null id counts as not held out; without
@@ -45,6 +46,8 @@ FEATURE_BITS = 17
 FEATURES = 1 << FEATURE_BITS
 LEXICON_MIN = 3
 ROUNDS = 30
+#: Words of a chain that run at once, and words seen beyond either end.
+PIECE, CONTEXT = 4096, 64
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -213,20 +216,24 @@ class Tagger:
         found = [(i, words) for i, t in enumerate(texts) if (words := words_in(t))]
         numbers, ends = self._numbers([w for _, words in found for w in words]), np.cumsum([len(words) for _, words in found])
         chains = [(i, numbers[end - len(words) : end]) for (i, words), end in zip(found, ends.tolist(), strict=True)]
-        chains.sort(key=lambda c: len(c[1]))
+        # Long chains run as pieces that see CONTEXT words beyond either end; marginals forget farther words.
+        pieces = [(i, x, a, min(len(x), a + PIECE)) for i, x in chains for a in range(0, len(x), PIECE)]
+        pieces.sort(key=lambda p: p[3] - p[2])
+        words = {i: len(x) for i, x in chains}
         at = 0
-        while at < len(chains):
+        while at < len(pieces):
             upto = at + 1
-            while upto < len(chains) and (upto + 1 - at) * len(chains[upto][1]) <= self.cells:
+            while upto < len(pieces) and (upto + 1 - at) * (pieces[upto][3] - pieces[upto][2]) <= self.cells:
                 upto += 1
-            group = chains[at:upto]
-            lengths = np.array([len(x) for _, x in group])
+            group = [(i, x[max(0, a - CONTEXT) : b + CONTEXT], min(a, CONTEXT), b - a) for i, x, a, b in pieces[at:upto]]
+            lengths = np.array([len(x) for _, x, _, _ in group])
             ids = np.zeros((len(group), lengths.max()), np.int64)
-            for row, (_, x) in enumerate(group):
+            for row, (_, x, _, _) in enumerate(group):
                 ids[row, : len(x)] = x
             p, _, _ = marginals(self.scores[ids], lengths, self.model.transition, self.model.start)
-            for row, (i, _) in enumerate(group):
-                out[i] = p[row].sum(axis=0) / lengths[row]
+            for row, (i, _, skip, size) in enumerate(group):
+                mean = p[row, skip : skip + size].sum(axis=0) / words[i]
+                out[i] = mean if out[i] is None else out[i] + mean
             at = upto
         return out
 

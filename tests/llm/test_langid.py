@@ -45,6 +45,16 @@ def test_words_of_a_mixed_text_get_their_own_language():
     assert [x for _, x in labels] == ["en"] * 5 + ["de"] * 5
 
 
+def test_pieces_of_a_long_text_give_the_marginals_of_the_whole(monkeypatch):
+    model = langid.train(["the house of the king and the sea", "das haus und der see ist nicht da"] * 40, ["en", "de"] * 40)
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(["the", "sea", "das", "und", "x", "haus", "king"], 1500))
+    whole = langid.Tagger(model).means([text, None, "the"])
+    monkeypatch.setattr(langid, "PIECE", 100)
+    cut = langid.Tagger(model).means([text, None, "the"])
+    assert np.allclose(whole[0], cut[0], atol=1e-6) and cut[1] is None and np.allclose(whole[2], cut[2])
+
+
 def test_odd_rows(spark):
     rows = [(1, "the house of the king", "en", 1), (3, "das haus und der see", "de", 1), (4, None, "en", 1), (5, "123 !!", "de", 1), (None, "der see", None, 1), (8, "x" * 50000, None, 1), (3, "das haus und der see", "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
