@@ -11,7 +11,10 @@ they stand, so a shard that gets all segments (runs of starts under one hash,
 with the bytes they cover) of a hash sees every repeat of their strings.
 Hashes that occur once need no shard. About one start in 185 begins a segment,
 so the hashes are a small fraction of the text; only text that holds a hash
-seen elsewhere travels.
+seen elsewhere travels. Segments that agree byte for byte are joined before the
+shuffle and leave their owners behind. Of a hash with more than
+``HOT_SEGMENTS`` segments only starts go on whose whole string has a hash seen
+twice; such hashes are counted map-side first and dealt evenly.
 
 Sorting. A shard lays its distinct segments end to end in a scratch file and
 sorts them by ``induced_sort``, whose queues of (suffix, common prefix) tuples
@@ -44,6 +47,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of segments in one shard on average, before equal segments are joined.
 SHARD_BYTES = 6 << 20
+#: A hash with more segments is hot.
+HOT_SEGMENTS = 1000
 SEPARATOR = 0xFF  # no byte of UTF-8
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -143,28 +148,70 @@ def _digest(length: int, gram: int):
 _SEGMENTS = "array<struct<hash: long, first: int, stop: int, weight: int>>"
 
 
-def _cut(length: int):
-    """The bytes of the wanted segments, from the one row that stands for a text."""
+def _hot_windows(length: int):
+    """A hash of the whole string at each start of a hot segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
             for text, tid, wanted in zip(text_bytes(batch["text"]), batch["tid"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
-                for s in wanted:
-                    rows.append((s["hash"], tid, s["first"], text[s["first"] : s["stop"] - 1 + length]))
-                    size += s["stop"] - s["first"] + length
-                if size > 1 << 24:
-                    yield _cut_rows(rows)
-                    rows, size = [], 0
-            yield _cut_rows(rows)
+                hashes = gram_hashes(np.frombuffer(text, np.uint8), length).view(np.int64)
+                at = np.concatenate([np.arange(s["first"], s["stop"], dtype=np.int32) for s in wanted if s["hot"]])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.array([tid] * len(at), pa.binary()), pa.array(at)], names=["window", "tid", "at"])
 
     return run
 
 
-def _cut_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["hash", "tid", "first", "bytes"])
+def wanted_parts(wanted: list[dict], alive: list[int] | None) -> Iterator[tuple[int, int, int]]:
+    """(hash, first start, end of starts) of a text's segments; of hot ones the runs of starts still alive."""
+    starts = np.array(alive or (), np.int64)
+    for s in wanted:
+        if not s["hot"]:
+            yield s["hash"], s["first"], s["stop"]
+            continue
+        own = starts[np.searchsorted(starts, s["first"]) : np.searchsorted(starts, s["stop"])]
+        if len(own):
+            for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                yield s["hash"], int(run[0]), int(run[-1]) + 1
+
+
+def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(tid, hash, first start, bytes) of all wanted parts."""
+    for text, tid, wanted, alive in zip(text_bytes(batch["text"]), *(batch[c].to_pylist() for c in ("tid", "wanted", "alive")), strict=True):
+        for key, first, stop in wanted_parts(wanted, alive):
+            yield tid, key, first, text[first : stop - 1 + length]
+
+
+def _contents(length: int):
+    """Distinct contents of a task's segments with how often they occur: copies are joined before the shuffle."""
+
+    def rows(held: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["hash", "bytes", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], int] = {}
+        size = 0
+        for batch in batches:
+            for _, key, _, own in _parts(batch, length):
+                seen = held.get((key, own), 0)
+                held[key, own] = seen + 1
+                size += 0 if seen else len(own) + 200
+                if size > 1 << 25:
+                    yield rows(held)
+                    held, size = {}, 0
+        yield rows(held)
+
+    return run
+
+
+def _owners(length: int):
+    """Which text holds which content, and where."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(xxhash.xxh3_128_digest(own), tid, first) for tid, _, first, own in _parts(batch, length)]
+        cids, tids, firsts = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(tids, pa.binary()), pa.array(firsts, pa.int32())], names=["cid", "tid", "first"])
+
+    return by_batch(run)
 
 
 def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -197,40 +244,34 @@ def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _sort_shard(length: int):
+    """Spans (cid, start, stop) of each content's repeated strings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners: dict[bytes, set[tuple[bytes, int]]] = {}
+        times: dict[bytes, int] = {}
         for batch in batches:
-            for tid, first, own in zip(batch["tid"].to_pylist(), batch["first"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-                owners.setdefault(own, set()).add((tid, first))
-        parts = list(owners)
+            for own, n in zip(batch["bytes"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                times[own] = times.get(own, 0) + n
+        parts = list(times)
         if not parts:
             return
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes + 1)
         text = np.frombuffer(bytes([SEPARATOR]).join([*parts, b""]), np.uint8)
         flagged = repeated_starts(text, ends, length)
-        tids, starts, stops = [], [], []
+        cids, starts, stops = [], [], []
         for part, size, end in zip(parts, sizes.tolist(), ends.tolist(), strict=True):
-            own = owners[part]
             at = end - 1 - size
-            found = np.arange(size - length + 1) if len(own) > 1 else np.flatnonzero(flagged[at : at + size - length + 1])
-            for a, b in spans_of(found, length):
-                for tid, first in own:
-                    tids.append(tid)
-                    starts.append(first + a)
-                    stops.append(first + b)
-            if len(tids) > 1 << 18:
-                yield _spans(tids, starts, stops)
-                tids, starts, stops = [], [], []
-        yield _spans(tids, starts, stops)
+            found = np.arange(size - length + 1) if times[part] > 1 else np.flatnonzero(flagged[at : at + size - length + 1])
+            spans = spans_of(found, length)
+            if spans:
+                cids += [xxhash.xxh3_128_digest(part)] * len(spans)
+                starts += [a for a, _ in spans]
+                stops += [b for _, b in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["cid", "start", "stop"])
 
     return run
 
 
-def _spans(tids: list[bytes], starts: list[int], stops: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["tid", "start", "stop"])
-
-
 def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
     removed, counts, digests = [], [], []
     for text, spans in zip(text_bytes(batch["text"]), batch["spans"].to_pylist(), strict=True):
@@ -248,7 +289,7 @@ def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch["tid"], pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["tid", "cut", "spans", "left_sha"])
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digests of all rows (id, tid, n_bytes, sha); one row for each distinct text
     (tid, rid, n, n_bytes); texts with repeats (tid, text, spans)."""
     spark = df.sparkSession
@@ -259,17 +300,29 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     texts = written(texts, "texts")
 
     each = texts.select("tid", "rid", F.inline("segments"))
-    repeated = each.groupBy("hash").agg(F.sum("weight").alias("seen")).where("seen > 1").select("hash")
-    wanted = each.join(repeated, "hash").groupBy("tid", "rid").agg(F.collect_list(F.struct("hash", "first", "stop")).alias("wanted"))
+    repeated = each.groupBy("hash").agg(F.sum("weight").alias("seen"), F.count(F.lit(1)).alias("n")).where("seen > 1").select("hash", (F.col("n") > hot_segments).alias("hot"))
+    wanted = each.join(repeated, "hash").groupBy("tid", "rid").agg(F.collect_list(F.struct("hash", "first", "stop", "hot")).alias("wanted"))
     # The text of the row that stands for each wanted text; repeated rows come as often as they are there.
-    held = wanted.join(slim.drop("id"), "rid").select("tid", "text", "wanted").mapInArrow(_same_text, "tid binary, text string, wanted array<struct<hash: long, first: int, stop: int>>")
+    held = wanted.join(slim.drop("id"), "rid").select("tid", "text", "wanted").mapInArrow(_same_text, "tid binary, text string, wanted array<struct<hash: long, first: int, stop: int, hot: boolean>>")
     held = written(held, "held")
 
+    # A hot hash has segments in very many texts. There a start goes on only if its whole string's hash is seen twice:
+    # what is left is what the texts share, so few different contents remain however many texts there are.
+    is_hot = F.exists("wanted", lambda x: x["hot"])
+    alive = held.withColumn("alive", F.lit(None).cast("array<int>"))
+    if not held.where(is_hot).isEmpty():
+        windows = held.where(is_hot).mapInArrow(_hot_windows(length), "window long, tid binary, at int")
+        again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+        starts = windows.join(again, "window").groupBy("tid").agg(F.array_sort(F.collect_set("at")).alias("alive"))
+        alive = alive.where(~is_hot).unionByName(held.where(is_hot).join(starts, "tid", "left"))
+        alive = written(alive, "alive")
+
     total = held.select(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["first"] + F.lit(length)))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    cut = held.mapInArrow(_cut(length), "hash long, tid binary, first int, bytes binary")
-    found = cut.repartition(shards, "hash").mapInArrow(_sort_shard(length), "tid binary, start int, stop int")
-    spans = found.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    contents = alive.mapInArrow(_contents(length), "hash long, bytes binary, n long")
+    found = contents.repartition(shards, "hash").mapInArrow(_sort_shard(length), "cid binary, start int, stop int")
+    placed = alive.mapInArrow(_owners(length), "cid binary, tid binary, first int").join(found, "cid")
+    spans = placed.groupBy("tid").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))).alias("spans"))
     return digests.drop("segments", "rid"), texts.drop("segments"), held.select("tid", "text").join(spans, "tid")
 
 
@@ -279,9 +332,9 @@ def _same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(same, pa.bool_()))
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    digests, texts, hit = repeats(df, id_col, text_col, length, gram, shard_bytes)
+    digests, texts, hit = repeats(df, id_col, text_col, length, gram, shard_bytes, hot_segments)
     partly = hit.mapInArrow(by_batch(_kept), "tid binary, cut long, spans long, left_sha string").dropDuplicates(["tid"])
     none = hashlib.sha256(b"").hexdigest()
     copied = (F.col("n") > 1) & (F.col("n_bytes") >= length)

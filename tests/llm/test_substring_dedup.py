@@ -32,8 +32,8 @@ def test_query_equals_brute_force(spark, sf):
     assert rows_of(op4_substring_dedup(spark, sf)) == plain(docs)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 2000])
-def test_repeats_inside_and_across_texts(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "hot"), [(1 << 24, 1000), (2000, 1000), (2000, 0), (1 << 24, 2)])
+def test_repeats_inside_and_across_texts(spark, shard_bytes, hot):
     rng = random.Random(8)
 
     def noise(n):
@@ -43,7 +43,7 @@ def test_repeats_inside_and_across_texts(spark, shard_bytes):
     texts = [noise(300) + passage + noise(50), passage + noise(200), noise(100) + passage[20:] + second, second + noise(10) + second, "ab" * 150, "a" * 75, "x" * 59, None, "", noise(400)]
     texts += [texts[0], "long word " * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS tid", "3 AS hash")
-    got = rows_of(substring_dedup(df, length=60, gram=16, shard_bytes=shard_bytes))
+    got = rows_of(substring_dedup(df, length=60, gram=16, shard_bytes=shard_bytes, hot_segments=hot))
     assert got == plain([(i, (t or "").encode()) for i, t in enumerate(texts)], 60)
 
 
@@ -51,7 +51,20 @@ def test_repeated_rows_null_ids_and_empty(spark):
     text, other = "0123456789" * 8, "".join(chr(97 + i * i % 26) for i in range(60))
     rows = [(None, text), (None, other + "tail"), (1, other + "end"), (1, other + "end"), (1, other + "another end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(substring_dedup(df, length=40, gram=8)) == plain([(i, t.encode()) for i, t in rows], 40)
+    for hot in (1000, 0):
+        assert rows_of(substring_dedup(df, length=40, gram=8, hot_segments=hot)) == plain([(i, t.encode()) for i, t in rows], 40)
+
+
+def test_a_passage_in_most_texts_with_other_surroundings(spark):
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    passage = noise(70)
+    docs = [(i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))) for i in range(120)] + [(500 + i, noise(150)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(substring_dedup(df, length=60, gram=16, hot_segments=20)) == plain([(i, t.encode()) for i, t in docs], 60)
     assert substring_dedup(df.limit(0)).collect() == []
 
 
