@@ -312,7 +312,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     alive = held.withColumn("alive", F.lit(None).cast("array<int>"))
     if not held.where(is_hot).isEmpty():
         windows = held.where(is_hot).mapInArrow(_hot_windows(length), "window long, tid binary, at int")
-        again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+        # Written, so that the join below deals both sides itself and can split windows that very many texts share.
+        again = written(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "windows")
         starts = windows.join(again, "window").groupBy("tid").agg(F.array_sort(F.collect_set("at")).alias("alive"))
         alive = alive.where(~is_hot).unionByName(held.where(is_hot).join(starts, "tid", "left"))
         alive = written(alive, "alive")
