@@ -6,7 +6,8 @@ the columns of ``documents``. Stages keep clean documents:
 * language ID drops texts that are null, have no letter, or whose best language
   has a mean word marginal below ``MIN_SCORE``; a missing ``lang`` is filled in;
 * line dedup drops repeated lines from texts (and sets ``n_chars``), never rows;
-* near-dedup keeps the row with the least id of each SimHash component;
+* near-dedup keeps the row with the least id of each component of texts whose
+  five-word sets have a Jaccard similarity of 0.8 or more;
 * decontamination drops documents that hold a window of a benchmark item;
 * packing returns the pieces of the sequences.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontaminate, langid, line_dedup, packing, simhash
+from tallyflow.llm import decontaminate, langid, line_dedup, near_dedup as near_copies, packing
 from tallyflow.llm._common import written
 
 #: Least mean marginal of the predicted language.
@@ -36,7 +37,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs).select(*docs.columns)
+    return near_copies.near_dedup(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
