@@ -13,7 +13,9 @@ Pages are handled in Arrow batches, row by row independent, so nothing is
 shuffled; messages of all pages in a batch are passed level by level in numpy.
 
 Defined cases: null and empty html give an empty text; a truncated page is read
-as far as it goes; white space is what ``str.split`` removes, so no-break spaces
+as far as it goes, an unended script or style reaches to the page's end, other
+unended or self-closing elements hide no text after them; drawings, players,
+buttons and lists of choices are no text, formulas and the text of objects are; white space is what ``str.split`` removes, so no-break spaces
 count; character references that are not complete stay as they are; repeated
 rows get equal results; an empty table gives an empty result; other columns
 are ignored.
@@ -36,11 +38,17 @@ from pyspark.sql import functions as F
 from tallyflow.llm._common import bounded_batches, by_batch
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-RAW = frozenset("script style template noscript iframe svg math object video audio canvas title textarea select button".split())
+#: Their content is never markup nor text of the page.
+RAW = frozenset("script style template iframe title textarea xmp noembed noframes".split())
+#: Without an end tag the rest of the page is code.
+CODE = frozenset("script style".split())
+#: Their content is markup but no text of the page.
+DEAD = frozenset("svg canvas video audio select button annotation annotation-xml".split())
+#: Of these, the ones that a block's start tag ends.
+LEFT = frozenset("svg select button".split())
 #: They neither break a block nor make a node.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: A start tag of these ends an open paragraph.
 CLOSES_P = frozenset(
@@ -51,7 +59,8 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = frozenset("ul ol dl table html body div section article".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+#: Comments, declarations, tags, tags with a quote that never ends, and a tag cut off by the page's end.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -74,7 +83,8 @@ def parse(html: str | None, labelled: bool = False) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open elements, each with its nearest block node
     texts: list[str] = []
-    links, link_chars, at, html = 0, 0, 0, html or ""
+    links, link_chars, dead, at, html = 0, 0, 0, 0, html or ""
+    ignored: dict[str, int] = {}  # open elements inside a dead one
 
     def flush() -> None:
         nonlocal link_chars
@@ -86,10 +96,13 @@ def parse(html: str | None, labelled: bool = False) -> Page:
         link_chars = 0
 
     def close(depth: int) -> None:
-        nonlocal links
-        if any(t not in INLINE for t, _ in stack[depth:]):
+        nonlocal links, dead
+        if any(t not in INLINE and t not in DEAD for t, _ in stack[depth:]):
             flush()
         links -= sum(t == "a" for t, _ in stack[depth:])
+        dead -= sum(t in DEAD for t, _ in stack[depth:])
+        if not dead:
+            ignored.clear()
         del stack[depth:]
 
     def nearest(tags, within=frozenset()) -> int | None:
@@ -103,31 +116,55 @@ def parse(html: str | None, labelled: bool = False) -> Page:
     while True:
         match = _TAG.search(html, at)
         text = html[at : match.start()] if match else html[at:]
-        if text:
+        if text and not dead:
             texts.append(text)
             if links:
                 link_chars += len(text)
         if not match:
             break
         at = match.end()
-        if match[2] is None:
+        ending, name, rest = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
+        if name is None:
             continue
-        tag = match[2].lower()
-        if match[1]:
-            depth = nearest((tag,))
-            if depth:
+        tag = name.lower()
+        if ending:
+            if ignored.get(tag):
+                ignored[tag] -= 1
+            elif depth := nearest((tag,)):
                 close(depth)
             continue
+        closed = rest.endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            if tag not in INLINE:
+            if not (closed and tag not in CODE):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = end.end() if end else len(html) if tag in CODE else at
+            if not dead:
                 texts.append(" ")
             continue
+        if dead and tag not in INLINE and tag not in DEAD and tag not in VOID:
+            depth = nearest(DEAD)
+            if stack[depth][0] not in LEFT:
+                ignored[tag] = ignored.get(tag, 0) + 1
+                continue
+            if tag in CLOSES_P or tag in SIBLINGS and tag != "option":
+                close(depth)
+            else:  # a part of the drawing or the list of choices
+                if not closed:
+                    ignored[tag] = ignored.get(tag, 0) + 1
+                continue
+        if tag in DEAD:
+            if not dead:
+                texts.append(" ")
+            if not closed:
+                stack.append((tag, stack[-1][1]))
+                dead += 1
+            continue
+        if dead and tag in VOID:
+            continue
         if tag in INLINE:
             if tag == "br":
                 texts.append(" ")
-            if tag not in VOID:
+            if tag not in VOID and not (closed and tag in ("math", "object")):
                 stack.append((tag, stack[-1][1]))
                 links += tag == "a"
             continue
@@ -139,7 +176,10 @@ def parse(html: str | None, labelled: bool = False) -> Page:
         if tag in VOID:
             continue
         parent = stack[-1][1]
-        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(match[3])} if "=" in match[3] else {}
+        if tag == "noscript":  # its text is its parent's
+            stack.append((tag, parent))
+            continue
+        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
         page.tags.append(tag)
         page.marks.append(" ".join(found.get(k, "") for k in ("class", "id", "role")) if found else "")
         page.parents.append(parent)
@@ -290,6 +330,8 @@ def labelled_page(rng: random.Random) -> str:
         draw = rng.random()
         if draw < 0.05:  # long text without punctuation, or one word again and again
             return f"<p>{' '.join([word()] * rng.randint(20, 400) if rng.random() < 0.5 else [word() for _ in range(rng.randint(20, 200))])}</p>"
+        if draw < 0.1:  # a word or two
+            return f"<p>{' '.join(word() for _ in range(rng.randint(1, 4)))}</p>"
         if draw < 0.6:
             return f"<p>{prose()}</p>"
         if draw < 0.7:
@@ -345,6 +387,9 @@ def labelled_page(rng: random.Random) -> str:
         part = rng.choice((advert, notice, form, sidebar))()
         inside.insert(rng.randint(0, len(inside)), re.sub(r"^<(\w+)", r'<\1 data-main="0"', part))
     body = "".join(inside)
+    if rng.random() < 0.06:  # a page that is little more than its article
+        bare = "".join(paragraph() for _ in range(rng.randint(1, 3)))
+        return rng.choice(('<article data-main="1">{}</article>', '<body><main data-main="1">{}</main></body>', '<html><body><article data-main="1">{}</article></body></html>')).format(bare)
     draw = rng.random()
     if draw < 0.5:
         article = f'<article data-main="1">{body}</article>'

@@ -59,11 +59,32 @@ def test_parser_cases():
     assert blocks("x <!-- <p>no</p> --> y<script>var t='</p>';</script>z") == ["x y z"]
     assert blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"]
     assert blocks("<div title='a > b'>t &lt;x&gt; &amp&a&nbsp;u</div>") == ["t <x> &&a u"]
-    assert blocks("<p>cut <scr") == ["cut <scr"]
+    assert blocks("<p>cut <scr") == blocks("<p>cut <a href='x") == ["cut"]
     assert blocks("<p>cut <!-- open") == ["cut"]
     assert len(hx.parse("<div>" * 5000 + "deep").tags) == 5001
 
 
+def test_elements_hide_no_text_after_them():
+    cases = {
+        "<article><p>a</p><svg/><p>b</p></article>": "a\nb",
+        "<article><p>a</p><iframe src=x /><p>b</p></article>": "a\nb",
+        "<article><p>a</p><iframe src=x><p>b</p></article>": "a\nb",
+        "<article><p>a</p><button>Go<p>b</p></article>": "a\nb",
+        "<article><p>a</p><select><option>no<option>no</select><p>b</p></article>": "a\nb",
+        "<article><p>a</p><video><div>no</div></video><p>b</p></article>": "a\nb",
+        "<article><div>a <svg><text>no</text><g><path d='1'/></g></svg> b</div><p>c</p></article>": "a b\nc",
+        "<article><p>a <math>x</math> b</p></article>": "a x b",
+        "<article><p>a <object data=q>shown</object> b</p></article>": "a shown b",
+        "<article><p>a</p><noscript>shown</noscript></article>": "a\nshown",
+        '<article><p title="x>b</p><p>c</p></article>': "b\nc",
+        "<article><p>a</p><textarea>no<p>b</p></article>": "a\nno\nb",
+    }
+    pages = [hx.parse(x) for x in cases]
+    assert ["\n".join(t for _, t, _ in p.blocks) for p in pages] == list(cases.values())
+    assert hx.main_texts(pages, hx.trained()) == list(cases.values())
+    assert [t for _, t, _ in hx.parse("<p>a</p><script>x<p>b</p>").blocks] == ["a"], "the rest is code"
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<article><h1>T</h1><p>" + "word and word. " * 20000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
