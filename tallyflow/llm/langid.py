@@ -10,17 +10,21 @@ learn how seldom, but not never, the language changes inside a text.
 
 A text is labelled by running forward-backward over all its words; the score of
 a language is the mean of its word marginals, and the best one is predicted. In
-code-switched texts ``word_languages`` gives each word its own label.
+code-switched texts ``word_languages`` gives each word its own label. Marginals
+are relative to the learned languages; how much the field knows of a text at all
+is its ``evidence``, the mean lead of a word's best label over the labels' mean.
 
 Training is bounded: at most ``per_label`` documents of each label, the ones
-with the least hash of (id, text), and of each at most ``label_words`` of its
-words. Prediction is whole-text, in batches of chains padded to one length; a text of
-more than ``PIECE`` words runs in pieces that overlap by ``CONTEXT`` words.
+with the least hash of id, none longer than ``LONGEST`` characters; each is used
+whole. Prediction is whole-text: a text of more than ``PIECE`` words runs as
+pieces side by side. The messages that enter a piece at either end are products
+of the other pieces' matrices, so the result is that of the whole chain.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 null labels are not learned from; a null id counts as not held out; without
-training rows every text is ``und``; repeated rows get equal results; an empty
-table gives an empty result. Added columns start with ``__tf_``.
+training rows every text is ``und``; a run of more than 40 letters is several
+words; repeated rows get equal results; an empty table gives an empty result.
+Added columns start with ``__tf_``; columns of ``df`` with these names are replaced.
 """
 
 from __future__ import annotations
@@ -38,19 +42,19 @@ from pyspark.sql import Window
 from tallyflow.llm._common import bounded_batches, by_batch, documents, schema_with
 
 #: Documents of each label to learn from.
-PER_LABEL = 400
-#: Words of each training document, spread evenly over it.
-LABEL_WORDS = 200
+PER_LABEL = 200
+#: Characters of the longest document to learn from.
+LONGEST = 100_000
 #: Rows of the hashed feature table.
 FEATURE_BITS = 17
 FEATURES = 1 << FEATURE_BITS
 LEXICON_MIN = 3
 ROUNDS = 30
-#: Words of a chain that run at once, and words seen beyond either end.
-PIECE, CONTEXT = 4096, 64
+#: Words of a chain that run in one row.
+PIECE = 512
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def feature_table(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +62,9 @@ def feature_table(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray
 
     Affixes and n-grams are hashed from code points for all words at once.
     """
-    cut = [w[:40] for w in words]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-    codes = np.frombuffer(("".join(cut) + "   ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(cut)), sizes)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer(("".join(words) + "   ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     size = sizes[owner]
     owners, hashes, gram = [], [], np.zeros(len(owner), np.uint64)
@@ -88,11 +91,13 @@ def words_in(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray):
+def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Forward-backward over padded chains.
 
-    emission: (chains, steps, labels) scores. Returns word marginals of that
-    shape, expected transitions summed over all chains, and log partitions.
+    emission: (chains, steps, labels) scores. ``enter`` and ``leave`` are the
+    messages that reach a chain's first word from before and its last word from
+    after (else ``start`` and ones). Returns word marginals of that shape,
+    expected transitions summed over all chains, and log partitions.
     """
     chains, steps, labels = emission.shape
     top = emission.max(axis=2, keepdims=True)
@@ -100,7 +105,7 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray,
     move = np.exp(transition)
     forward, scale = np.empty_like(e), np.ones((chains, steps))
     live = np.arange(steps)[None, :] < lengths[:, None]
-    a = np.exp(start)[None, :] * e[:, 0]
+    a = (np.exp(start)[None, :] if enter is None else enter) * e[:, 0]
     for t in range(steps):
         if t:
             a = np.where(live[:, t, None], (a @ move) * e[:, t], a)
@@ -108,7 +113,7 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray,
         a = a / s[:, None]
         forward[:, t], scale[:, t] = a, s
     out = np.zeros_like(e)
-    b, moved = np.ones((chains, labels)), np.zeros((labels, labels))
+    b, moved = np.ones((chains, labels)) if leave is None else leave, np.zeros((labels, labels))
     for t in range(steps - 1, -1, -1):
         g = forward[:, t] * b
         out[:, t] = np.where(live[:, t, None], g / g.sum(axis=1, keepdims=True), 0)
@@ -120,6 +125,33 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray,
     return out, moved * move, log_z
 
 
+def products_of(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The matrix by which each piece of a long chain acts on a message: the product over its
+    words, which all pieces build step by step side by side."""
+    _, steps, labels = emission.shape
+    e, move = np.exp(emission - emission.max(axis=2, keepdims=True)), np.exp(transition)
+    product = np.eye(labels)[None] * e[:, 0, None, :]
+    for t in range(1, steps):
+        product = np.where((t < lengths)[:, None, None], (product @ move) * e[:, t, None, :], product)
+        product /= product.max(axis=(1, 2), keepdims=True)
+    return product
+
+
+def joined(product: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters and what leaves each piece of one long chain: (pieces, labels) twice."""
+    pieces, labels, _ = product.shape
+    move = np.exp(transition)
+    enter, leave = np.empty((pieces, labels)), np.ones((pieces, labels))
+    v = np.exp(start)
+    for p in range(pieces):
+        enter[p] = v / v.sum()
+        v = enter[p] @ product[p] @ move
+    for p in range(pieces - 1, 0, -1):
+        b = move @ (product[p] @ leave[p])
+        leave[p - 1] = b / b.sum()
+    return enter, leave
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -127,6 +159,8 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 0), np.float32))
     transition: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Evidence below which a text is in none of the learned languages.
+    least_evidence: float = 0.0
 
     def emissions(self, words: list[str]) -> np.ndarray:
         return word_scores(self.weights, *feature_table(words, self.lexicon), len(words))
@@ -143,6 +177,8 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS, seed: int =
         words = words_in(text)
         for at in range(0, len(words), 25):
             pieces.append((names.index(label), words[at : at + 25]))
+    if not pieces:
+        return Model([])
     counts: dict[str, int] = {}
     for _, words in pieces:
         for w in words:
@@ -151,13 +187,13 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS, seed: int =
     number = {w: i for i, w in enumerate(counts)}
     owner, feature = feature_table(list(number), lexicon)
 
-    # Two pieces of a kind in a row, then the next: a change of language about every 50 words at most.
+    # Pieces in any order: changes of language in every direction, about every 30 words.
     order = rng.permutation(len(pieces))
     chains = [[pieces[j] for j in order[i : i + 4]] for i in range(0, len(order), 4)]
     steps, k = max(sum(len(w) for _, w in c) for c in chains), len(names)
     ids, gold, lengths = np.zeros((len(chains), steps), np.int64), np.zeros((len(chains), steps), np.int64), np.zeros(len(chains), np.int64)
     for c, chain in enumerate(chains):
-        for label, words in sorted(chain, key=lambda p: p[0]):
+        for label, words in chain:
             ids[c, lengths[c] : lengths[c] + len(words)] = [number[w] for w in words]
             gold[c, lengths[c] : lengths[c] + len(words)] = label
             lengths[c] += len(words)
@@ -181,14 +217,25 @@ def train(texts: list[str], labels: list[str], rounds: int = ROUNDS, seed: int =
             rate += step * step
             value += 0.3 * step / np.sqrt(rate)
     model.weights = model.weights.astype(np.float32)
+    # Half of what one training stretch of five words in a thousand falls short of.
+    lead = leads(word_scores(model.weights, owner, feature, len(number)))
+    flat = lead[np.concatenate([[number[w] for w in words] for _, words in pieces])]
+    if len(flat) >= 5:
+        fives = flat[: len(flat) // 5 * 5].reshape(-1, 5).mean(axis=1)
+        model.least_evidence = float(np.quantile(fives, 0.001) / 2)
     return model
 
 
+def leads(scores: np.ndarray) -> np.ndarray:
+    """How far each word's best label is above the labels' mean."""
+    return scores.max(axis=1) - scores.mean(axis=1)
+
+
 class Tagger:
     """Labels batches of texts; emission scores of words seen are kept, up to a bound."""
 
-    def __init__(self, model: Model, keep: int = 500_000, cells: int = 400_000):
-        self.model, self.keep, self.cells = model, keep, cells
+    def __init__(self, model: Model, keep: int = 500_000, cells: int = 400_000, piece: int = PIECE):
+        self.model, self.keep, self.cells, self.piece = model, keep, cells, piece
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.labels)), np.float32)
 
@@ -206,35 +253,45 @@ class Tagger:
             self.scores[len(known) - len(new) : len(known)] = self.model.emissions(new)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def means(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Mean word marginals of each text; None where it has no letter."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if not self.model.labels:
+    def _padded(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(x) for x in parts])
+        ids = np.zeros((len(parts), lengths.max()), np.int64)
+        for row, x in enumerate(parts):
+            ids[row, : len(x)] = x
+        return self.scores[ids], lengths
+
+    def means(self, texts: list[str | None]) -> list[tuple[np.ndarray, float] | None]:
+        """Mean word marginals and evidence of each text; None where it has no letter."""
+        out: list[tuple[np.ndarray, float] | None] = [None] * len(texts)
+        model = self.model
+        if not model.labels:
             return out
         if len(self.known) > self.keep:
             self.known = {}
         found = [(i, words) for i, t in enumerate(texts) if (words := words_in(t))]
         numbers, ends = self._numbers([w for _, words in found for w in words]), np.cumsum([len(words) for _, words in found])
-        chains = [(i, numbers[end - len(words) : end]) for (i, words), end in zip(found, ends.tolist(), strict=True)]
-        # Long chains run as pieces that see CONTEXT words beyond either end; marginals forget farther words.
-        pieces = [(i, x, a, min(len(x), a + PIECE)) for i, x in chains for a in range(0, len(x), PIECE)]
-        pieces.sort(key=lambda p: p[3] - p[2])
-        words = {i: len(x) for i, x in chains}
+        chains = sorted(((i, numbers[end - len(words) : end]) for (i, words), end in zip(found, ends.tolist(), strict=True)), key=lambda c: len(c[1]))
+        short = [c for c in chains if len(c[1]) <= self.piece]
         at = 0
-        while at < len(pieces):
+        while at < len(short):
             upto = at + 1
-            while upto < len(pieces) and (upto + 1 - at) * (pieces[upto][3] - pieces[upto][2]) <= self.cells:
+            while upto < len(short) and (upto + 1 - at) * len(short[upto][1]) <= self.cells:
                 upto += 1
-            group = [(i, x[max(0, a - CONTEXT) : b + CONTEXT], min(a, CONTEXT), b - a) for i, x, a, b in pieces[at:upto]]
-            lengths = np.array([len(x) for _, x, _, _ in group])
-            ids = np.zeros((len(group), lengths.max()), np.int64)
-            for row, (_, x, _, _) in enumerate(group):
-                ids[row, : len(x)] = x
-            p, _, _ = marginals(self.scores[ids], lengths, self.model.transition, self.model.start)
-            for row, (i, _, skip, size) in enumerate(group):
-                mean = p[row, skip : skip + size].sum(axis=0) / words[i]
-                out[i] = mean if out[i] is None else out[i] + mean
+            emission, lengths = self._padded([x for _, x in short[at:upto]])
+            p, _, _ = marginals(emission, lengths, model.transition, model.start)
+            for row, (i, x) in enumerate(short[at:upto]):
+                out[i] = p[row].sum(axis=0) / len(x), float(leads(self.scores[x]).mean())
             at = upto
+        for i, x in chains[len(short) :]:
+            parts = [x[a : a + self.piece] for a in range(0, len(x), self.piece)]
+            rows = max(1, self.cells // self.piece)
+            products = [products_of(*self._padded(parts[a : a + rows]), model.transition) for a in range(0, len(parts), rows)]
+            enter, leave = joined(np.concatenate(products), model.transition, model.start)
+            total = np.zeros(len(model.labels))
+            for a in range(0, len(parts), rows):
+                emission, lengths = self._padded(parts[a : a + rows])
+                total += marginals(emission, lengths, model.transition, model.start, enter[a : a + rows], leave[a : a + rows])[0].sum(axis=(0, 1))
+            out[i] = total / len(x), float(sum(leads(self.scores[part]).sum() for part in parts) / len(x))
         return out
 
 
@@ -266,7 +323,7 @@ def held_out(id_col: Column) -> Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> Model:
     """Train on a bounded sample of the rows that are not held out."""
     bounded_batches(df.sparkSession)
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST) & ~held_out(F.col(id_col))).select(
         F.col(lang_col).alias("label"), F.xxhash64(F.col(id_col)).alias("draw"), F.col(text_col).alias("text")
     )
     # Hashes are uniform: a share of each label's rows holds the least ones, and only those are ranked.
@@ -274,30 +331,28 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():
         share = min(1.0, (2 * per_label + 200) / r["n"])
         chosen = chosen | ((F.col("label") == r["label"]) & (F.col("draw") <= int(-(2**63) + share * (2**64 - 2**12))))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_in(t) for t in batch["text"].to_pylist()]
-        some = [" ".join(w[:: max(1, -(-len(w) // LABEL_WORDS))]) for w in words]
-        return pa.RecordBatch.from_arrays([batch["label"], batch["draw"], pa.array(some, pa.string())], names=["label", "draw", "text"])
-
-    some = rows.where(chosen).mapInArrow(by_batch(spread), "label string, draw long, text string")
     place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))
-    sample = some.withColumn("place", place).where(F.col("place") <= per_label).orderBy("draw", "label", "text").collect()
+    sample = rows.where(chosen).withColumn("place", place).where(F.col("place") <= per_label).orderBy("draw", "label", "text").collect()
     return train([r.text for r in sample], [r.label for r in sample])
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with __tf_lang and __tf_score."""
+    """``df`` with __tf_lang, __tf_score and __tf_evidence."""
     bounded_batches(df.sparkSession)
+    df = df.drop("__tf_lang", "__tf_score", "__tf_evidence")
     shared = df.sparkSession.sparkContext.broadcast(model)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tagger = tagger_of(shared)
         means = tagger.means(batch[text_col].to_pylist())
-        names = [UNKNOWN if m is None else tagger.model.labels[int(m.argmax())] for m in means]
-        scores = [0.0 if m is None else float(min(1.0, m.max())) for m in means]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "__tf_lang", "__tf_score"])
-
-    return df.mapInArrow(by_batch(run), schema_with(df, "__tf_lang string, __tf_score double"))
+        names = [UNKNOWN if m is None else tagger.model.labels[int(m[0].argmax())] for m in means]
+        scores = [0.0 if m is None else float(min(1.0, m[0].max())) for m in means]
+        evidence = [0.0 if m is None else m[1] for m in means]
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())], names=[*batch.schema.names, "__tf_lang", "__tf_score", "__tf_evidence"]
+        )
+
+    return df.mapInArrow(by_batch(run), schema_with(df, "__tf_lang string, __tf_score double, __tf_evidence double"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
