@@ -1,29 +1,36 @@
-"""Near copies by the exact Jaccard similarity of five-word sets.
+"""Near copies on five-word shingles: SimHash blocks, exact Jaccard, and an exact join for the rest.
 
 Two texts are near copies where the sets of their five-word shingles (words as
 in ``simhash``; a shorter text is one shingle) have a Jaccard similarity of 0.8
-or more. SimHashes of such texts differ in about 10 bits of 64, too many for
-blocks that still select, so the candidates come from a prefix join that misses
-no pair: all sets are ordered alike, and two sets with that similarity share a
-shingle among the first ``n - ceil(0.8 n) + 1`` of each. Shingles of very many
-texts come last in the order (a sample tells which; any choice is right), so that
-a common passage makes no large bucket.
-
-Equal sets are one node before the join. A first round verifies each node with
-the bucket leader that it meets most often, so that a large group of near copies
-becomes one component; the second round takes all pairs that share a bucket and
-are not yet in one component, drops those that share too few prefix shingles and
-verifies the others. Components come from ``simhash.components``.
+or more. Equal sets are one node throughout.
+
+SimHash with pigeonhole blocks (``simhash.links``, on five words) finds close
+fingerprints, and each link is verified on the sets. Fingerprints of texts at 0.8
+differ in about 10 bits of 64, too many for blocks that still select, so a
+prefix-filtered join on the same shingle hashes adds the links that blocks miss;
+it misses none. All sets are ordered alike, and two sets with that similarity
+share a shingle among the first ``n - ceil(0.8 n) + 1`` of each. The order: a
+third of all hashes (the least) come first, of these the ones that no other set
+holds before the others; then the rest; shingles of very many texts (a sample
+tells which, any choice is right) last. So a set with as many shingles of its own
+as its prefix has room for can have no near copy and is done after one shuffle
+of that third, and a common passage makes no large bucket.
+
+Of the sets that are left, each is verified with its SimHash neighbours and with
+the bucket leader that it meets most often, so that a large group becomes one
+component; then all pairs that share a bucket and are not yet in one component,
+without those that share too few prefix shingles, are verified. Components come
+from ``simhash.components``.
 
 Defined cases: null, empty and blank texts have an empty set and are copies of
 each other; null ids come last in a component; rows that agree in id and text
-count as one; an empty table gives an empty result; other columns stay.
+count as one; an empty table gives an empty result; other columns stay. Columns
+that start with ``__tf_`` are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,45 +39,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.llm._common import bounded_batches, by_batch, row_key, text_bytes, written
-from tallyflow.llm.simhash import SEED, components
+from tallyflow.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 WIDTH = 5
+#: Share of all hashes that comes first in the order.
+FIRST = 3
 #: Texts that the sample of common shingles aims at, and from how many of them on a shingle is common.
 SAMPLE = 20_000
 COMMON = 50
 #: Members up to which the pairs of a bucket are made in step with other buckets.
 SMALL = 64
+#: Members of a bucket that one task pairs; larger buckets are dealt as pairs of chunks.
+CHUNK = 4096
 #: Pairs that a task holds before it sends them.
 PAIRS = 500_000
 
 
+def prefix_size(n: int) -> int:
+    return n - -(-4 * n // 5) + 1
+
+
 def shingle_set(text: bytes | None) -> np.ndarray:
     """The distinct shingle hashes of one text, in order."""
-    words = text.lower().split() if text else ()
-    if not words:
-        return np.empty(0, np.int64)
-    line = b" ".join(words)
-    if len(words) <= WIDTH:
-        shingles = [line]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        shingles = [line[a:b] for a, b in zip((ends - lengths)[: 1 - WIDTH].tolist(), ends[WIDTH - 1 :].tolist(), strict=True)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)).view(np.int64))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the order of all sets, as many as the bound needs."""
-    n = len(hashes)
-    if common.size and n:
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last]])
-    return hashes[: n - -(-4 * n // 5) + 1]
+    return np.unique(shingle_hashes(text, WIDTH))
+
+
+def split_set(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a set that comes first in the order, and what the prefix needs beyond it."""
+    first, rest = hashes[: (cut := np.searchsorted(hashes, np.uint64((1 << 64) // FIRST)))], hashes[cut:]
+    if common.size and len(hashes):
+        seen = [common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x for x in (first, rest)]
+        last = np.concatenate([first[seen[0]], rest[seen[1]]])
+        first, rest = first[~seen[0]], np.concatenate([rest[~seen[1]], last])
+    return first, rest[: max(0, prefix_size(len(hashes)) - len(first))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -79,24 +85,62 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     share = max(1, rows // SAMPLE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *map(shingle_set, text_bytes(batch["text"]))]))], names=["h"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *map(shingle_set, text_bytes(batch["text"]))]).view(np.int64))], names=["h"])
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(by_batch(run), "h long")
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").dropDuplicates(["text"]).mapInArrow(by_batch(run), "h long")
     found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(COMMON, rows // share // 200))
-    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64))
+    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64).view(np.uint64))
 
 
 def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, rid, key (equal for equal sets), size and prefix of each row."""
+    """id, rid, key (equal for equal sets), fp, size, first and tail of each row."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(common_shingles(slim))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in text_bytes(batch["text"])]
+        hashes = [shingle_hashes(t, WIDTH) for t in text_bytes(batch["text"])]
+        sets = list(map(np.unique, hashes))
         keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch["id"], batch["rid"], pa.array(keys), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common.value) for s in sets])], names=["id", "rid", "key", "size", "prefix"])
-
-    return slim.mapInArrow(by_batch(run), "id long, rid long, key long, size int, prefix array<long>")
+        fps = np.array(list(map(fingerprint_of, hashes)), np.uint64).view(np.int64)
+        first, tail = zip(*[split_set(s, common.value) for s in sets], strict=True)
+        return pa.RecordBatch.from_arrays(
+            [batch["id"], batch["rid"], pa.array(keys), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), _lists(list(first)), _lists(list(tail))], names=["id", "rid", "key", "fp", "size", "first", "tail"]
+        )
+
+    return slim.mapInArrow(by_batch(run), "id long, rid long, key long, fp long, size int, first array<long>, tail array<long>")
+
+
+def _held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, key) the ones whose h another key holds; nothing but the last row is kept between batches."""
+    last_h = last_key = np.empty(0, np.int64)
+    met = False  # whether the last row has been sent
+    for batch in batches:
+        h, key = np.concatenate([last_h, batch["h"].to_numpy()]), np.concatenate([last_key, batch["key"].to_numpy()])
+        if not h.size:
+            continue
+        same = np.append(h[1:] == h[:-1], False)
+        shared = same | np.append(False, same[:-1])
+        if last_h.size:
+            shared[0] = same[0] and not met
+            met = bool(shared[-1]) if len(h) > 1 else met
+        else:
+            met = bool(shared[-1])
+        last_h, last_key = h[-1:], key[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(h[shared]), pa.array(key[shared])], names=["h", "key"])
+
+
+def open_nodes(nodes: DataFrame) -> DataFrame:
+    """key, fp, size and prefix (without shingles of its own) of the nodes that may have a near copy."""
+    bounded_batches(nodes.sparkSession, 50_000)
+    each = nodes.select("key", F.explode("first").alias("h")).repartition("h").sortWithinPartitions("h", "key")
+    shared = each.mapInArrow(_held_by_others, "h long, key long")
+    of_key = shared.groupBy("key").agg(F.collect_list("h").alias("shared"))
+    ordered = F.array_sort("shared")  # below a third of all hashes signed numbers are in the same order
+    n = F.col("size")
+    room = (n - F.ceil(4 * n / 5) + 1).cast("int") - F.col("n_first") + F.size("shared")
+    slim = nodes.select("key", "fp", "size", F.size("first").alias("n_first"), "tail").join(of_key, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    prefix = F.concat(F.slice(ordered, F.lit(1), F.greatest(F.lit(0), F.least(room, F.size("shared")))), "tail")
+    return written(slim.select("key", "fp", "size", prefix.alias("prefix")).where("size(prefix) > 0"), "open-nodes")
 
 
 def whole_buckets(fn, names: tuple[str, ...]):
@@ -117,14 +161,6 @@ def whole_buckets(fn, names: tuple[str, ...]):
     return run
 
 
-def _shared(buckets: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets with more than one member, each with the bucket's first key and its size."""
-    low = np.searchsorted(buckets, buckets, "left")
-    keep = np.flatnonzero(np.searchsorted(buckets, buckets, "right") - low > 1)
-    low = low[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (buckets[keep], keys[keep], sizes[keep], keys[low], sizes[low])], names=["bucket", "key", "size", "first", "first_size"])
-
-
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
@@ -206,35 +242,52 @@ def sets_of(keys: DataFrame, marked: DataFrame, df: DataFrame, id_col: str, text
 def near_links(nodes: DataFrame, marked: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (u, v) between node keys that keep all components of near copies."""
     spark = df.sparkSession
+    nodes = open_nodes(nodes)
+    members = written(nodes.select("key", F.explode("prefix").alias("bucket")), "members")
+    buckets = written(members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = written(members.join(buckets, "bucket"), "shared")
+
+    led = shared.where("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("leader", F.struct("n", "leader")).alias("v")).select(F.col("key").alias("u"), "v")
+    # Close fingerprints: equal ones with the least key that has them, others by their blocks.
+    faces = written(nodes.groupBy("fp").agg(F.min("key").alias("face")), "faces")
+    equal = nodes.join(faces, "fp").where("key <> face").select(F.col("key").alias("u"), F.col("face").alias("v"))
+    close = links(faces.select("fp"))
+    for side in ("u", "v"):
+        close = close.join(faces.select(F.col("fp").alias(side), F.col("face").alias(f"{side}_key")), side)
+    candidates = led.unionByName(equal).unionByName(close.select(F.col("u_key").alias("u"), F.col("v_key").alias("v")))
+    pairs = written(candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    found = verified(pairs, sets_of(_ends(pairs), marked, df, id_col, text_col))
+
+    roots = components(found).withColumnRenamed("node", "key")
+    rooted = shared.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = written(rooted.join(nodes.select("key", "size"), "key"), "rooted")
+    open_ = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "open-buckets")
+    # A member of a large bucket goes to every pair of chunks that has its own.
+    chunks = F.ceil(2 * F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("key"), chunks)
+    places = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("bucket", F.least(own, j.cast("long")), F.greatest(own, j.cast("long"))))
+    dealt = rooted.join(open_, "bucket").select(F.explode(F.when(F.col("n") <= CHUNK, F.array("bucket")).otherwise(places)).alias("place"), F.col("bucket"), "key", "size", "root")
     bounded_batches(spark, 50_000)
-    keyed = nodes.select("key", "size", F.explode("prefix").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "key")
-    shared = written(keyed.mapInArrow(whole_buckets(_shared, ("bucket", "key", "size")), "bucket long, key long, size int, first long, first_size int"), "buckets")
-
-    alike = 5 * F.least("size", "first_size") >= 4 * F.greatest("size", "first_size")
-    led = shared.where(alike & (F.col("key") != F.col("first"))).groupBy("key", "first").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(led.groupBy("key").agg(F.max_by("first", F.struct("n", "first")).alias("v")).select(F.col("key").alias("u"), "v"), "led")
-    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("key")), marked, df, id_col, text_col)
-    links = verified(pairs, sets)
-
-    bounded_batches(spark, 50_000)
-    roots = components(links).withColumnRenamed("node", "key")
-    rooted = shared.select("bucket", "key", "size").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    pairs = rooted.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(whole_buckets(_open_pairs, ("bucket", "key", "size", "root")), "u long, v long, n long")
+    pairs = dealt.repartition("place").sortWithinPartitions("place", "key").mapInArrow(whole_buckets(_open_pairs, ("place", "key", "size", "root")), "u long, v long, n long")
     # Beyond its prefix a set of n shingles has ceil(0.8 n) - 1 more, and that is all that can be common besides.
     pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"))
     for side in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("key").alias(side), F.col("size").cast("long").alias(f"size_{side}")), side)
     most = F.col("n") + F.ceil(4 * F.greatest("size_u", "size_v") / 5) - 1
     pairs = written(pairs.where(9 * most >= 4 * (F.col("size_u") + F.col("size_v"))).select("u", "v"), "open")
-    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("key")), marked, df, id_col, text_col)
-    return links.unionByName(verified(pairs, sets))
+    return found.unionByName(verified(pairs, sets_of(_ends(pairs), marked, df, id_col, text_col)))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("key")).distinct().unionByName(pairs.select(F.col("v").alias("key")).distinct()).distinct()
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component of near copies the one with the least id."""
     bounded_batches(df.sparkSession)
+    df = df.drop("__tf_rid")
     marked = written(marked_rows(df, id_col, text_col), "shingles")
-    nodes = written(marked.select("key", "size", "prefix").dropDuplicates(["key"]), "nodes")
+    nodes = marked.select("key", "fp", "size", "first", "tail").dropDuplicates(["key"])
     found = components(near_links(nodes, marked.select("key", "rid"), df, id_col, text_col)).withColumnRenamed("node", "key")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     best = marked.groupBy("key").agg(first.alias("best")).join(found, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))

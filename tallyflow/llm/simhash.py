@@ -42,18 +42,22 @@ SEED = 42
 CHUNK = 4096
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of each shingle of one text, repeats included."""
     words = text.lower().split() if text else ()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line, hash64 = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash64(line, SEED)
+        return np.array([hash64(line, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     shingles = [line[a:b] for a, b in zip((ends - lengths)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    hashes = np.fromiter(map(hash64, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return np.fromiter(map(hash64, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: a bit is set where more than half of the hashes have it."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -61,6 +65,11 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """SimHash of one text; zero without words."""
+    return fingerprint_of(shingle_hashes(text, width))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id, rid (a hash of id and text) and fp (the fingerprint as a signed long) of each row."""
 
@@ -178,19 +187,6 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the one with the least id (null ids last).
-
-    Rows that agree in id and text count as one.
-    """
-    marked, rooted = labelled(df, id_col, text_col, width, max_bits, blocks)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
-    best = marked.groupBy("fp").agg(first.alias("best")).join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.rid").alias("__tf_rid"))
-    keyed = df.withColumn("__tf_rid", row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(keep, "__tf_rid", "left_semi").dropDuplicates(["__tf_rid"]).drop("__tf_rid")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

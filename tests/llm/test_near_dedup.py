@@ -37,6 +37,7 @@ def test_stage_equals_jaccard_brute_force(spark, sf):
 
 def test_groups_passages_and_sizes(spark, monkeypatch):
     monkeypatch.setattr(nd, "SMALL", 8)
+    monkeypatch.setattr(nd, "CHUNK", 24)
     monkeypatch.setattr(nd, "PAIRS", 50)
     monkeypatch.setattr(nd, "COMMON", 20)
     rng = random.Random(5)
@@ -57,10 +58,31 @@ def test_groups_passages_and_sizes(spark, monkeypatch):
 
 def test_prefixes_of_near_sets_meet():
     rng = np.random.default_rng(1)
-    for _ in range(300):
+    for _ in range(500):
         n = int(rng.integers(1, 60))
-        own = rng.choice(1000, n + 20, replace=False).astype(np.int64)
+        own = np.unique(rng.integers(0, 1 << 63, n + 20).astype(np.uint64) * np.uint64(2))
+        rng.shuffle(own)
         a, b = np.sort(own[:n]), np.sort(own[int(rng.integers(0, n // 8 + 1)) : n + int(rng.integers(0, n // 8 + 1))])
-        common = np.sort(rng.choice(1000, 300, replace=False)).astype(np.int64)
-        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
-            assert np.intersect1d(nd.prefix(a, common), nd.prefix(b, common)).size
+        common = np.sort(rng.choice(own, 5, replace=False))
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        parts = [nd.split_set(x, common) for x in (a, b)]
+        shared = np.intersect1d(parts[0][0], parts[1][0])
+
+        def prefix(x, first, tail):
+            alone = np.setdiff1d(first, shared)
+            return np.concatenate([np.intersect1d(first, shared)[: max(0, nd.prefix_size(len(x)) - len(alone))], tail])
+
+        assert np.intersect1d(prefix(a, *parts[0]), prefix(b, *parts[1])).size
+
+
+def test_rows_that_others_hold_are_sent_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        h = np.sort(rng.integers(0, 12, int(rng.integers(1, 40))))
+        cuts = np.sort(rng.integers(0, len(h) + 1, 4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(k)], names=["h", "key"]) for x, k in zip(np.split(h, cuts), np.split(np.arange(len(h)), cuts))]
+        got = [k for b in nd._held_by_others(iter(batches)) for k in b["key"].to_pylist()]
+        assert got == [k for k in range(len(h)) if (h == h[k]).sum() > 1]
