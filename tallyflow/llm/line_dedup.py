@@ -1,13 +1,17 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents arrive in batches. A run is a Parquet table of (h, n_docs, max_id),
-one row for each line hash, range-partitioned and sorted by hash. A new batch
-is reduced to such a table (map-side combined, so a line that a third of all
-documents hold sends one row a task), merge-anti-joined with the runs so far
-to tell the lines that are new, and added as a run of level 0. When a level
-has ``FAN_OUT`` runs they are compacted into one run of the next level by a
-sorted merge that adds counts. Nothing is rewritten more often than there are
-levels.
+Documents arrive in batches. A run is a Parquet table of (h, n_docs, max_id), one
+row for each line hash, each file sorted by hash. A new batch is reduced to such a
+table (map-side combined, so a line that a third of all documents hold sends one
+row a task) and merge-anti-joined with the runs so far: a line that a run already
+knows to be in ``min_docs`` documents, and in one with an id at least as large, is
+settled and adds nothing. What is left becomes a run of level 0. When a level has
+``FAN_OUT`` runs they are compacted into one run of the next level, which adds
+counts and settles more lines. Nothing is rewritten more often than there are
+levels. Batches come in descending ranges of ids, so a line's largest id is in its
+first batch and repeats in later ones settle; any other order gives the same
+result. With a path the runs are kept: ``LineRuns.open`` finds them again, and a
+later call adds its documents as further batches.
 
 A line's key is the line without ASCII blanks at both ends and with A-Z in
 lower case. Keys of at least ``min_chars`` code points in at least ``min_docs``
@@ -16,20 +20,21 @@ documents lose all their lines but those of the largest id that holds them.
 Defined cases: null or empty text is one empty line; a null id is the smallest
 id; repeated rows are documents of their own, and those that share the largest
 id all keep the line; a text whose lines all go becomes empty; an empty table
-gives an empty result. Added columns start with ``__tf_``.
+gives an empty result. Added columns start with ``__tf_``; columns of ``df`` with
+these names are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, row_key, schema_with, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, documents, new_path, row_key, schema_with, text_bytes, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -39,6 +44,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 LEAST = -(2**63)
 
 _KEYS = "rid long, id long, h binary, at array<int>"
+_RUN = "h binary, n_docs long, max_id long"
 
 
 def line_keys(text: bytes, min_chars: int) -> dict[bytes, list[int]]:
@@ -69,48 +75,73 @@ def _emit_keys(min_chars: int):
 
 
 class LineRuns:
-    """Levelled sorted runs of (h, n_docs, max_id)."""
+    """Levelled sorted runs of (h, n_docs, max_id); kept under ``path`` if there is one.
 
-    def __init__(self, fan_out: int = FAN_OUT):
-        self.fan_out = fan_out
-        self.levels: list[list[DataFrame]] = [[]]
+    Each state of the runs is a small table of (level, run) names, numbered; a state
+    is written after its runs, so a call that fails leaves the one before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_out: int = FAN_OUT, min_docs: int = MIN_DOCS):
+        self.spark, self.path, self.fan_out, self.min_docs, self.state = spark, (path or new_path(spark, "line-runs")).rstrip("/"), fan_out, min_docs, 0
+        self.levels: list[list[str]] = [[]]
 
     @staticmethod
-    def _sorted_run(df: DataFrame) -> DataFrame:
+    def open(spark: SparkSession, path: str, fan_out: int = FAN_OUT, min_docs: int = MIN_DOCS) -> LineRuns:
+        """The runs kept under a path, none if nothing is there yet."""
+        runs = LineRuns(spark, path, fan_out, min_docs)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{runs.path}/states/*/_SUCCESS")
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        runs.state = max((int(f.getPath().getParent().getName()) for f in found), default=0)
+        if runs.state:
+            for r in sorted(spark.read.parquet(f"{runs.path}/states/{runs.state}").collect(), key=lambda r: (r.level, r.place)):
+                while len(runs.levels) <= r.level:
+                    runs.levels.append([])
+                runs.levels[r.level].append(r.run)
+        return runs
+
+    def save(self) -> None:
+        rows = [(level, place, run) for level, own in enumerate(self.levels) for place, run in enumerate(own)]
+        self.state += 1
+        self.spark.createDataFrame(rows, "level int, place int, run string").coalesce(1).write.parquet(f"{self.path}/states/{self.state}")
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(f"{self.path}/{run}")
+
+    def _sorted_run(self, df: DataFrame) -> str:
         """Adding up deals by hash; each file of a run is sorted by h."""
+        name = f"run-{uuid.uuid4().hex}"
         merged = df.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
-        return written(merged.sortWithinPartitions("h"), "run")
+        merged.sortWithinPartitions("h").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self._read(run) for level in self.levels for run in level]
 
-    def merged(self) -> DataFrame | None:
+    def merged(self) -> DataFrame:
         """All runs as one table with one row for each hash."""
         runs = self.runs()
         if not runs:
-            return None
-        if len(runs) == 1:
-            return runs[0]
-        return self._sorted_run(_union(runs))
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Add a batch of (h, id), one row for each document and line hash; returns its run."""
-        counted = keys.select("h", F.lit(1).cast("long").alias("n_docs"), F.col("id").alias("max_id"))
-        self.levels[0].append(self._sorted_run(counted))
-        run, level = self.levels[0][-1], 0
+            return self.spark.createDataFrame([], _RUN)
+        return runs[0] if len(runs) == 1 else self._read(self._sorted_run(_union(runs)))
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """Rows of a batch (h, n_docs, max_id) that can still change a line's fate: a merge-anti-join with each run."""
+        for run in self.runs():
+            known = run.where(F.col("n_docs") >= self.min_docs).select(F.col("h").alias("known"), F.col("max_id").alias("known_id")).hint("merge")
+            batch = batch.join(known, (F.col("h") == F.col("known")) & (F.col("known_id") >= F.col("max_id")), "left_anti")
+        return batch
+
+    def add(self, keys: DataFrame) -> None:
+        """Add a batch of (h, id), one row for each document and line hash."""
+        counted = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("max_id"))
+        self.levels[0].append(self._sorted_run(self.unsettled(counted)))
+        level = 0
         while len(self.levels[level]) >= self.fan_out:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._sorted_run(_union(self.levels[level])))
+            self.levels[level + 1].append(self._sorted_run(_union([self._read(r) for r in self.levels[level]])))
             self.levels[level] = []
             level += 1
-        return run
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Rows of ``batch`` whose hash is in none of the runs: a merge-anti-join with each."""
-        for run in self.runs():
-            batch = batch.join(run.hint("merge").select("h"), "h", "left_anti")
-        return batch
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -136,19 +167,27 @@ def _drop_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT, runs: LineRuns | None = None
 ) -> DataFrame:
-    """``df`` with __tf_kept (the text left), __tf_n_lines, __tf_n_dropped and __tf_sha256."""
+    """``df`` with __tf_kept (the text left), __tf_n_lines, __tf_n_dropped and __tf_sha256.
+
+    With kept ``runs`` the documents of earlier calls count too, and these documents are added for later ones.
+    """
     bounded_batches(df.sparkSession)
+    df = df.drop(*(c for c in df.columns if c.startswith("__tf_") and c not in (id_col, text_col)))
     rid = row_key(F.col(id_col), F.col(text_col))
     slim = df.select(rid.alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(text_col).alias("text"))
-    keys = slim.mapInArrow(_emit_keys(min_chars), _KEYS).withColumn("batch", F.pmod("rid", F.lit(batches)).cast("int"))
-    keys = written(keys, "line-keys")
-
-    runs = LineRuns(fan_out)
-    for number in range(batches):
-        runs.add(keys.where(F.col("batch") == number).select("h", "id"))
+    keys = written(slim.mapInArrow(_emit_keys(min_chars), _KEYS), "line-keys")
+
+    kept = runs is not None
+    runs = runs if kept else LineRuns(df.sparkSession, None, fan_out, min_docs)
+    bounds = sorted(set(keys.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)), reverse=True) if batches > 1 else []
+    for high, low in zip([None, *bounds], [*bounds, None], strict=True):
+        own = keys if high is None else keys.where(F.col("id") <= int(high))
+        runs.add((own if low is None else own.where(F.col("id") > int(low))).select("h", "id"))
     frequent = runs.merged().where(F.col("n_docs") >= min_docs).select("h", "max_id")
+    if kept:
+        runs.save()
 
     # Rows that repeat in id and text have the same lines; one of them speaks for all.
     lost = keys.join(frequent, "h").where("id <> max_id").select("rid", "id", F.explode("at").alias("line"))
