@@ -24,8 +24,8 @@ import numpy as np
 #: Symbols up to which a string of names is sorted by induction.
 FEW_SYMBOLS = 1024
 #: Tuples handled at once, and tuples a queue holds before it moves to disk.
-BATCH = 1 << 19
-HELD = 1 << 18
+BATCH = 1 << 17
+HELD = 1 << 14
 
 
 class DiskQueue:
@@ -79,19 +79,44 @@ class DiskQueue:
                 yield suffixes[::-1], common[::-1]
 
 
+#: Items of an array from which on it lies in a scratch file.
+IN_MEMORY = 1 << 20
+#: Items of a pass over an array that does not lie in memory.
+STRIDE = 1 << 20
+
+
+def scratch_array(n: int, kind) -> np.ndarray:
+    """Zeros; large arrays are memory-mapped scratch files, which the system writes out when memory is short."""
+    if n <= IN_MEMORY:
+        return np.zeros(n, kind)
+    with tempfile.TemporaryFile() as file:  # the mapping keeps it
+        file.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(file, kind, "r+", shape=(n,))
+
+
 def _place(n: int) -> type:
     """The narrowest type for places of a text."""
     return np.int32 if n < (1 << 31) - 1 else np.int64
 
 
 def s_types(text: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than the one after them; the last is not."""
+    """Which suffixes are smaller than the one after them; the last is not. From the end, a stretch at a time."""
     n = len(text)
-    rising = text[:-1] < text[1:]
-    differs = np.append(text[:-1] != text[1:], True)
-    following = np.where(differs, np.arange(n, dtype=_place(n)), n).astype(_place(n), copy=False)[::-1]
-    np.minimum.accumulate(following, out=following)
-    return np.append(rising, False)[following[::-1]]
+    out = scratch_array(n, bool)
+    after = False  # type of the suffix that follows the stretch
+    for stop in range(n, 0, -STRIDE):
+        at = max(0, stop - STRIDE)
+        own = text[at : min(stop + 1, n)]
+        size = stop - at
+        rising, differs = np.zeros(size, bool), np.zeros(size, bool)
+        rising[: len(own) - 1], differs[: len(own) - 1] = own[:-1] < own[1:], own[:-1] != own[1:]
+        if stop == n:
+            differs[-1] = True
+        following = np.where(differs, np.arange(size), size)[::-1]
+        following = np.minimum.accumulate(following)[::-1]
+        out[at:stop] = np.append(rising, after)[following]
+        after = bool(out[at])
+    return out
 
 
 class Induction:
@@ -128,13 +153,20 @@ class Induction:
             self.least[c] = common[own[-1] + 1 :].min(initial=self.cap)
 
 
-def first_difference(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+def in_words(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The 8 bytes that begin at each symbol, and a symbol's width in bytes."""
+    width = 1 if text.dtype.itemsize == 1 else 2 if text.dtype.itemsize == 2 or len(text) and int(text.max()) < 1 << 16 else 4
+    padded = scratch_array(len(text) + 8, f"<u{width}")
+    for at in range(0, len(text), STRIDE):
+        padded[at : at + STRIDE][: len(text) - at] = text[at : at + STRIDE]
+    return np.ndarray((len(text),), "<u8", buffer=padded, strides=(width,)), width
+
+
+def first_difference(words: tuple[np.ndarray, int], a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix, at most ``cap``, of pairs of suffixes, by comparing symbols, 8 bytes at a time."""
+    words, width = words
     out = np.zeros(len(a), np.int64)
-    n, open_, width = len(text), np.arange(len(a)), text.dtype.itemsize
-    if width not in (1, 2):
-        text, width = text.astype("<u2"), 2  # names of a recursion: few symbols
-    words = np.ndarray((n,), "<u8", buffer=text.tobytes() + bytes(8), strides=(width,))
+    n, open_ = len(words), np.arange(len(a))
     while open_.size:
         i, j = a[open_] + out[open_], b[open_] + out[open_]
         odd = words[np.minimum(i, n - 1)] ^ words[np.minimum(j, n - 1)]
@@ -179,7 +211,7 @@ def induce(text: np.ndarray, symbols: int, is_s: np.ndarray, seeds: np.ndarray,
             for at in range(0, len(own), BATCH):
                 work.pass_on(own[at : at + BATCH], common[at : at + BATCH], l_queues, False)
 
-    sorted_lms: list[np.ndarray] = []
+    sorted_lms, left = scratch_array(len(seeds), seeds.dtype), len(seeds)
     for c in range(symbols - 1, -1, -1):
         work.next_bucket()
         last = -1
@@ -188,8 +220,8 @@ def induce(text: np.ndarray, symbols: int, is_s: np.ndarray, seeds: np.ndarray,
             if pair:
                 pair(np.append(last, suffixes[:-1]), suffixes, common)
             lms = suffixes[(suffixes > 0) & ~is_s[suffixes - 1]]
-            if len(lms):
-                sorted_lms.append(lms)
+            sorted_lms[left - len(lms) : left] = lms[::-1]
+            left -= len(lms)
             last = int(suffixes[-1])
         if last_l[c] >= 0:
             above = one(last_l[c], last) if last >= 0 else 0
@@ -200,7 +232,7 @@ def induce(text: np.ndarray, symbols: int, is_s: np.ndarray, seeds: np.ndarray,
                 shifted = np.append(np.int16(above), common[:-1]).astype(np.int16)
                 above = int(common[-1])
                 work.pass_on(suffixes, shifted, s_queues, True)
-    return np.concatenate(sorted_lms)[::-1] if sorted_lms else np.zeros(0, np.int64)
+    return sorted_lms[left:]
 
 
 def doubled(names: np.ndarray, enough: int | None = None) -> np.ndarray:
@@ -239,30 +271,64 @@ def _tie(values: np.ndarray) -> np.ndarray:
     return np.append(same, False) | np.append(False, same)
 
 
+def leftmost(is_s: np.ndarray) -> np.ndarray:
+    """Places of the left-most S suffixes."""
+    parts = [np.flatnonzero(is_s[at : at + STRIDE] & ~np.append(True if at == 0 else is_s[at - 1], is_s[at : at + STRIDE][:-1])) + at for at in range(0, len(is_s), STRIDE)]
+    out, at = scratch_array(sum(map(len, parts)), _place(len(is_s))), 0
+    for part in parts:
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def by_first_symbol(text: np.ndarray, places: np.ndarray, symbols: int) -> np.ndarray:
+    """Places in the order of their symbols, those of one symbol as they are."""
+    strides = [places[at : at + STRIDE] for at in range(0, len(places), STRIDE)]
+    ends = np.cumsum(sum((np.bincount(text[x], minlength=symbols) for x in strides), np.zeros(symbols, np.int64)))
+    out, at = scratch_array(len(places), places.dtype), np.append(0, ends[:-1])
+    for x in strides:
+        symbol = text[x]
+        order = np.argsort(symbol, kind="stable")
+        counts = np.bincount(symbol, minlength=symbols)
+        into = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(len(x))
+        out[into] = x[order]
+        at += counts
+    return out
+
+
 def sorted_lms(text: np.ndarray, symbols: int, is_s: np.ndarray, cap: int | None = None) -> np.ndarray:
     """Left-most S suffixes in order (of their first ``cap`` symbols, if given)."""
-    lms = np.flatnonzero(is_s & ~np.append(True, is_s[:-1]))
+    lms = leftmost(is_s)
     if len(lms) < 2:
         return lms
-    by_symbol = lms[np.argsort(text[lms], kind="stable")]
-    order = induce(text, symbols, is_s, by_symbol, np.zeros(len(lms), np.int16), 1, None)
+    order = induce(text, symbols, is_s, by_first_symbol(text, lms, symbols), np.broadcast_to(np.int16(0), len(lms)), 1, None)
     # Name equal substrings alike. A substring ends with the next left-most S suffix's first symbol.
-    follow = np.full(len(text), len(text), _place(len(text)))
+    n, words = len(text), in_words(text)
+    follow = scratch_array(n, lms.dtype)
+    for at in range(0, n, STRIDE):
+        follow[at : at + STRIDE] = n
     follow[lms[:-1]] = lms[1:]
-    size = np.minimum(follow[order].astype(np.int64) + 1, len(text)) - order
-    a, b = order[:-1], order[1:]
-    same = (size[:-1] == size[1:]) & (follow[a] < len(text)) & (follow[b] < len(text))
-    check = np.flatnonzero(same)
-    longest = int(size[1:][check].max(initial=0))
-    same[check] = first_difference(text, a[check], b[check], longest) >= size[1:][check]
-    name = np.cumsum(np.append(0, ~same))
-    if name[-1] == len(lms) - 1:
+    name, names = 0, scratch_array(len(lms), np.int32)
+    for at in range(1, len(order), STRIDE):
+        a, b = order[at - 1 : at + STRIDE - 1], order[at : at + STRIDE]
+        a = a[: len(b)]
+        size = np.minimum(follow[b].astype(np.int64) + 1, n) - b
+        same = (np.minimum(follow[a].astype(np.int64) + 1, n) - a == size) & (follow[a] < n) & (follow[b] < n)
+        check = np.flatnonzero(same)
+        same[check] = first_difference(words, a[check], b[check], int(size[check].max(initial=0))) >= size[check]
+        names[at : at + STRIDE] = name + np.cumsum(~same)
+        name = int(names[at + len(b) - 1])
+    if name == len(lms) - 1:
         return order
-    follow[order] = name
-    reduced = follow[lms]
-    del follow, size, same, a, b
-    if name[-1] < FEW_SYMBOLS:
-        return lms[sorted_suffixes(reduced, int(name[-1]) + 1)]
+    del words
+    for at in range(0, len(order), STRIDE):
+        follow[order[at : at + STRIDE]] = names[at : at + STRIDE]
+    reduced = names  # in the order of the text
+    for at in range(0, len(lms), STRIDE):
+        reduced[at : at + STRIDE] = follow[lms[at : at + STRIDE]]
+    del follow
+    if name < FEW_SYMBOLS:
+        return lms[sorted_suffixes(reduced, name + 1)]
     return lms[doubled(reduced, cap and cap // 2 + 2)]  # a name covers two symbols at least
 
 
@@ -280,7 +346,7 @@ def sorted_suffixes(text: np.ndarray, symbols: int) -> np.ndarray:
         if len(second) > 1 or first[0] < 0 or is_s[first[0]] == is_s[second[0]]:  # not the pair where two kinds meet
             pair(first, second, common)
 
-    induce(text, symbols, is_s, sorted_lms(text, symbols, is_s), np.zeros(int((is_s & ~np.append(True, is_s[:-1])).sum()), np.int16), 1, each)
+    induce(text, symbols, is_s, sorted_lms(text, symbols, is_s), np.zeros(len(leftmost(is_s)), np.int16), 1, each)
     return np.concatenate([np.concatenate(v)[::-1] if k & 1 else np.concatenate(v) for k, v in sorted(rising.items())])
 
 
@@ -292,9 +358,9 @@ def neighbours(text: np.ndarray, cap: int, pair: Callable[[np.ndarray, np.ndarra
     if not len(text):
         return
     is_s = s_types(text)
-    seeds = sorted_lms(text, 256, is_s, cap)
-    common = np.zeros(len(seeds), np.int16)
+    seeds, words = sorted_lms(text, 256, is_s, cap), in_words(text)
+    common = scratch_array(len(seeds), np.int16)
     for at in range(1, len(seeds), 1 << 18):
         upto = min(len(seeds), at + (1 << 18))
-        common[at:upto] = first_difference(text, seeds[at - 1 : upto - 1], seeds[at:upto], cap)
+        common[at:upto] = first_difference(words, seeds[at - 1 : upto - 1], seeds[at:upto], cap)
     induce(text, 256, is_s, seeds, common, cap, pair)

@@ -11,16 +11,20 @@ they stand, so a shard that gets all segments (runs of starts under one hash,
 with the bytes they cover) of a hash sees every repeat of their strings.
 Hashes that occur once need no shard. About one start in 185 begins a segment,
 so the hashes are a small fraction of the text; only text that holds a hash
-seen elsewhere travels. Segments that agree byte for byte are joined before the
-shuffle and leave their owners behind. Of a hash with more than
-``HOT_SEGMENTS`` segments only starts go on whose whole string has a hash seen
-twice; such hashes are counted map-side first and dealt evenly.
-
-Sorting. A shard lays its distinct segments end to end in a scratch file and
-sorts them by ``induced_sort``, whose queues of (suffix, common prefix) tuples
-live on disk beyond a fixed share of memory; neighbours with a common prefix
-of ``length`` bytes mark their starts. Segments that several texts share byte
-for byte are sorted once. Covered bytes go back to their text as spans.
+seen elsewhere travels. A segment of more than ``CUT`` starts (text that repeats
+itself) is cut where its hash occurs again, so that a period of any kind gives
+equal parts. Segments that agree byte for byte are joined before the shuffle and
+leave their owners behind. Of a hash with more than ``HOT_SEGMENTS`` segments only
+starts go on whose whole string has a hash seen twice; such hashes are counted
+map-side first and dealt evenly, and what is left of them is joined over all
+tasks before the shards are dealt.
+
+Sorting. A shard lays its distinct segments end to end in a memory-mapped scratch
+file (the task's own; nothing in it outlives the task) and sorts them by
+``induced_sort``, whose queues of (suffix, common prefix) tuples live on disk
+beyond a fixed share of memory; neighbours with a common prefix of ``length``
+bytes mark their starts. Segments that several texts share byte for byte are
+sorted once. Covered bytes go back to their text as spans.
 
 Defined cases: null counts as empty; strings are bytes of UTF-8, matches never
 cross texts, overlaps count and strings are judged on the input; repeated rows
@@ -31,6 +35,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm._common import bounded_batches, by_batch, documents, row_key, text_bytes, written
-from tallyflow.llm.induced_sort import neighbours
+from tallyflow.llm.induced_sort import neighbours, scratch_array
 
 LENGTH = 400
 GRAM = 32
@@ -49,6 +54,8 @@ GRAM = 32
 SHARD_BYTES = 6 << 20
 #: A hash with more segments is hot.
 HOT_SEGMENTS = 1000
+#: Starts of a segment from which on it is cut.
+CUT = 4096
 SEPARATOR = 0xFF  # no byte of UTF-8
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -119,15 +126,42 @@ def segments_of(texts: list[bytes], length: int, gram: int) -> list[tuple[np.nda
     places = np.sort(rank[hit] * (len(h) + 1) + small[hit])
     base = np.searchsorted(ranked, value) * (len(h) + 1)
     seen = np.searchsorted(places, base + stop - 1 + width, "left") - np.searchsorted(places, base + first, "left")
+    seen = np.minimum(seen, 2)
     owner = valid[first]
+    long = np.flatnonzero(stop - first > CUT)
+    if len(long):
+        first, stop, value, seen, owner = cut_long(first, stop, value, seen, owner, long, places, base, width)
     cuts = np.searchsorted(owner, np.arange(len(own) + 1))
     starts = ends - sizes
     for k, i in enumerate(own):
         a, b = cuts[k], cuts[k + 1]
-        out[i] = (value[a:b], first[a:b] - starts[k], stop[a:b] - starts[k], np.minimum(seen[a:b], 2))
+        out[i] = (value[a:b], first[a:b] - starts[k], stop[a:b] - starts[k], seen[a:b])
     return out
 
 
+def cut_long(first, stop, value, seen, owner, long, places, base, width):
+    """Cut segments of many starts at occurrences of their hash, about every ``CUT`` starts.
+
+    A part begins at the first occurrence after so many starts of the part before,
+    so text with a period is cut at the same phase again and again.
+    """
+    rows = []
+    for i in long.tolist():
+        a, b = np.searchsorted(places, (base[i] + first[i], base[i] + stop[i] - 1 + width))
+        own = places[a:b] - base[i]
+        edges, at = [], first[i]
+        while (k := np.searchsorted(own, at + CUT)) < len(own) and own[k] < stop[i]:
+            at = own[k]
+            edges.append(at)
+        rows += [(s, e, i) for s, e in zip([first[i], *edges], [*edges, stop[i]], strict=True)]
+    rest = np.setdiff1d(np.arange(len(first)), long)
+    new = np.array(rows, np.int64).reshape(-1, 3)
+    source = np.concatenate([rest, new[:, 2]])
+    starts, ends = np.concatenate([first[rest], new[:, 0]]), np.concatenate([stop[rest], new[:, 1]])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], *(x[source[order]] for x in (value, seen, owner))
+
+
 def _digest(length: int, gram: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or b"" for t in text_bytes(batch["text"])]
@@ -174,14 +208,14 @@ def wanted_parts(wanted: list[dict], alive: list[int] | None) -> Iterator[tuple[
                 yield s["hash"], int(run[0]), int(run[-1]) + 1
 
 
-def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, int, int, bytes]]:
-    """(tid, hash, first start, bytes) of all wanted parts."""
+def _parts(batch: pa.RecordBatch, length: int, hot: bool | None = None) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(tid, hash, first start, bytes) of all wanted parts, or of those of hot or of other hashes."""
     for text, tid, wanted, alive in zip(text_bytes(batch["text"]), *(batch[c].to_pylist() for c in ("tid", "wanted", "alive")), strict=True):
-        for key, first, stop in wanted_parts(wanted, alive):
+        for key, first, stop in wanted_parts(wanted if hot is None else [s for s in wanted if s["hot"] == hot], alive):
             yield tid, key, first, text[first : stop - 1 + length]
 
 
-def _contents(length: int):
+def _contents(length: int, hot: bool):
     """Distinct contents of a task's segments with how often they occur: copies are joined before the shuffle."""
 
     def rows(held: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
@@ -191,7 +225,7 @@ def _contents(length: int):
         held: dict[tuple[int, bytes], int] = {}
         size = 0
         for batch in batches:
-            for _, key, _, own in _parts(batch, length):
+            for _, key, _, own in _parts(batch, length, hot):
                 seen = held.get((key, own), 0)
                 held[key, own] = seen + 1
                 size += 0 if seen else len(own) + 200
@@ -219,7 +253,7 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarr
 
     Segments lie end to end, each with one separator; ``ends`` has the places after these.
     """
-    flagged = np.zeros(len(text), bool)
+    flagged = scratch_array(len(text), bool)
 
     def fits(starts: np.ndarray) -> np.ndarray:
         return starts + length < ends[np.searchsorted(ends, starts, "right")]
@@ -247,27 +281,32 @@ def _sort_shard(length: int):
     """Spans (cid, start, stop) of each content's repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times: dict[bytes, int] = {}
-        for batch in batches:
-            for own, n in zip(batch["bytes"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                times[own] = times.get(own, 0) + n
-        parts = list(times)
-        if not parts:
-            return
-        sizes = np.array([len(p) for p in parts])
-        ends = np.cumsum(sizes + 1)
-        text = np.frombuffer(bytes([SEPARATOR]).join([*parts, b""]), np.uint8)
-        flagged = repeated_starts(text, ends, length)
-        cids, starts, stops = [], [], []
-        for part, size, end in zip(parts, sizes.tolist(), ends.tolist(), strict=True):
-            at = end - 1 - size
-            found = np.arange(size - length + 1) if times[part] > 1 else np.flatnonzero(flagged[at : at + size - length + 1])
-            spans = spans_of(found, length)
-            if spans:
-                cids += [xxhash.xxh3_128_digest(part)] * len(spans)
+        times: dict[bytes, list[int]] = {}  # digest to (occurrences, place, size)
+        with tempfile.TemporaryFile() as scratch:
+            total = 0
+            for batch in batches:
+                for own, n in zip(batch["bytes"], batch["n"].to_pylist(), strict=True):
+                    own = own.as_buffer()
+                    found = times.setdefault(xxhash.xxh3_128_digest(own), [0, total, own.size])
+                    found[0] += n
+                    if found[1] == total:
+                        scratch.write(own)
+                        scratch.write(bytes([SEPARATOR]))
+                        total += own.size + 1
+            if not total:
+                return
+            scratch.flush()
+            text = np.memmap(scratch, np.uint8, "r", shape=(total,))
+            ends = np.fromiter((at + size + 1 for _, at, size in times.values()), np.int64, len(times))
+            flagged = repeated_starts(text, ends, length)
+            cids, starts, stops = [], [], []
+            for cid, (n, at, size) in times.items():
+                found = np.arange(size - length + 1) if n > 1 else np.flatnonzero(flagged[at : at + size - length + 1])
+                spans = spans_of(found, length)
+                cids += [cid] * len(spans)
                 starts += [a for a, _ in spans]
                 stops += [b for _, b in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["cid", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["cid", "start", "stop"])
 
     return run
 
@@ -320,7 +359,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     total = held.select(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["first"] + F.lit(length)))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    contents = alive.mapInArrow(_contents(length), "hash long, bytes binary, n long")
+    schema = "hash long, bytes binary, n long"
+    # Every task sends the contents of hot hashes once; they are joined before one task gets them.
+    joined = alive.where(is_hot).mapInArrow(_contents(length, True), schema).groupBy("hash", "bytes").agg(F.sum("n").alias("n"))
+    contents = alive.mapInArrow(_contents(length, False), schema).unionByName(joined)
     found = contents.repartition(shards, "hash").mapInArrow(_sort_shard(length), "cid binary, start int, stop int")
     placed = alive.mapInArrow(_owners(length), "cid binary, tid binary, first int").join(found, "cid")
     spans = placed.groupBy("tid").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))).alias("spans"))

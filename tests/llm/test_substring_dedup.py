@@ -1,10 +1,14 @@
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from tallyflow.llm import induced_sort as order
+from tallyflow.llm import substring_dedup as sub
 from tallyflow.llm.substring_dedup import op4_substring_dedup, segments_of, substring_dedup
 
 
@@ -76,6 +80,51 @@ def test_segments_tile_all_starts():
     assert weight.tolist() == [2]
 
 
+def test_long_segments_are_cut_in_equal_parts(monkeypatch):
+    monkeypatch.setattr(sub, "CUT", 100)
+    rng = random.Random(3)
+    period = bytes(rng.choice(b"abcdefgh") for _ in range(37))
+    text = b"head " + period * 400 + b" tail"
+    ((keys, first, stop, weight),) = segments_of([text], 60, 16)
+    assert [i for a, b in zip(first, stop, strict=True) for i in range(a, b)] == list(range(len(text) - 59))
+    assert max(stop - first) <= 100 + 37 and set(weight[stop - first > 37]) == {2}
+    assert len({text[a : b + 59] for a, b in zip(first, stop, strict=True)}) <= 8 < len(first)
+    for a, b, key in zip(first, stop, keys, strict=True):
+        assert key == sub.window_minima(sub.gram_hashes(np.frombuffer(text[a : a + 60], np.uint8), 16), 45)[0]
+        assert b > a
+
+
+def test_a_shard_is_sorted_within_little_memory():
+    """12 MB of text with 128 MB of writable private memory beside what the interpreter holds."""
+    code = """
+import resource, numpy as np
+from tallyflow.llm import induced_sort as order, substring_dedup as sub
+rng = np.random.default_rng(1)
+base = rng.integers(97, 101, 3 << 20).astype(np.uint8)
+text = order.scratch_array(4 * len(base), np.uint8)
+for i in range(4):
+    text[i * len(base) : (i + 1) * len(base)] = base if i in (0, 2) else rng.integers(97, 101, len(base))
+text[-1] = sub.SEPARATOR
+flagged = sub.repeated_starts(text, np.array([len(text)]), 400)
+n = len(base)
+print(int(flagged[: n - 399].sum()) == n - 399, int(flagged[2 * n : 3 * n - 399].sum()) == n - 399, int(flagged.sum()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(sub.__file__).parents[2]), check=False)
+    assert out.returncode == 0, out.stderr[-500:]
+    assert out.stdout.split()[:2] == ["True", "True"]
+
+
+def test_stretches_of_types_equal_a_single_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 3, 500).astype(np.uint8)
+    whole, lms = order.s_types(text).copy(), order.leftmost(order.s_types(text))
+    monkeypatch.setattr(order, "STRIDE", 7)
+    monkeypatch.setattr(order, "IN_MEMORY", 10)
+    assert (order.s_types(text) == whole).all() and (order.leftmost(whole) == lms).all()
+    plain_types = [bytes(text[i:]) < bytes(text[i + 1 :]) for i in range(499)] + [False]
+    assert whole.tolist() == plain_types
+
+
 def test_induced_order_equals_plain_sort():
     rng = random.Random(1)
     for _ in range(150):
