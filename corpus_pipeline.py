@@ -3,8 +3,10 @@
 Each stage works on all that its predecessor kept and, but for the last, returns
 the columns of ``documents``. Stages keep clean documents:
 
-* language ID drops texts that are null, have no letter, or whose best language
-  has a mean word marginal below ``MIN_SCORE``; a missing ``lang`` is filled in;
+* language ID drops texts that are null, have no letter, or are in none of the
+  learned languages (evidence below the model's bound, which training texts set);
+  ``lang`` becomes the predicted one where it is missing, or where the mean word
+  marginal is at least ``SURE``;
 * line dedup drops repeated lines from texts (and sets ``n_chars``), never rows;
 * near-dedup keeps the row with the least id of each component of texts whose
   five-word sets have a Jaccard similarity of 0.8 or more;
@@ -20,14 +22,15 @@ from pyspark.sql import functions as F
 from tallyflow.llm import decontaminate, langid, line_dedup, near_dedup as near_copies, packing
 from tallyflow.llm._common import written
 
-#: Least mean marginal of the predicted language.
-MIN_SCORE = 0.3
+#: Mean word marginal from which a prediction holds over the label that came with the document.
+SURE = 0.9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tagged = langid.predict(docs, langid.fit(docs))
-    known = tagged.where((F.col("__tf_lang") != langid.UNKNOWN) & (F.col("__tf_score") >= MIN_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "__tf_lang")).select(*docs.columns)
+    model = langid.fit(docs)
+    tagged = langid.predict(docs, model)
+    known = tagged.where((F.col("__tf_lang") != langid.UNKNOWN) & (F.col("__tf_evidence") >= model.least_evidence))
+    return known.withColumn("lang", F.when(F.col("__tf_score") >= SURE, F.col("__tf_lang")).otherwise(F.coalesce("lang", "__tf_lang"))).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
