@@ -2,11 +2,15 @@
 
 A document's byte trigrams are hashed into a vector, projected by a fixed
 random matrix to ``DIMS`` dimensions and numbered along a Hilbert curve.
-Documents are range-sorted by (Hilbert key, id), so neighbours on the curve
-share a partition and a sequence; ties (copies) are cut by id. In a partition
-tokens are laid end to end and cut every ``LENGTH``; what remains at the end of
-a partition is cut into sequences whose lengths are powers of two, which need
-no padding. Texts are tokenized once, after the shuffle.
+Documents are written once with their keys; bytes are summed for each cell of the
+curve (at most 2 ** ``MOST_CELL_BITS`` cells), and ranges of cells with about equal
+bytes become partitions, so that long documents that lie near each other do not
+make one range large. A cell of more than a range's bytes (many copies of a text)
+is dealt by row to several partitions. Inside a partition documents are sorted by
+(Hilbert key, id, row), so neighbours on the curve share a sequence. There tokens
+are laid end to end and cut every ``LENGTH``; what remains at the end of a
+partition is cut into sequences whose lengths are powers of two, which need no
+padding. Texts are tokenized once, after the shuffle.
 
 The ids are those of the byte-level BPE vocabulary; the encoder reads the
 rank form of the same vocabulary, which gives the same ids several times
@@ -32,13 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, schema_with, text_bytes
+from tallyflow.llm._common import bounded_batches, by_batch, documents, schema_with, text_bytes, written
 
 LENGTH = 2048
 END_ID = 1
 DIMS = 4
 BITS = 10
 BUCKETS = 1024
+#: Bytes of a range from which on there are more ranges than shuffle partitions.
+RANGE_BYTES = 128 << 20
+MOST_CELL_BITS = 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -109,6 +116,42 @@ def with_curve_key(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(by_batch(run), schema_with(df, "__tf_curve long"))
 
 
+def ranges_of(cells: list[tuple[int, int]], parts: int) -> tuple[list[tuple[int, int, int]], int]:
+    """For each (cell, bytes), in order, its first partition and over how many it is dealt; and the partitions in all.
+
+    About ``parts`` partitions of equal bytes.
+    """
+    most = max(1, -(-sum(n for _, n in cells) // parts))
+    out, part, filled = [], 0, 0
+    for cell, n in cells:
+        if filled and filled + n > most:
+            part, filled = part + 1, 0
+        over = -(-n // most)
+        out.append((cell, part, over))
+        if over > 1:
+            part, filled = part + over, 0
+        else:
+            filled += n
+    return out, part + bool(filled)
+
+
+def along_curve(df: DataFrame) -> DataFrame:
+    """``df`` (id, text) in partitions of about equal bytes along the curve, each in order."""
+    spark = df.sparkSession
+    keyed = with_curve_key(df).withColumns({"__tf_row": F.monotonically_increasing_id(), "__tf_bytes": F.octet_length(F.coalesce("text", F.lit(""))) + 64})
+    keyed = written(keyed, "curve")
+    total = keyed.agg(F.sum("__tf_bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    bits = min(MOST_CELL_BITS, parts.bit_length() + 5)
+    cell = F.shiftright("__tf_curve", DIMS * BITS - bits).alias("__tf_cell")
+    sizes = sorted((r["__tf_cell"], r.n) for r in keyed.groupBy(cell).agg(F.sum("__tf_bytes").alias("n")).collect())
+    ranges, n_parts = ranges_of(sizes, parts)
+    places = spark.createDataFrame(ranges, "__tf_cell long, __tf_part int, __tf_over int")  # at most 2 ** bits rows
+    placed = keyed.withColumn("__tf_cell", cell).join(F.broadcast(places), "__tf_cell")
+    part = (F.col("__tf_part") + F.pmod(F.xxhash64("__tf_row"), F.col("__tf_over")).cast("int")).alias("__tf_part")
+    return placed.select("id", "text", "__tf_curve", "__tf_row", part).repartitionById(max(1, n_parts), "__tf_part").sortWithinPartitions("__tf_curve", "id", "__tf_row").select("id", "text")
+
+
 def powers_of_two(total: int) -> list[int]:
     """The powers of two that add up to ``total``, largest first."""
     return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
@@ -173,8 +216,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """One row for each piece of a document: where it starts, and its place in a sequence."""
     bounded_batches(df.sparkSession)
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    along = with_curve_key(slim).repartitionByRange("__tf_curve", "id").sortWithinPartitions("__tf_curve", "id")
-    return along.mapInArrow(_pack_partition(length, vocabulary), PIECES).withColumnRenamed("id", id_col)
+    return along_curve(slim).mapInArrow(_pack_partition(length, vocabulary), PIECES).withColumnRenamed("id", id_col)
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from tallyflow.llm.packing import END_ID, LENGTH, Packer, coordinates, hilbert_keys, op3_curve_packing, pack, powers_of_two, token_ids
+from tallyflow.llm.packing import END_ID, LENGTH, Packer, coordinates, hilbert_keys, op3_curve_packing, pack, powers_of_two, ranges_of, token_ids
 from tokenizers import Tokenizer
 
 
@@ -50,6 +50,28 @@ def test_odd_texts(spark):
     assert pack(df.limit(0)).collect() == []
 
 
+def test_ranges_have_equal_bytes():
+    rng = np.random.default_rng(3)
+    cells = [(i, int(n)) for i, n in enumerate(rng.integers(1, 2000, 500))]
+    cells[100] = (100, 200_000)  # a third of all bytes in one cell
+    ranges, parts = ranges_of(cells, 40)
+    most = sum(n for _, n in cells) / 40
+    filled = np.zeros(parts)
+    for (_, n), (_, part, over) in zip(cells, ranges, strict=True):
+        filled[part : part + over] += n / over
+    assert filled.max() <= most + 1 and parts <= 90 and (filled > 0).all()
+    assert [p for _, p, _ in ranges] == sorted(p for _, p, _ in ranges)
+    assert ranges_of([], 7) == ([], 0)
+
+
+def test_copies_and_long_texts_are_spread(spark):
+    texts = ["the same text again and again " * 20] * 300 + ["long " * 30000] + [f"text {i} " * 30 for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = pack(df).collect()
+    check_pieces(pieces, dict(enumerate(reference_ids(texts))))
+    assert len({p.sequence_id >> 36 for p in pieces if p.doc_id < 300}) > 1
+
+
 def test_repeated_rows_are_packed_each(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sum(p.length for p in pack(df).collect()) == 3 + 3 + 2
