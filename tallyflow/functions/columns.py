@@ -1,11 +1,11 @@
-"""Column functions; all but the base58 pair are built-in expressions."""
+"""Column functions; all but the base58 ones are built-in expressions."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
 #: Status codes 0 to 6; fixed values of the stream format.
 STATUS_NAMES = ("processed", "confirmed", "finalized", "first_shred_received", "completed", "created_bank", "dead")
@@ -31,17 +31,13 @@ def event_slot() -> Column:
     return F.coalesce(F.col("slot"), F.lit(0).cast("long"))
 
 
-def from_millis(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
-
-
-def from_seconds(s: Column) -> Column:
-    return F.timestamp_seconds(s)
-
-
 def time_bucket(ts: Column, unit: str) -> Column:
-    """Start of the calendar unit; keeps timestamps without zone as they are."""
-    return F.date_trunc(unit, ts)
+    """Start of a row's time unit, which is a calendar unit or a number of hours that divides the day (``2 hours``)."""
+    number, _, name = unit.rpartition(" ")
+    if not number:
+        return F.date_trunc(name, ts)
+    hour = F.date_trunc("hour", ts)
+    return hour - F.make_dt_interval(F.lit(0), F.hour(hour) % int(number))
 
 
 def rfc3339(ts: Column) -> Column:
@@ -53,11 +49,6 @@ def per_second(count: Column, elapsed: Column) -> Column:
     return F.when(elapsed < 0.1, F.lit(0.0)).otherwise(count.cast("double") / elapsed)
 
 
-def null_max(*columns: Column) -> Column:
-    """The greatest of what is not null."""
-    return F.greatest(*columns)
-
-
 def lag_millis(as_of: Column, then: Column) -> Column:
     """Milliseconds from ``then`` to ``as_of``, at least 0; null if ``then`` is."""
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
@@ -99,15 +90,47 @@ def _decode(text: str) -> bytes | None:
     return bytes(zeros) + number.to_bytes((number.bit_length() + 7) // 8, "big")
 
 
+def key_text(raw: bytes) -> str:
+    """The base58 text of a key."""
+    return _encode(raw)
+
+
+def key_bytes(text: str) -> bytes:
+    """Bytes of a key's text: what its base58 stands for, or the text itself where it is not base58."""
+    trimmed = text.strip()
+    raw = _decode(trimmed) if trimmed else None
+    return text.encode() if raw is None else raw
+
+
+def key_bytes_of(text: Column) -> Column:
+    """``key_bytes`` of a column."""
+    return F.pandas_udf(_key_bytes_all, BinaryType())(text)
+
+
+def as_key(value: Column, kind: DataType) -> Column:
+    """A key column as bytes: binary keys as they are, keys of other types by their text."""
+    return value if isinstance(kind, BinaryType) else value.cast("string").cast("binary")
+
+
 def base58_encode(raw: Column) -> Column:
     return F.pandas_udf(_encode_all, StringType())(raw)
 
 
+def base58_encode_each(raws: Column) -> Column:
+    """An array of bytes as an array of base58 texts."""
+    return F.pandas_udf(_encode_arrays, ArrayType(StringType()))(raws)
+
+
 def base58_decode(text: Column | str) -> Column:
     """Null for text that is not base58."""
     return F.pandas_udf(_decode_all, BinaryType())(text)
 
 
+def base58_decode_each(texts: Column) -> Column:
+    """An array of base58 texts as an array of bytes; null where a text is not base58."""
+    return F.pandas_udf(_decode_arrays, ArrayType(BinaryType()))(texts)
+
+
 def checked_key(text: Column | str) -> Column:
     """Struct of the 32-byte key of a base58 text, or the reason why there is none."""
     return F.pandas_udf(_check_all, StructType([StructField("bytes", BinaryType()), StructField("reason", StringType())]))(text)
@@ -121,6 +144,18 @@ def _decode_all(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else _decode(x))
 
 
+def _encode_arrays(raws: pd.Series) -> pd.Series:
+    return raws.map(lambda xs: None if xs is None else [None if x is None else _encode(bytes(x)) for x in xs])
+
+
+def _decode_arrays(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: None if xs is None else [None if x is None else _decode(x) for x in xs])
+
+
+def _key_bytes_all(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else key_bytes(x))
+
+
 def _check_all(text: pd.Series) -> pd.DataFrame:
     def check(x: str | None) -> tuple[bytes | None, str | None]:
         trimmed = (x or "").strip()

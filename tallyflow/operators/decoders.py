@@ -9,62 +9,99 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType
+
+from tallyflow.functions.columns import as_key, base58_encode, key_bytes
+from tallyflow.operators.watch import key_type
 
 DECODED = ("timestamp", "slot", "decoder_name", "record_key", "event_index", "payload")
 
 
 class Decoder(Protocol):
-    """What ``decode`` takes: a name, and a function from events to decoded rows."""
+    """What ``decode`` takes: a name, and either of two functions.
+
+    ``rows`` gives an array of ``decoded`` structs for each event as an expression;
+    all such decoders of a call run in one pass over the events. ``apply`` turns
+    events into decoded rows by itself, for what no expression can say.
+    """
 
     name: str
 
-    def apply(self, events: DataFrame) -> DataFrame: ...
+
+def decoded(name: str, key: Column, kind: DataType, index: Column, payload: Column) -> Column:
+    """One decoded row inside an event; binary keys become base58 text later, for the rows that come out only."""
+    binary = isinstance(kind, BinaryType)
+    return F.struct(
+        F.lit(name).alias("decoder_name"), (key if binary else F.lit(None).cast("binary")).alias("raw"), (F.lit(None).cast("string") if binary else key.cast("string")).alias("text"),
+        index.cast("short").alias("event_index"), payload.alias("payload"),
+    )
+
+
+_NONE = "array<struct<decoder_name: string, raw: binary, text: string, event_index: smallint, payload: string>>"
+
+
+def _none() -> Column:
+    return F.array().cast(_NONE)
+
+
+def _exploded(events: DataFrame, rows: Column, *keep: str) -> DataFrame:
+    each = events.select(F.col("observed_at").alias("timestamp"), "slot", *keep, F.explode(rows).alias("d"))
+    key = F.coalesce("d.text", base58_encode(F.col("d.raw"))) if _has_binary(events) else F.col("d.text")
+    return each.select("timestamp", "slot", "d.decoder_name", key.alias("record_key"), "d.event_index", "d.payload", *keep)
+
+
+def _has_binary(events: DataFrame) -> bool:
+    return any(isinstance(key_type(events, p), BinaryType) for p in ("account.pubkey", "transaction.signature"))
 
 
 def decode(events: DataFrame, decoders: Sequence[Decoder]) -> DataFrame:
-    """Rows of all decoders, one after the other."""
-    return reduce(lambda a, b: a.unionByName(b), [d.apply(events).select(*DECODED) for d in decoders])
+    """Rows of all decoders."""
+    inside = [d.rows(events) for d in decoders if hasattr(d, "rows")]
+    parts = [_exploded(events, F.concat(*inside))] if inside else []
+    parts += [d.apply(events).select(*DECODED) for d in decoders if not hasattr(d, "rows")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def decode_by_protocol(tagged: DataFrame, decoders: dict[str, Sequence[Decoder]]) -> DataFrame:
-    """Decode each protocol's own events (see ``watched(tag=True)``) with its own decoders."""
-    parts = [decode(tagged.where(F.col("protocol") == name), own).withColumn("protocol", F.lit(name)) for name, own in decoders.items()]
+    """Decode each protocol's own events (see ``watched(tag=True)``) with its own decoders, in one pass."""
+    inside = [F.when(F.col("protocol") == name, d.rows(tagged)).otherwise(_none()) for name, own in decoders.items() for d in own if hasattr(d, "rows")]
+    parts = [_exploded(tagged, F.concat(*inside), "protocol")] if inside else []
+    parts += [d.apply(tagged.where(F.col("protocol") == name)).select(*DECODED, F.lit(name).alias("protocol")) for name, own in decoders.items() for d in own if not hasattr(d, "rows")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 class ProgramActivity:
-    """Account updates that a program owns, and transactions that invoke it."""
+    """Account updates that a program owns, and transactions that invoke it.
+
+    A program is named by base58 text, or by plain text that is not base58; keys
+    are compared as bytes, and record keys are base58 text.
+    """
 
     name = "program-activity"
 
     def __init__(self, programs: Sequence):
         self.programs = [str(p) for p in programs]
 
-    def apply(self, events: DataFrame) -> DataFrame:
-        accounts = events.where((F.col("kind") == "account") & F.col("account.owner").cast("string").isin(self.programs))
-        keys = F.transform("transaction.program_ids", lambda x: x.cast("string"))
-        invoked = F.arrays_overlap(keys, F.array(*map(F.lit, self.programs)))
-        transactions = events.where((F.col("kind") == "transaction") & invoked)
-        return self._rows(accounts, "account.pubkey", "account_update").unionByName(self._rows(transactions, "transaction.signature", "transaction"))
-
-    def _rows(self, df: DataFrame, key: str, payload: str) -> DataFrame:
-        return df.select(
-            F.col("observed_at").alias("timestamp"), "slot", F.lit(self.name).alias("decoder_name"), F.col(key).cast("string").alias("record_key"),
-            F.lit(0).cast("short").alias("event_index"), F.lit(f'"{payload}"').alias("payload"),
-        )
-
-
-def _edges(logs: Column, success: Column) -> Column:
-    """Call edges of one transaction's log lines, in line order.
-
-    A call at depth d comes from the latest call at depth d - 1 before it, even if
-    that one has returned; it succeeded as its program's last outcome line says,
-    else as the transaction did.
-    """
-    trimmed = F.transform(logs, lambda line, i: F.struct(i.alias("at"), F.trim(line).alias("line")))
-    # Only lines that name a program come further, so later steps walk short arrays.
-    calls = F.filter(
-        F.transform(trimmed, lambda x: F.struct(
+    def rows(self, events: DataFrame) -> Column:
+        def wanted(path: str) -> list[Column]:
+            binary = isinstance(key_type(events, path), BinaryType)
+            return [F.lit(k) for k in sorted({key_bytes(p) if binary else p.encode() for p in self.programs})]
+
+        owner, many = key_type(events, "account.owner"), key_type(events, "transaction.program_ids")
+        owned = as_key(F.col("account.owner"), owner).isin(*wanted("account.owner"))
+        invoked = F.arrays_overlap(F.transform("transaction.program_ids", lambda x: as_key(x, many)), F.array(*wanted("transaction.program_ids")))
+        zero = F.lit(0)
+        account = decoded(self.name, F.col("account.pubkey"), key_type(events, "account.pubkey"), zero, F.lit('"account_update"'))
+        transaction = decoded(self.name, F.col("transaction.signature"), key_type(events, "transaction.signature"), zero, F.lit('"transaction"'))
+        kind = F.col("kind")
+        return F.when((kind == "account") & owned, F.array(account)).when((kind == "transaction") & invoked, F.array(transaction)).otherwise(_none())
+
+
+def _calls(logs: Column) -> Column:
+    """Call lines of a transaction's log: place, program, depth."""
+    lines = F.transform(logs, lambda line, i: F.struct(i.alias("at"), F.trim(line).alias("line")))
+    return F.filter(
+        F.transform(lines, lambda x: F.struct(
             x["at"].alias("at"),
             F.regexp_extract(x["line"], r"(?s)Program (.*?) invoke \[", 1).alias("program"),
             F.regexp_extract(x["line"], r"(?s)Program .*? invoke \[\+?([0-9]+)\]", 1).try_cast("int").alias("depth"),
@@ -72,13 +109,26 @@ def _edges(logs: Column, success: Column) -> Column:
         lambda x: x["depth"].isNotNull(),
     )
 
-    def outcome(x: Column) -> Column:
-        good = F.regexp_extract(x["line"], r"(?s)Program (.*?) success", 1)
-        bad = F.regexp_extract(x["line"], r"(?s)Program (.*?) failed", 1)
-        is_good, is_bad = x["line"].rlike(r"(?s)Program .*? success"), x["line"].rlike(r"(?s)Program .*? failed")
+
+def _outcomes(logs: Column) -> Column:
+    """Outcome lines of a transaction's log: program, and whether it succeeded."""
+
+    def outcome(line: Column) -> Column:
+        good = F.regexp_extract(line, r"(?s)Program (.*?) success", 1)
+        bad = F.regexp_extract(line, r"(?s)Program (.*?) failed", 1)
+        is_good, is_bad = line.rlike(r"(?s)Program .*? success"), line.rlike(r"(?s)Program .*? failed")
         return F.struct(F.when(is_good, good).when(is_bad, bad).alias("program"), is_good.alias("ok"))
 
-    outcomes = F.filter(F.transform(trimmed, outcome), lambda x: x["program"].isNotNull())
+    return F.filter(F.transform(logs, lambda line: outcome(F.trim(line))), lambda x: x["program"].isNotNull())
+
+
+def _edges(calls: Column, outcomes: Column, success: Column) -> Column:
+    """Call edges of one transaction, in line order.
+
+    A call at depth d comes from the latest call at depth d - 1 before it, even if
+    that one has returned; it succeeded as its program's last outcome line says,
+    else as the transaction did.
+    """
 
     def edge(call: Column) -> Column:
         above = F.filter(calls, lambda y: (y["depth"] == call["depth"] - 1) & (y["at"] < call["at"]))
@@ -91,12 +141,18 @@ def _edges(logs: Column, success: Column) -> Column:
     return F.filter(F.transform(F.filter(calls, lambda c: c["depth"] > 1), edge), lambda e: e["caller"].isNotNull())
 
 
+def _with_lines(transactions: DataFrame, logs: str) -> DataFrame:
+    """Columns __calls and __outcomes: each line is read once, and edges walk the short arrays that are left."""
+    return transactions.withColumns({"__calls": _calls(F.col(logs)), "__outcomes": _outcomes(F.col(logs))})
+
+
 def call_edges(transactions: DataFrame) -> DataFrame:
     """(caller, callee, depth, success) of every nested call; needs no shuffle.
 
     Takes signature, slot, timestamp, success and log_messages.
     """
-    each = transactions.select("timestamp", "slot", "signature", F.explode(_edges(F.col("log_messages"), F.col("success"))).alias("e"))
+    lines = _with_lines(transactions.select("timestamp", "slot", "signature", "success", "log_messages"), "log_messages")
+    each = lines.select("timestamp", "slot", "signature", F.explode(_edges(F.col("__calls"), F.col("__outcomes"), F.col("success"))).alias("e"))
     return each.select("timestamp", "slot", "signature", "e.at", "e.caller", "e.callee", "e.depth", "e.success")
 
 
@@ -113,8 +169,9 @@ class CallEdges:
 
     def apply(self, events: DataFrame) -> DataFrame:
         own = events.where("kind = 'transaction'").select(F.col("observed_at").alias("timestamp"), "slot", "transaction.signature", "transaction.success", "transaction.log_messages")
+        key = base58_encode(F.col("signature")) if isinstance(own.schema["signature"].dataType, BinaryType) else F.col("signature").cast("string")
         return call_edges(own).select(
-            "timestamp", "slot", F.lit(self.name).alias("decoder_name"), F.col("signature").cast("string").alias("record_key"), F.col("depth").cast("short").alias("event_index"),
+            "timestamp", "slot", F.lit(self.name).alias("decoder_name"), key.alias("record_key"), F.col("depth").cast("short").alias("event_index"),
             F.to_json(F.struct("caller", "callee", "depth", "success")).alias("payload"),
         )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.columns import stress_level
+from tallyflow.functions.columns import stress_level, time_bucket
 
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
@@ -29,7 +29,7 @@ def slot_health(slots: DataFrame, as_of: Column, lookback: str = "1 hour", bucke
     """
     kind = slots.schema["timestamp"].dataType
     recent = slots.where((F.col("status") == status) & (F.col("timestamp") > (as_of - F.expr(f"INTERVAL {lookback}")).cast(kind)))
-    return recent.groupBy(F.date_trunc(bucket, "timestamp").cast(kind).alias("bucket")).agg(*_measures(SECONDS[bucket]))
+    return recent.groupBy(time_bucket(F.col("timestamp"), bucket).cast(kind).alias("bucket")).agg(*_measures(SECONDS[bucket]))
 
 
 def slot_health_stream(slots: DataFrame, watermark: str = "1 hour", bucket: str = "minute", status: str = "finalized") -> DataFrame:

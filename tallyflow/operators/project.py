@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.columns import watched_programs
+from tallyflow.functions.columns import base58_decode, base58_decode_each, watched_programs
 from tallyflow.operators.enrich import with_block_time
 
 
@@ -97,19 +97,21 @@ def backfill_slots(blocks: DataFrame, as_of: Column) -> DataFrame:
 
 
 def backfill_transactions(blocks: DataFrame, as_of: Column) -> DataFrame:
-    """Transactions of block documents; those without meta or signature are left out.
+    """Transactions of block documents, with base58 texts as bytes, like live ones.
 
+    Transactions without meta or without a signature that is base58 are left out.
     Keys keep their index even if one cannot be read, so an instruction never
-    points at a wrong key.
+    points at a wrong key; a program that cannot be read is left out.
     """
     each = blocks.where("error IS NULL").select("slot", F.coalesce(F.timestamp_seconds("blockTime"), as_of).alias("timestamp"), F.explode("transactions").alias("t"))
     keys = F.col("t.transaction.message.accountKeys")
     index = F.transform("t.transaction.message.instructions", lambda x: x["programIdIndex"])
-    return each.where("t.meta IS NOT NULL AND get(t.transaction.signatures, 0) IS NOT NULL").select(
+    texts = each.where("t.meta IS NOT NULL AND get(t.transaction.signatures, 0) IS NOT NULL").select(
         "slot", "timestamp",
-        F.get("t.transaction.signatures", F.lit(0)).alias("signature"),
+        base58_decode(F.get("t.transaction.signatures", F.lit(0))).alias("signature"),
         F.coalesce("t.meta.fee", F.lit(0).cast("long")).alias("fee"),
         F.col("t.meta.err").isNull().alias("success"),
-        _no_null(watched_programs(index, keys)).alias("program_ids"),
+        base58_decode_each(_no_null(watched_programs(index, keys))).alias("program_ids"),
         F.coalesce("t.meta.logMessages", F.array().cast("array<string>")).alias("log_messages"),
     )
+    return texts.where("signature IS NOT NULL").withColumn("program_ids", F.filter("program_ids", lambda x: x.isNotNull()))

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType
 
-from tallyflow.functions.columns import checked_key
+from tallyflow.functions.columns import as_key, checked_key, key_bytes, key_bytes_of
 
 
 def merge_watchlists(*lists: DataFrame) -> DataFrame:
@@ -26,45 +27,59 @@ def validate_watchlist(watch: DataFrame) -> DataFrame:
 #: Watch entries up to which the filter is an expression in each event's own row.
 IN_ROW = 1000
 
+#: Where an event holds what a ``program`` or an ``account`` entry can name: one key of an account, a list of a transaction.
+KEYS = {"program": ("account.owner", "transaction.program_ids"), "account": ("account.pubkey", "transaction.accounts")}
 
-def _keys_of(kind: str) -> Column:
-    """The keys by which an event can be watched as a ``program`` or an ``account``, as strings."""
-    of_account, of_tx = ("account.owner", "transaction.program_ids") if kind == "program" else ("account.pubkey", "transaction.accounts")
-    keys = F.when(F.col("kind") == "account", F.array(F.col(of_account).cast("string"))).when(F.col("kind") == "transaction", F.transform(of_tx, lambda x: x.cast("string")))
-    return F.coalesce(keys, F.array().cast("array<string>"))
 
+def key_type(events: DataFrame, path: str) -> DataType:
+    struct, name = path.split(".")
+    kind = events.schema[struct].dataType[name].dataType
+    return kind.elementType if isinstance(kind, ArrayType) else kind
 
-def event_keys(events: DataFrame) -> DataFrame:
-    """(event_kind, seq, kind, key): one row for each key an event can be watched by."""
 
-    def pairs(kind: str) -> Column:
-        return F.transform(_keys_of(kind), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-
-    each = events.select(F.col("kind").alias("event_kind"), "seq", F.explode(F.array_distinct(F.concat(pairs("program"), pairs("account")))).alias("k"))
-    return each.select("event_kind", "seq", "k.kind", "k.key")
-
-
-def _matches(rows: list) -> Column:
-    """Whether an event is watched by any of some watchlist rows."""
+def _matches(events: DataFrame, rows: list) -> Column:
+    """Whether an event is watched by any of some watchlist rows. Keys are compared as bytes."""
     out = F.lit(False)
-    for kind in ("program", "account"):
-        keys = sorted({r.key for r in rows if r.kind == kind and r.key is not None})
-        if keys:
-            out = out | F.arrays_overlap(_keys_of(kind), F.array(*map(F.lit, keys)))
+    for kind, (one, many) in KEYS.items():
+        texts = {r.key for r in rows if r.kind == kind and r.key is not None}
+        for path in (one, many) if texts else ():
+            kind_of = key_type(events, path)
+            binary = isinstance(kind_of, BinaryType)
+            wanted = [F.lit(k) for k in sorted({key_bytes(t) if binary else t.encode() for t in texts})]
+            if path == one:
+                own = as_key(F.col(path), kind_of).isin(*wanted)
+            else:
+                own = F.arrays_overlap(F.col(path) if binary else F.transform(path, lambda x: x.cast("string").cast("binary")), F.array(*wanted))
+            out = out | F.coalesce(own, F.lit(False))
     for flag, kind in (("include_slots", "slot"), ("include_blocks_meta", "block_meta")):
         if any(r[flag] for r in rows):
             out = out | (F.col("kind") == kind)
     return F.coalesce(out, F.lit(False))
 
 
+def event_keys(events: DataFrame) -> Column:
+    """All that an event can be watched by: an array of (kind, key), ``text`` kinds where keys are not binary."""
+
+    def pairs(path: str, kind: str, many: bool) -> Column:
+        of = key_type(events, path)
+        name = kind if isinstance(of, BinaryType) else f"{kind} text"
+        own = F.coalesce(F.col(path), F.array()) if many else F.array(path)
+        return F.transform(own, lambda x: F.struct(F.lit(name).alias("kind"), as_key(x, of).alias("key")))
+
+    flag = F.array(F.struct(F.lit("flag").alias("kind"), F.col("kind").cast("binary").alias("key")))
+    parts = [flag] + [pairs(path, kind, many) for kind, paths in KEYS.items() for path, many in zip(paths, (False, True), strict=True)]
+    return F.array_distinct(F.concat(*parts))
+
+
 def watched(events: DataFrame, watch: DataFrame, tag: bool = False) -> DataFrame:
     """Events that any watch entry matches: by program, by account, or by the flags for slots and block times.
 
-    An empty watchlist lets all events through. With ``tag`` there is one row
-    for each (event, protocol) with the protocol's name; otherwise each event is
-    there once. Up to ``IN_ROW`` entries the filter is an expression and nothing
-    is shuffled; beyond that keys are joined, and (event kind, seq) must name an
-    event.
+    An entry's key is the bytes its base58 text stands for, or the text's own
+    bytes where it is not base58; event columns that are not binary are compared
+    by their text. An empty watchlist lets all events through. With ``tag`` there
+    is one row for each (event, protocol) with the protocol's name; otherwise each
+    event is there once. Up to ``IN_ROW`` entries the filter is an expression and
+    nothing is shuffled; beyond that keys are joined, with the same result.
     """
     rows = watch.limit(IN_ROW + 1).collect()
     if not rows:
@@ -72,23 +87,26 @@ def watched(events: DataFrame, watch: DataFrame, tag: bool = False) -> DataFrame
     if len(rows) > IN_ROW:
         return _watched_by_join(events, watch, tag)
     if not tag:
-        return events.where(_matches(rows))
+        return events.where(_matches(events, rows))
     names = sorted({r.protocol for r in rows})
-    hits = F.filter(F.array(*[F.when(_matches([r for r in rows if r.protocol == n]), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(_matches(events, [r for r in rows if r.protocol == n]), F.lit(n)) for n in names]), lambda x: x.isNotNull())
     return events.withColumn("protocol", F.explode(hits))
 
 
 def _watched_by_join(events: DataFrame, watch: DataFrame, tag: bool) -> DataFrame:
-    wanted = watch.select("protocol", "kind", "key").distinct()
-    hits = event_keys(events).join(wanted, ["kind", "key"]).select(F.col("event_kind").alias("kind"), "seq", "protocol").distinct()
-    by_kind = (
-        watch.groupBy("protocol").agg(F.bool_or("include_slots").alias("slots"), F.bool_or("include_blocks_meta").alias("metas"))
-        .select("protocol", F.explode(F.array(F.when(F.col("slots"), F.lit("slot")), F.when(F.col("metas"), F.lit("block_meta")))).alias("kind")).where("kind IS NOT NULL")
-    )
+    """One pass over the events: each brings its row along with each of its keys, and only rows that match are grouped again."""
+    flags = F.array(F.when(F.col("include_slots"), F.lit("slot")), F.when(F.col("include_blocks_meta"), F.lit("block_meta")))
+    by_key = watch.where("key IS NOT NULL").select(
+        "protocol", F.inline(F.array(F.struct(F.col("kind"), key_bytes_of(F.col("key")).alias("key")), F.struct(F.concat("kind", F.lit(" text")).alias("kind"), F.col("key").cast("binary").alias("key"))))
+    )
+    by_flag = watch.select("protocol", F.explode(flags).alias("key")).where("key IS NOT NULL").select("protocol", F.lit("flag").alias("kind"), F.col("key").cast("binary").alias("key"))
+    wanted = by_key.unionByName(by_flag)
+    each = events.select(F.struct(*events.columns).alias("event"), F.monotonically_increasing_id().alias("row"), event_keys(events).alias("keys")).select("event", "row", F.inline("keys"))
     if tag:
-        return events.join(hits, ["kind", "seq"]).unionByName(events.join(by_kind, "kind")).select(*events.columns, "protocol")
-    passed = events.join(hits.select("kind", "seq").distinct(), ["kind", "seq"], "left_semi").select(*events.columns)
-    return passed.unionByName(events.join(by_kind.select("kind").distinct(), "kind", "left_semi").select(*events.columns))
+        hits = each.join(wanted.distinct(), ["kind", "key"]).groupBy("row", "protocol").agg(F.first("event").alias("event"))
+        return hits.select("event.*", "protocol")
+    hits = each.join(wanted.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    return hits.groupBy("row").agg(F.first("event").alias("event")).select("event.*")
 
 
 def prefilter(transactions: DataFrame, votes: bool = False, failed: bool = False) -> DataFrame:

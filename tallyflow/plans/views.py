@@ -81,6 +81,21 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_bronze(table(spark, sf_dir, "events")).unionByName(tx_bronze(spark, sf_dir))
 
 
+def digest(key: F.Column) -> F.Column:
+    """A 32-byte key that stands for a number or a name."""
+    return F.unhex(F.sha2(key.cast("string"), 256))
+
+
+def binary_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bronze`` with the stream's own types: every key is 32 bytes."""
+    account, tx = (lambda name: F.col(f"account.{name}")), (lambda name: F.col(f"transaction.{name}"))
+    accounts = F.struct(digest(account("pubkey")).alias("pubkey"), digest(account("owner")).alias("owner"), account("lamports"), account("write_version"), account("data").cast("binary").alias("data"))
+    transactions = F.struct(
+        digest(tx("signature")).alias("signature"), tx("fee"), tx("success"), F.transform(tx("accounts"), digest).alias("accounts"), F.transform(tx("program_ids"), digest).alias("program_ids"), tx("log_messages")
+    )
+    return bronze(spark, sf_dir).withColumns({"account": F.when(F.col("account").isNotNull(), accounts), "transaction": F.when(F.col("transaction").isNotNull(), transactions)})
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with call logs, one for each conversation."""
     role, turn = F.col("role"), F.col("turn")

@@ -35,23 +35,24 @@ WATCHLIST = "protocol STRING, kind STRING, key STRING, include_slots BOOLEAN, in
 
 @dataclass(frozen=True)
 class Table:
-    """A stored table: its key, and the unit of the time buckets it is laid out by."""
+    """A stored table: its key, the unit of the time buckets it is laid out by, and the order
+    inside a bucket (``-`` for descending columns)."""
 
     name: str
     key: tuple[str, ...]
-    bucket: str = "day"
-    sort: tuple[str, ...] = ()
+    bucket: str = "2 hours"
+    sort: tuple[str, ...] = ("-timestamp",)
 
 
 TABLES = {
     t.name: t
     for t in (
-        Table("account_updates", ("timestamp", "slot", "pubkey", "write_version"), sort=("pubkey",)),
+        Table("account_updates", ("timestamp", "slot", "pubkey", "write_version"), sort=("pubkey", "-timestamp")),
         Table("transactions", ("timestamp", "signature")),
-        Table("transaction_program_ids", ("timestamp", "signature", "program_id", "position"), sort=("program_id",)),
-        Table("slots", ("timestamp", "slot")),
+        Table("transaction_program_ids", ("timestamp", "signature", "program_id", "position"), sort=("program_id", "-timestamp")),
+        Table("slots", ("timestamp", "slot"), "day"),
         Table("custom_decoded_events", ("timestamp", "decoder_name", "record_key", "slot", "event_index")),
-        Table("pipeline_metrics", ()),
+        Table("pipeline_metrics", ("batch_id",), "hour"),
         Table("ingestion_checkpoints", ("stream_name",)),
     )
 }

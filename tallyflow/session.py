@@ -11,9 +11,15 @@ _fallback: list[str] = []
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``); a local one where it is unset."""
+    """A new path in the folder all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset a local folder serves sessions whose executors are in this
+    process; on a cluster it would be a different folder on each machine.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="tallyflow-"))
         shared = _fallback[0]

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.functions.columns import time_bucket
 from tallyflow.schemas import BLOCK, BRONZE, TABLES, WATCHLIST
 
 
@@ -36,7 +37,7 @@ def read_table(spark: SparkSession, root: str, name: str, since=None, until=None
     for bound, op in ((since, "ge"), (until, "lt")):
         if bound is not None:
             value = F.lit(bound).cast(df.schema["timestamp"].dataType)
-            edge = F.date_trunc(unit, value).cast("timestamp_ntz").cast("string")
+            edge = time_bucket(value, unit).cast("timestamp_ntz").cast("string")
             if op == "ge":
                 df = df.where((F.col("bucket") >= edge) & (F.col("timestamp") >= value))
             else:

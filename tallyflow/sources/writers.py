@@ -8,29 +8,36 @@ that a batch does not touch are neither read nor written.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.functions.columns import time_bucket
 from tallyflow.operators.keyed import absent, first_by_key, last_by_key
 from tallyflow.schemas import TABLES
+from tallyflow.session import scratch_path
 
 
 def bucket_of(time: Column, unit: str) -> Column:
     """Name of a row's bucket: the start of its time unit as text."""
-    return F.date_trunc(unit, time).cast("timestamp_ntz").cast("string")
+    return time_bucket(time, unit).cast("timestamp_ntz").cast("string")
 
 
 def with_bucket(df: DataFrame, table: str, unit: str | None = None) -> DataFrame:
     return df.withColumn("bucket", bucket_of(F.col("timestamp"), unit or TABLES[table].bucket))
 
 
+def _path(spark: SparkSession, text: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has any bucket."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
-    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+    files, where = _path(spark, f"{path}/*=*")
+    return bool(files.globStatus(where))
 
 
 def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -39,16 +46,30 @@ def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return stored.where(F.col("bucket").isin(names))
 
 
-def _append(df: DataFrame, path: str, sort: Sequence[str]) -> None:
-    out = df.repartition("bucket")
-    (out.sortWithinPartitions("bucket", *sort) if sort else out).write.mode("append").partitionBy("bucket").parquet(path)
+def _write(df: DataFrame, path: str, sort: Sequence[str], mode: str) -> None:
+    """Lay rows out by bucket. They are dealt by ranges of (bucket, sort columns), so that a large bucket is shared by tasks."""
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in sort if c.lstrip("-") in df.columns]
+    laid = df.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+    laid.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator:
+    """A function that writes a frame to the shared scratch folder and reads it back, so that its
+    source may be overwritten. What was written is deleted when the block ends."""
+    root = scratch_path(spark, "staging")
+    number = iter(range(1000))
 
+    def staged(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-def _staged(df: DataFrame, root: str) -> DataFrame:
-    """``df`` as a table beside the target: its source may be overwritten while it is written."""
-    path = f"{root}/.staging/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield staged
+    finally:
+        files, where = _path(spark, root.removesuffix("/staging"))
+        files.delete(where, True)
 
 
 def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq") -> int:
@@ -58,16 +79,14 @@ def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq"
     """
     spark, spec = batch.sparkSession, TABLES[table]
     path = f"{root}/{table}"
-    rows = with_bucket(first_by_key(batch, spec.key, order).drop(order), table)
-    if exists(spark, path):
-        rows = _staged(rows, root)
-        stored = spark.read.parquet(path)
-        # The bucket follows from the key's timestamp, so it joins along and prunes.
-        rows = absent(rows, _touched(stored, rows), spec.key)
-    rows = _staged(rows, root)
-    added = rows.count()
-    if added:
-        _append(rows, path, spec.sort)
+    with staging(spark) as staged:
+        rows = staged(with_bucket(first_by_key(batch, spec.key, order).drop(order), table))
+        if exists(spark, path):
+            # The bucket follows from the key's timestamp, so it joins along and prunes.
+            rows = staged(absent(rows, _touched(spark.read.schema(rows.schema).parquet(path), rows), spec.key))
+        added = rows.count()
+        if added:
+            _write(rows, path, spec.sort, "append")
     return added
 
 
@@ -75,58 +94,63 @@ def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") ->
     """Store the last row by ``order`` of each key over what is there; rewrites touched buckets only."""
     spark, spec = batch.sparkSession, TABLES[table]
     path = f"{root}/{table}"
-    fresh = with_bucket(last_by_key(batch, spec.key, order).drop(order), table).withColumn("__new", F.lit(1))
-    if exists(spark, path):
-        fresh = _staged(fresh, root)
-        old = _touched(spark.read.parquet(path), fresh).withColumn("__new", F.lit(0)).select(*fresh.columns)
-        fresh = fresh.unionByName(old)
-    rows = _staged(last_by_key(fresh, spec.key, "__new"), root)
-    stored = rows.where("__new = 1").count()
-    if stored:
-        rows.drop("__new").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    with staging(spark) as staged:
+        plain = staged(with_bucket(last_by_key(batch, spec.key, order).drop(order), table))
+        fresh = plain.withColumn("__new", F.lit(1))
+        if exists(spark, path):
+            old = _touched(spark.read.schema(plain.schema).parquet(path), plain).withColumn("__new", F.lit(0)).select(*fresh.columns)
+            fresh = staged(last_by_key(fresh.unionByName(old), spec.key, "__new"))
+        stored = fresh.where("__new = 1").count()
+        if stored:
+            _write(fresh.drop("__new"), path, spec.sort, "overwrite")
     return stored
 
 
 def write_clustered(df: DataFrame, root: str, table: str, unit: str | None = None) -> None:
     """Append ``df`` by bucket (of another time unit, if given), sorted inside files by the table's sort columns."""
-    spec = TABLES[table]
-    _append(with_bucket(df, table, unit), f"{root}/{table}", spec.sort)
+    _write(with_bucket(df, table, unit), f"{root}/{table}", TABLES[table].sort, "append")
 
 
 def compact(spark: SparkSession, root: str, table: str, buckets: Sequence[str]) -> None:
     """Rewrite the files of some buckets as few sorted ones."""
-    path, spec = f"{root}/{table}", TABLES[table]
-    rows = _staged(spark.read.parquet(path).where(F.col("bucket").isin(list(buckets))), root).repartition("bucket")
-    (rows.sortWithinPartitions("bucket", *spec.sort) if spec.sort else rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    path = f"{root}/{table}"
+    with staging(spark) as staged:
+        _write(staged(_stored(spark, path).where(F.col("bucket").isin(list(buckets)))), path, TABLES[table].sort, "overwrite")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table with its buckets' names as text (readers may take them for timestamps)."""
+    found = spark.read.parquet(path)
+    return spark.read.schema(", ".join(f"`{f.name}` {'string' if f.name == 'bucket' else f.dataType.simpleString()}" for f in found.schema)).parquet(path)
 
 
 def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
     """Delete rows strictly older than ``cutoff``: old buckets whole, the boundary bucket by a rewrite."""
     path, unit = f"{root}/{table}", TABLES[table].bucket
-    stored = spark.read.parquet(path)
+    stored = _stored(spark, path)
     limit = F.lit(cutoff).cast(stored.schema["timestamp"].dataType)
     old = stored.where((F.col("timestamp") < limit) & (F.col("bucket") <= bucket_of(limit, unit)))
-    # Readers may take a bucket's name for a timestamp; its text is the folder's name either way.
-    counts = old.groupBy(F.col("bucket").cast("string").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = old.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return 0
     edge = spark.range(1).select(bucket_of(limit, unit)).first()[0]
-    if any(r.bucket == edge for r in counts):
-        rest = _staged(stored.where((F.col("bucket") == edge) & (F.col("timestamp") >= limit)), root)
-        if rest.isEmpty():
-            _drop(spark, path, edge)
-        else:
-            rest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for r in counts:
-        if r.bucket != edge:
-            _drop(spark, path, r.bucket)
+    with staging(spark) as staged:
+        if any(r.bucket == edge for r in counts):
+            rest = staged(stored.where((F.col("bucket") == edge) & (F.col("timestamp") >= limit)))
+            if rest.isEmpty():
+                _drop(spark, path, edge)
+            else:
+                _write(rest, path, TABLES[table].sort, "overwrite")
+        for r in counts:
+            if r.bucket != edge:
+                _drop(spark, path, r.bucket)
     return sum(r.n for r in counts)
 
 
 def _drop(spark: SparkSession, path: str, bucket: str) -> None:
     escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(bucket)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={escaped}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _path(spark, f"{path}/bucket={escaped}")
+    files.delete(where, True)
 
 
 def write_checkpoint(progress: DataFrame, root: str, stream: str, reason: str = "size") -> None:
@@ -137,6 +161,6 @@ def write_checkpoint(progress: DataFrame, root: str, stream: str, reason: str =
     row = progress.where("max_observed_at IS NOT NULL").select(
         F.lit(stream).alias("stream_name"), F.col("max_slot").alias("last_processed_slot"), F.col("max_observed_at").alias("last_observed_at"), F.lit(f"flush_reason={reason}").alias("notes")
     )
-    row = _staged(row, root)
-    if not row.isEmpty():
-        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_name").parquet(f"{root}/ingestion_checkpoints")
+    found = row.collect()  # at most one
+    if found:
+        row.sparkSession.createDataFrame(found, row.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_name").parquet(f"{root}/ingestion_checkpoints")

@@ -37,7 +37,6 @@ def test_lag(spark):
 def test_lists_and_slugs(spark):
     assert one(spark, c.trimmed_list(F.lit(" a, ,b,, c "))) == ["a", "b", "c"]
     assert one(spark, c.slug(F.lit("My Protocol X"))) == "my_protocol_x"
-    assert one(spark, c.null_max(F.lit(None).cast("long"), F.lit(3).cast("long"))) == 3
     assert one(spark, c.rfc3339(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05+00:00"
 
 

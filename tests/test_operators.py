@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tallyflow.functions.columns import key_text
 from tallyflow.operators import decoders, enrich, gaps, health, keyed, lookup, metrics, project, watch
 from tallyflow.schemas import BLOCK, BRONZE, RAW_TX
 from tallyflow.sources import readers
@@ -37,6 +38,9 @@ def events(spark):
     return lambda *rows: spark.createDataFrame(list(rows), BRONZE)
 
 
+P, Q, A = map(key_text, (b"P", b"Q", b"A"))
+
+
 def watch_of(spark, *rows):
     return readers.watchlist_of(spark, rows)
 
@@ -45,9 +49,9 @@ def watch_of(spark, *rows):
 def test_program_watch_with_slots_and_account_watch(spark, events, monkeypatch, in_row):
     monkeypatch.setattr(watch, "IN_ROW", in_row)
     df = events(account(1), tx(2, programs=(b"P", b"T")), slot(3), slot(4, status="confirmed", ms=500), account(5, owner=b"S", pubkey=b"B"))
-    got = watch.watched(df, watch_of(spark, ("p", "program", "P", True, False)))
+    got = watch.watched(df, watch_of(spark, ("p", "program", P, True, False)))
     assert sorted(r.seq for r in got.collect()) == [1, 2, 3, 4]
-    got = watch.watched(df, watch_of(spark, ("p", "account", "A", False, False)))
+    got = watch.watched(df, watch_of(spark, ("p", "account", A, False, False)))
     assert sorted(r.seq for r in got.collect()) == [1, 2]
     assert watch.watched(df, watch_of(spark).limit(0)).count() == 5
 
@@ -56,15 +60,39 @@ def test_program_watch_with_slots_and_account_watch(spark, events, monkeypatch,
 def test_watch_tags_each_protocol(spark, events, monkeypatch, in_row):
     monkeypatch.setattr(watch, "IN_ROW", in_row)
     df = events(account(1), tx(2, programs=(b"P", b"Q")), slot(3))
-    both = watch_of(spark, ("a", "program", "P", True, False), ("b", "program", "Q", False, False), ("b", "program", "P", False, False))
+    both = watch_of(spark, ("a", "program", P, True, False), ("b", "program", Q, False, False), ("b", "program", P, False, False))
     got = watch.watched(df, both, tag=True)
     assert sorted((r.seq, r.protocol) for r in got.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a")]
 
 
+OWNER, OTHER = bytes(range(32)), bytes(range(1, 33))
+
+
+@pytest.mark.parametrize("in_row", [1000, 0])
+def test_keys_of_32_bytes_are_compared_as_bytes(spark, events, monkeypatch, in_row):
+    monkeypatch.setattr(watch, "IN_ROW", in_row)
+    df = events(account(None, owner=OWNER), account(None, owner=OTHER, pubkey=OWNER), tx(3, programs=(OTHER, OWNER)), tx(3, signature=b"Z", accounts=(OWNER,)), account(5, owner=b"amm-program"))
+    entry = watch_of(spark, ("p", "program", f" {key_text(OWNER)} ", False, False))
+    assert watch.validate_watchlist(entry).first().valid
+    assert sorted((r.seq or 0, bytes(r.account.owner) if r.account else bytes(r.transaction.signature)) for r in watch.watched(df, entry).collect()) == [(0, OWNER), (3, b"S")]
+    by_account = watch_of(spark, ("p", "account", key_text(OWNER), False, False), ("q", "account", key_text(OWNER), False, False))
+    assert watch.watched(df, by_account).count() == 2 and watch.watched(df, by_account, tag=True).count() == 4
+    assert [r.seq for r in watch.watched(df, watch_of(spark, ("p", "program", "amm-program", False, False))).collect()] == [5]
+    rows = decoders.decode(df, [decoders.ProgramActivity([key_text(OWNER), "amm-program"])]).collect()
+    assert sorted(r.record_key for r in rows) == sorted([A, A, key_text(b"S")])
+
+
+def test_rollup_compares_bytes(spark, events):
+    df = events(account(1, owner=OWNER, lamports=10**9), tx(2, programs=(OWNER, OTHER)), tx(3, signature=b"Z", programs=(b"x",)))
+    rows = project.transaction_rows(df)
+    got = metrics.protocol_rollup(rows, project.program_rows(rows), project.account_rows(df), watch_of(spark, ("p", "program", key_text(OWNER), False, False), ("p", "program", key_text(OTHER), False, False))).collect()
+    assert [(r.protocol, r.transactions, r.value_locked, r.accounts) for r in got] == [("p", 1, 1.0, 1)]
+
+
 def test_merged_watchlists_hold_each_key_once(spark):
-    one, two = watch_of(spark, ("a", "program", "P", False, False)), watch_of(spark, ("b", "program", "P", True, False), ("b", "account", "A", False, None))
+    one, two = watch_of(spark, ("a", "program", P, False, False)), watch_of(spark, ("b", "program", P, True, False), ("b", "account", A, False, None))
     got = watch.merge_watchlists(one, readers.watchlist(two)).collect()
-    assert [(r.kind, r.key, r.include_slots, r.include_blocks_meta) for r in got] == [("account", "A", False, True), ("program", "P", True, False)]
+    assert [(r.kind, r.key, r.include_slots, r.include_blocks_meta) for r in got] == [("account", A, False, True), ("program", P, True, False)]
 
 
 def test_rows_take_block_time_and_else_arrival(spark, events):
@@ -132,10 +160,10 @@ def test_call_rules(spark):
 def test_decoders_side_by_side(spark, events):
     logs = ["Program A invoke [1]", "Program B invoke [2]"]
     df = events(account(1), tx(2, logs=logs), account(3, owner=b"other"), slot(4), meta(5))
-    got = decoders.decode(df, [decoders.ProgramActivity(["P"]), decoders.CallEdges()])
+    got = decoders.decode(df, [decoders.ProgramActivity([P]), decoders.CallEdges()])
     assert sorted((r.decoder_name, r.record_key, r.event_index, r.payload) for r in got.collect()) == [
-        ("cpi-edge", "S", 2, '{"caller":"A","callee":"B","depth":2,"success":true}'),
-        ("program-activity", "A", 0, '"account_update"'), ("program-activity", "S", 0, '"transaction"'),
+        ("cpi-edge", key_text(b"S"), 2, '{"caller":"A","callee":"B","depth":2,"success":true}'),
+        ("program-activity", A, 0, '"account_update"'), ("program-activity", key_text(b"S"), 0, '"transaction"'),
     ]
 
 
@@ -199,16 +227,19 @@ def test_missing_and_skipped_slots(spark):
 
 
 def test_backfill_documents(spark):
-    message = (["k0", "k1"], [(1,), (7,), (0,), (1,)])
-    good = ((["s1", "x"], message), (None, 5, ["l"]))
+    s1, s2, s3 = map(key_text, (b"s1", b"s2", b"s3"))
+    message = ([key_text(b"k0"), key_text(b"k1"), "not base58: 0"], [(1,), (7,), (2,), (0,), (1,)])
+    good = (([s1, "x"], message), (None, 5, ["l"]))
     rows = [
-        (1, 60, 0, None, None, None, [good, ((["s2"], message), None), (([], message), (None, 5, None)), ((["s3"], message), ("e", None, None))], None),
+        (1, 60, 0, None, None, None, [good, (([s2], message), None), (([], message), (None, 5, None)), (([s3], message), ("e", None, None)), ((["0"], message), (None, 5, None))], None),
         (2, None, 1, None, None, None, [], None), (3, None, None, None, None, None, None, (-32007, "gone")), (4, None, None, None, None, None, None, (-1, "slot was skipped, or missing")), (5, None, None, None, None, None, None, (-1, "busy")),
     ]
     blocks, now = spark.createDataFrame(rows, BLOCK), F.lit(T0)
     got = project.backfill_transactions(blocks, now).orderBy("signature").collect()
     minute = dt.datetime(1970, 1, 1, 0, 1)
-    assert [(r.slot, r.timestamp, r.signature, r.fee, r.success, r.program_ids, r.log_messages) for r in got] == [(1, minute, "s1", 5, True, ["k1", "k0"], ["l"]), (1, minute, "s3", 0, False, ["k1", "k0"], [])]
+    assert [(r.slot, r.timestamp, bytes(r.signature), r.fee, r.success, list(map(bytes, r.program_ids)), r.log_messages) for r in got] == [
+        (1, minute, b"s1", 5, True, [b"k1", b"k0"], ["l"]), (1, minute, b"s3", 0, False, [b"k1", b"k0"], []),
+    ]
     assert [(r.slot, r.timestamp, r.parent_slot, r.status) for r in project.backfill_slots(blocks, now).orderBy("slot").collect()] == [(1, minute, 0, "confirmed"), (2, T0, 1, "confirmed")]
     status = {r.slot: r.status for r in project.block_status(blocks).collect()}
     assert status == {1: "repaired", 2: "repaired", 3: "unavailable", 4: "unavailable", 5: "failed"}

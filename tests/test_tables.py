@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, account, at, meta, slot, tx
+from tallyflow.functions.columns import key_text
 from tallyflow.operators import decoders
 from tallyflow.operators.lookup import latest_checkpoint
 from tallyflow.schemas import BLOCK, BRONZE
@@ -32,7 +33,7 @@ def test_ingest_stores_each_row_once_and_checkpoints(spark, root, events):
     logs = ["Program A invoke [1]", "Program B invoke [2]", "Program C invoke [2]"]
     batch = events(account(1), account(2, ms=3), tx(3, programs=(b"P", b"Q"), logs=logs), slot(4), slot(5, status="confirmed"), meta(6, 10, 500, 20))
     for _ in range(2):
-        report = ingest.ingest_batch(batch, root, [decoders.ProgramActivity(["P"]), decoders.CallEdges()])
+        report = ingest.ingest_batch(batch, root, [decoders.ProgramActivity([key_text(b"P")]), decoders.CallEdges()])
     assert report["account_rows"] == 0 and report["received"] == 6
     accounts = stored(spark, root, "account_updates").collect()
     assert [(r.timestamp, r.slot) for r in accounts] == [(at(500), 10)]
@@ -80,13 +81,44 @@ def test_clustered_files_are_sorted_and_compacted(spark, root):
 
 
 def test_backfill_adds_what_is_absent(spark, root, events):
-    block = spark.createDataFrame([(10, 60, 9, None, None, None, [((["sig"], (["k"], [(0,)])), (None, 5, []))], None), (11, 61, 10, None, None, None, [], None)], BLOCK)
+    block = spark.createDataFrame([(10, 60, 9, None, None, None, [(([key_text(b"sig")], ([key_text(b"k")], [(0,)])), (None, 5, []))], None), (11, 61, 10, None, None, None, [], None)], BLOCK)
     for expected in (1, 0):
         report = ingest.apply_backfill(block, root, T0)
         assert report == {"slots": 2, "transactions": expected, "programs": expected}
     assert sorted((r.slot, r.parent_slot, r.status) for r in stored(spark, root, "slots").collect()) == [(10, 9, "confirmed"), (11, 10, "confirmed")]
 
 
+def test_live_transaction_is_not_backfilled_again(spark, root, events):
+    minute = dt.datetime(1970, 1, 1, 0, 1)
+    live = events(tx(1, slot=10, signature=bytes(range(64)), programs=(bytes(range(32)),)), (2, "block_meta", 10, at(0), None, None, None, (minute, 1)))
+    ingest.ingest_batch(live, root)
+    text = key_text(bytes(range(64))), key_text(bytes(range(32)))
+    block = spark.createDataFrame([(10, 60, 9, None, None, None, [(([text[0]], ([text[1]], [(0,)])), (None, 5, []))], None)], BLOCK)
+    assert ingest.apply_backfill(block, root, T0) == {"slots": 1, "transactions": 0, "programs": 0}
+    assert [bytes(r.signature) for r in stored(spark, root, "transactions").collect()] == [bytes(range(64))]
+
+
+def test_nothing_is_left_beside_the_tables(spark, root, events, tmp_path):
+    from tallyflow.sources.writers import scratch_path
+
+    before = set((p := __import__("pathlib").Path(scratch_path(spark, "x").removeprefix("file://")).parents[1]).iterdir())
+    for _ in range(2):
+        ingest.ingest_batch(events(account(1), tx(2), slot(3)), root)
+    assert {p.name for p in (tmp_path / "tables").iterdir()} == {"account_updates", "transactions", "transaction_program_ids", "slots", "pipeline_metrics", "ingestion_checkpoints"}
+    assert set(p.iterdir()) == before
+
+
+def test_buckets_have_their_units_and_orders(spark, root, events):
+    from tallyflow.operators.project import account_rows, slot_rows
+
+    writers.insert_if_absent(account_rows(events(account(1, ms=3_600_001), account(2, version=2), account(3, ms=5, version=3), account(4, ms=7_200_000, version=4))), root, "account_updates")
+    writers.upsert_last(slot_rows(events(slot(1, 7), slot(2, 8, ms=7_200_000))), root, "slots")
+    names = lambda table: sorted({str(r[0]) for r in stored(spark, root, table).select("bucket").collect()})
+    assert names("account_updates") == ["2024-01-01 12:00:00", "2024-01-01 14:00:00"] and len(names("slots")) == 1
+    rows = [r.timestamp for r in stored(spark, root, "account_updates").where("bucket = '2024-01-01 12:00:00'").coalesce(1).collect()]
+    assert rows == sorted(rows, reverse=True)
+
+
 def test_failed_batch_keeps_its_position(spark, root, events, tmp_path, monkeypatch):
     landing = f"file://{tmp_path}/landing"
     events(account(1), account(2, version=2), tx(3)).coalesce(1).write.parquet(landing)
