@@ -90,15 +90,25 @@ def rebalanced(slot_to_shard: list[int], sizes: dict[int, int], shards: int) ->
     return out
 
 
-def store_map(spark: SparkSession, versions: list[list[int]], path: str | None = None) -> DataFrame:
-    """Write all versions of the map as one table: version, vslot, shard."""
-    path = path or new_path(spark, "slot-map")
-    rows = [(v, slot, shard) for v, m in enumerate(versions) for slot, shard in enumerate(m)]
-    spark.createDataFrame(rows, "version int, vslot int, shard int").coalesce(1).write.parquet(path)
-    return spark.read.parquet(path)
+def append_version(spark: SparkSession, path: str, version: int, slot_to_shard: list[int]) -> None:
+    """Write one version of the map; fails if it is there."""
+    rows = list(enumerate(slot_to_shard))
+    spark.createDataFrame(rows, "vslot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
-def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
+def read_map(spark: SparkSession, path: str, version: int) -> list[int]:
+    """One stored version: the shard of each slot."""
+    rows = spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}").collect()
+    return [r.shard for r in sorted(rows, key=lambda r: r.vslot)]
+
+
+def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> DataFrame:
     """Place every record: id, size, text_crc32, vslot, map_version, shard, slot.
 
     ``slot`` numbers the records of a shard from 0 without gaps. The numbers
@@ -108,12 +118,23 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     spark = df.sparkSession
     records = written(slotted(df, id_col, text_col, slots), "records")
     table = {r.vslot: (r.bytes, r.rows) for r in slot_bytes(records).collect()}
-    maps = [first_map(slots, shards)]
-    maps.append(rebalanced(maps[0], {k: v[0] for k, v in table.items()}, shards))
-    stored = store_map(spark, maps).where(F.col("version") == len(maps) - 1)
+    path = map_path or new_path(spark, "slot-map")
+    versions = stored_versions(spark, path)
+    if versions:
+        version, current = versions[-1], read_map(spark, path, versions[-1])
+        if len(current) != slots:
+            raise ValueError(f"the stored map has {len(current)} slots, not {slots}")
+    else:
+        version, current = 0, first_map(slots, shards)
+        append_version(spark, path, 0, current)
+    newest = rebalanced(current, {k: v[0] for k, v in table.items()}, shards)
+    if newest != current or not versions:
+        version += 1
+        append_version(spark, path, version, newest)
+    stored = spark.read.schema("vslot int, shard int").parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
     before, rows = [0] * shards, []
-    for vslot, number in enumerate(maps[-1]):
+    for vslot, number in enumerate(newest):
         rows.append((vslot, before[number]))
         before[number] += table.get(vslot, (0, 0))[1]
     base = spark.createDataFrame(rows, "vslot int, base long")

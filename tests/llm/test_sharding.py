@@ -1,7 +1,8 @@
 import zlib
 from collections import defaultdict
 
-from tallyflow.llm.sharding import OVERHEAD, SHARDS, first_map, op2_virtual_slots, rebalanced, shard, store_map
+import pytest
+from tallyflow.llm.sharding import OVERHEAD, SHARDS, append_version, first_map, op2_virtual_slots, read_map, rebalanced, shard, stored_versions
 
 
 def test_query_places_every_record(spark, sf):
@@ -32,9 +33,14 @@ def test_rebalancing_is_near_equal_and_moves_little():
     assert rebalanced(after, sizes, 20) == after
 
 
-def test_map_keeps_all_versions(spark):
-    stored = store_map(spark, [[0, 1, 0], [1, 1, 0]]).collect()
-    assert sorted((r.version, r.vslot, r.shard) for r in stored) == [(0, 0, 0), (0, 1, 1), (0, 2, 0), (1, 0, 1), (1, 1, 1), (1, 2, 0)]
+def test_map_keeps_all_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    assert stored_versions(spark, path) == []
+    for version, own in enumerate(([0, 1, 0], [1, 1, 0])):
+        append_version(spark, path, version, own)
+    assert [read_map(spark, path, v) for v in stored_versions(spark, path)] == [[0, 1, 0], [1, 1, 0]]
+    with pytest.raises(Exception, match="already exists"):
+        append_version(spark, path, 1, [0, 0, 0])
 
 
 def test_nulls_repeats_extra_columns_and_empty(spark):
@@ -47,3 +53,21 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(own) == list(range(len(own))) for own in slots.values())
     assert shard(df.limit(0)).collect() == []
+
+
+def test_stored_map_takes_another_version(spark, sf, tmp_path):
+    from tallyflow.llm import sharding
+
+    path = f"file://{tmp_path}/map"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    first = {r.doc_id: (r.map_version, r.shard) for r in sharding.shard(docs, shards=4, slots=256, map_path=path).collect()}
+    assert {v for v, _ in first.values()} == {1} and sharding.stored_versions(spark, path) == [0, 1]
+    again = {r.doc_id: (r.map_version, r.shard) for r in sharding.shard(docs, shards=4, slots=256, map_path=path).collect()}
+    assert again == first, "nothing moves, nothing is appended"
+    grown = sharding.shard(docs, shards=5, slots=256, map_path=path).collect()
+    assert sharding.stored_versions(spark, path) == [0, 1, 2] and {r.map_version for r in grown} == {2}
+    old, new = sharding.read_map(spark, path, 1), sharding.read_map(spark, path, 2)
+    moved = sum(a != b for a, b in zip(old, new, strict=True))
+    assert 0 < moved < 128 and set(new) == set(range(5))
+    bytes_of = [sum(r.size for r in grown if r.shard == k) for k in range(5)]
+    assert max(bytes_of) - min(bytes_of) < 0.3 * max(bytes_of)
