@@ -109,20 +109,24 @@ def decontaminate(
     blocks = max(1, -(-windows.count() * window // block_words))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
 
-    indexes = []
-    for block in range(blocks):
+    def shared_index(block: int):
         own = [(bytes(r["words"]), list(r["items"])) for r in windows.where(F.col("block") == block).collect()]
         vocabulary = sorted({w for text, _ in own for w in text.split(b" ")})
         counts = {bytes(r.word): r.n for r in vocabulary_counts(docs.select(F.col(text_col).alias("text")), vocabulary).collect()} if own else {}
-        indexes.append(spark.sparkContext.broadcast(prefix_index(own, counts)))
+        return spark.sparkContext.broadcast(prefix_index(own, counts))
+
     if blocks == 1:
-        return _joined(docs, text_col, indexes[0])
+        return _joined(docs, text_col, shared_index(0))
 
-    # Several blocks: each finds its hits in all documents; hits are merged by row, then applied once.
+    # Several blocks: each finds its hits in all documents, which are written before the next block is
+    # broadcast, so one index is held at a time. Hits are merged by row, then applied once.
     rid = row_key(F.col(id_col), F.col(text_col))
     parts = None
-    for shared in indexes:
-        found = docs.select(rid.alias("__tf_rid"), F.col(text_col).alias("text")).mapInArrow(_hits_of(shared), "__tf_rid long, at array<int>, items array<string>")
+    for block in range(blocks):
+        shared = shared_index(block)
+        found = written(docs.select(rid.alias("__tf_rid"), F.col(text_col).alias("text")).mapInArrow(_hits_of(shared), "__tf_rid long, at array<int>, items array<string>"), "hits")
+        shared.unpersist(blocking=True)
+        shared.destroy()
         parts = found if parts is None else parts.unionByName(found)
     merged = parts.groupBy("__tf_rid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("__tf_at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__tf_found"))
     joined = docs.withColumn("__tf_rid", rid).join(merged, "__tf_rid", "left").drop("__tf_rid")
