@@ -2,7 +2,9 @@
 
 Sampled splitters (``repartitionByRange``) deal normalised texts into ranges
 of their leading bytes; inside a range Spark's external sort places equal
-texts side by side and the window operator compares neighbours in full.
+texts side by side and the window operator compares neighbours in full. Texts are
+normalised once and written with their digest and leading bytes, which is all that
+counting and sampling read.
 
 Skew. Copies of one text would meet in one range. A first pass counts 64-bit
 digests of the normalised text; a digest with more than ``1 / hot_parts`` of
@@ -39,7 +41,8 @@ def normalised(text: Column) -> Column:
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_parts: int = HOT_PARTS) -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256."""
-    base = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.xxhash64("norm"))
+    base = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    base = written(base.withColumns({"digest": F.xxhash64("norm"), "head": F.substring("norm", 1, 32)}), "normalised")
 
     counts = written(base.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digest-counts")
     rows = base.count()
@@ -50,7 +53,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     )
 
     keys = ["head", "digest", "salt"]
-    ranged = salted.withColumn("head", F.substring("norm", 1, 32)).repartitionByRange(*keys)
+    ranged = salted.repartitionByRange(*keys)
     group = Window.partitionBy(*keys, "norm")
     placed = ranged.select(
         "id", "hot", "digest",
