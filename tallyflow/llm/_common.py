@@ -20,11 +20,14 @@ _fallback_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) one temporary folder is made.
+    Where the setting is absent one temporary folder serves sessions whose executors
+    are in this process; on a cluster it would be another folder on each machine.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _fallback_dir:
         _fallback_dir.append("file://" + tempfile.mkdtemp(prefix="tallyflow-"))
     return _fallback_dir[0]
