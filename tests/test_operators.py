@@ -167,6 +167,22 @@ def test_decoders_side_by_side(spark, events):
     ]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decoders_read_events_once_and_lines_once(spark, events, tmp_path):
+    path = f"file://{tmp_path}/events"
+    events(account(1), tx(2)).write.parquet(path)
+    stored = readers.read_events(spark, path)
+    several = [decoders.ProgramActivity([P]), decoders.ProgramActivity([Q]), decoders.ProgramActivity(["amm-program"])]
+    assert plan_of(decoders.decode(stored, several)).count("FileScan") == 1
+    tagged = stored.withColumn("protocol", F.lit("a"))
+    assert plan_of(decoders.decode_by_protocol(tagged, {"a": several[:1], "b": several[1:]})).count("FileScan") == 1
+    lines = stored.select("slot", F.col("observed_at").alias("timestamp"), "transaction.signature", "transaction.success", "transaction.log_messages")
+    assert plan_of(decoders.call_edges(lines)).count("regexp_extract") == 4, "two for calls, two for outcomes, each over every line once"
+
+
 def test_user_decoder(spark, events):
     def by_fee(signature, fee):
         if fee > 5:
