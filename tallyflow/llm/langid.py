@@ -270,30 +270,48 @@ class Tagger:
             self.known = {}
         found = [(i, words) for i, t in enumerate(texts) if (words := words_in(t))]
         numbers, ends = self._numbers([w for _, words in found for w in words]), np.cumsum([len(words) for _, words in found])
-        chains = sorted(((i, numbers[end - len(words) : end]) for (i, words), end in zip(found, ends.tolist(), strict=True)), key=lambda c: len(c[1]))
-        short = [c for c in chains if len(c[1]) <= self.piece]
-        at = 0
-        while at < len(short):
-            upto = at + 1
-            while upto < len(short) and (upto + 1 - at) * len(short[upto][1]) <= self.cells:
-                upto += 1
-            emission, lengths = self._padded([x for _, x in short[at:upto]])
-            p, _, _ = marginals(emission, lengths, model.transition, model.start)
-            for row, (i, x) in enumerate(short[at:upto]):
-                out[i] = p[row].sum(axis=0) / len(x), float(leads(self.scores[x]).mean())
-            at = upto
-        for i, x in chains[len(short) :]:
-            parts = [x[a : a + self.piece] for a in range(0, len(x), self.piece)]
-            rows = max(1, self.cells // self.piece)
-            products = [products_of(*self._padded(parts[a : a + rows]), model.transition) for a in range(0, len(parts), rows)]
-            enter, leave = joined(np.concatenate(products), model.transition, model.start)
-            total = np.zeros(len(model.labels))
-            for a in range(0, len(parts), rows):
-                emission, lengths = self._padded(parts[a : a + rows])
-                total += marginals(emission, lengths, model.transition, model.start, enter[a : a + rows], leave[a : a + rows])[0].sum(axis=(0, 1))
-            out[i] = total / len(x), float(sum(leads(self.scores[part]).sum() for part in parts) / len(x))
+        # Each text is one piece or several; pieces of like length run side by side, whatever text they are of.
+        parts, owner = [], []
+        for (i, words), end in zip(found, ends.tolist(), strict=True):
+            for at in range(end - len(words), end, self.piece):
+                parts.append(numbers[at : min(at + self.piece, end)])
+                owner.append(i)
+        enter, leave = self._messages(parts, owner)
+        sums, lead = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts))
+        for group in self._groups(parts, range(len(parts))):
+            emission, lengths = self._padded([parts[p] for p in group])
+            p, _, _ = marginals(emission, lengths, model.transition, model.start, enter[group], leave[group])
+            own = [owner[p] for p in group]
+            np.add.at(sums, own, p.sum(axis=1))
+            np.add.at(lead, own, (leads(emission.reshape(-1, emission.shape[2])).reshape(emission.shape[:2]) * (np.arange(emission.shape[1]) < lengths[:, None])).sum(axis=1))
+        for i, words in found:
+            out[i] = sums[i] / len(words), float(lead[i] / len(words))
         return out
 
+    def _groups(self, parts: list[np.ndarray], chosen) -> list[list[int]]:
+        """Pieces of like length, as many as fit the padded cells."""
+        out: list[list[int]] = []
+        for p in sorted(chosen, key=lambda p: len(parts[p])):
+            if out and (len(out[-1]) + 1) * len(parts[p]) <= self.cells:
+                out[-1].append(p)
+            else:
+                out.append([p])
+        return out
+
+    def _messages(self, parts: list[np.ndarray], owner: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """What enters and what leaves each piece; a text of one piece needs no product."""
+        model = self.model
+        enter = np.repeat(np.exp(model.start)[None, :], len(parts), axis=0)
+        leave = np.ones_like(enter)
+        runs = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if parts else np.zeros(0, int)
+        several = [(a, b) for a, b in zip(runs, [*runs[1:], len(parts)], strict=True) if b - a > 1]
+        products = np.empty((len(parts), *model.transition.shape))
+        for group in self._groups(parts, [p for a, b in several for p in range(a, b)]):
+            products[group] = products_of(*self._padded([parts[p] for p in group]), model.transition)
+        for a, b in several:
+            enter[a:b], leave[a:b] = joined(products[a:b], model.transition, model.start)
+        return enter, leave
+
 
 _taggers: dict[int, Tagger] = {}
 
