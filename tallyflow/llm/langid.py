@@ -269,6 +269,8 @@ class Tagger:
         if len(self.known) > self.keep:
             self.known = {}
         found = [(i, words) for i, t in enumerate(texts) if (words := words_in(t))]
+        if not found:
+            return out
         numbers, ends = self._numbers([w for _, words in found for w in words]), np.cumsum([len(words) for _, words in found])
         # Each text is one piece or several; pieces of like length run side by side, whatever text they are of.
         parts, owner = [], []
@@ -303,7 +305,7 @@ class Tagger:
         model = self.model
         enter = np.repeat(np.exp(model.start)[None, :], len(parts), axis=0)
         leave = np.ones_like(enter)
-        runs = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if parts else np.zeros(0, int)
+        runs = np.flatnonzero(np.append(True, np.diff(owner) != 0))
         several = [(a, b) for a, b in zip(runs, [*runs[1:], len(parts)], strict=True) if b - a > 1]
         products = np.empty((len(parts), *model.transition.shape))
         for group in self._groups(parts, [p for a, b in several for p in range(a, b)]):

@@ -91,5 +91,6 @@ def test_odd_rows(spark):
     assert got[(4, None)] == ("und", 0.0) and got[(5, "123 !!")] == ("und", 0.0)
     assert got[(1, "the house of the king")][0] == "en" and got[(3, "das haus und der see")][0] == "de"
     assert langid.predict(df.limit(0), model).collect() == []
+    assert langid.Tagger(model).means([None, "12"]) == [None, None]
     nothing = langid.fit(df.limit(0))
     assert {r["__tf_lang"] for r in langid.predict(df, nothing).collect()} == {"und"}
