@@ -17,8 +17,8 @@ as its prefix has room for can have no near copy and is done after one shuffle
 of that third, and a common passage makes no large bucket.
 
 Of the sets that are left, each is verified with its SimHash neighbours and with
-the bucket leader that it meets most often, so that a large group becomes one
-component; then all pairs that share a bucket and are not yet in one component,
+the bucket leader that it meets most often (of texts made from one text, that one
+leads), so that a large group becomes one component; then all pairs that share a bucket and are not yet in one component,
 without those that share too few prefix shingles, are verified. Components come
 from ``simhash.components``.
 
@@ -130,7 +130,7 @@ def _held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def open_nodes(nodes: DataFrame) -> DataFrame:
-    """key, fp, size and prefix (without shingles of its own) of the nodes that may have a near copy."""
+    """key, fp, size, open (size without shingles that no other set is known to hold) and prefix (without these) of the nodes that may have a near copy."""
     bounded_batches(nodes.sparkSession, 50_000)
     each = nodes.select("key", F.explode("first").alias("h")).repartition("h").sortWithinPartitions("h", "key")
     shared = each.mapInArrow(_held_by_others, "h long, key long")
@@ -140,7 +140,8 @@ def open_nodes(nodes: DataFrame) -> DataFrame:
     room = (n - F.ceil(4 * n / 5) + 1).cast("int") - F.col("n_first") + F.size("shared")
     slim = nodes.select("key", "fp", "size", F.size("first").alias("n_first"), "tail").join(of_key, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
     prefix = F.concat(F.slice(ordered, F.lit(1), F.greatest(F.lit(0), F.least(room, F.size("shared")))), "tail")
-    return written(slim.select("key", "fp", "size", prefix.alias("prefix")).where("size(prefix) > 0"), "open-nodes")
+    own = F.col("n_first") - F.size("shared")
+    return written(slim.select("key", "fp", "size", (n - own).alias("open"), prefix.alias("prefix")).where("size(prefix) > 0"), "open-nodes")
 
 
 def whole_buckets(fn, names: tuple[str, ...]):
@@ -161,8 +162,9 @@ def whole_buckets(fn, names: tuple[str, ...]):
     return run
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+def _alike(size_a: np.ndarray, size_b: np.ndarray, open_a: np.ndarray, open_b: np.ndarray) -> np.ndarray:
+    """Whether two sets can be near: what both may hold is at most the lesser open part."""
+    return 9 * np.minimum(open_a, open_b) >= 4 * (size_a + size_b)
 
 
 def _counted(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
@@ -174,15 +176,15 @@ def _counted(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(b[starts]), pa.array(np.diff(np.concatenate([starts, [a.size]])).astype(np.int64)) if a.size else pa.array([], pa.int64())], names=["u", "v", "n"])
 
 
-def _open_pairs(buckets: np.ndarray, keys: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _open_pairs(buckets: np.ndarray, keys: np.ndarray, sizes: np.ndarray, opens: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of each bucket that are alike in size and not of one component, with the buckets they share."""
-    sizes = sizes.astype(np.int64)
+    sizes, opens = sizes.astype(np.int64), opens.astype(np.int64)
     low, high = np.searchsorted(buckets, buckets, "left"), np.searchsorted(buckets, buckets, "right")
     u, v, held = [], [], 0
     small = high - low <= SMALL
     step, at = 1, np.flatnonzero(small & (high - np.arange(len(buckets)) > 1))
     while at.size:
-        pick = at[(roots[at] != roots[at + step]) & _alike(sizes[at], sizes[at + step])]
+        pick = at[(roots[at] != roots[at + step]) & _alike(sizes[at], sizes[at + step], opens[at], opens[at + step])]
         u.append(keys[pick])
         v.append(keys[pick + step])
         step += 1
@@ -191,14 +193,14 @@ def _open_pairs(buckets: np.ndarray, keys: np.ndarray, sizes: np.ndarray, roots:
     u, v = [], []
     for a in np.unique(low[~small]).tolist():
         b = int(high[a])
-        own, size, root = keys[a:b], sizes[a:b], roots[a:b]
+        own, size, free, root = keys[a:b], sizes[a:b], opens[a:b], roots[a:b]
         names, place, members = np.unique(root, return_inverse=True, return_counts=True)
         most = place == members.argmax()
         # A member outside the largest component meets that component and the members after it.
         for i in np.flatnonzero(~most).tolist():
             meets = most.copy()
             meets[i + 1 :] = True
-            pick = np.flatnonzero(meets & (root != root[i]) & _alike(size, size[i]))
+            pick = np.flatnonzero(meets & (root != root[i]) & _alike(size, size[i], free, free[i]))
             if pick.size:
                 u.append(np.full(pick.size, own[i]))
                 v.append(own[pick])
@@ -244,40 +246,53 @@ def near_links(nodes: DataFrame, marked: DataFrame, df: DataFrame, id_col: str,
     spark = df.sparkSession
     nodes = open_nodes(nodes)
     members = written(nodes.select("key", F.explode("prefix").alias("bucket")), "members")
-    buckets = written(members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = written(members.join(buckets, "bucket"), "shared")
+    buckets = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    sized = written(members.join(buckets, "bucket"), "sized")
+    # How much of a set its buckets hold, each as often as it has members: of texts made from one, that one has most.
+    weights = sized.groupBy("key").agg(F.sum("n").alias("met")).join(nodes.select("key", "size", "open"), "key").select("key", "size", "open", (F.col("met") / F.col("size")).alias("weight"))
+    shared = written(sized.join(weights, "key"), "shared")
 
-    led = shared.where("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("leader", F.struct("n", "leader")).alias("v")).select(F.col("key").alias("u"), "v")
     # Close fingerprints: equal ones with the least key that has them, others by their blocks.
     faces = written(nodes.groupBy("fp").agg(F.min("key").alias("face")), "faces")
     equal = nodes.join(faces, "fp").where("key <> face").select(F.col("key").alias("u"), F.col("face").alias("v"))
     close = links(faces.select("fp"))
     for side in ("u", "v"):
         close = close.join(faces.select(F.col("fp").alias(side), F.col("face").alias(f"{side}_key")), side)
-    candidates = led.unionByName(equal).unionByName(close.select(F.col("u_key").alias("u"), F.col("v_key").alias("v")))
-    pairs = written(candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    found = verified(pairs, sets_of(_ends(pairs), marked, df, id_col, text_col))
-
+    candidates = _led(shared).unionByName(equal).unionByName(close.select(F.col("u_key").alias("u"), F.col("v_key").alias("v")))
+    found = _verified(candidates, marked, df, id_col, text_col)
     roots = components(found).withColumnRenamed("node", "key")
-    rooted = shared.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = written(rooted.join(nodes.select("key", "size"), "key"), "rooted")
+    rooted = written(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+
     open_ = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "open-buckets")
     # A member of a large bucket goes to every pair of chunks that has its own.
     chunks = F.ceil(2 * F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks)
     places = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.xxhash64("bucket", F.least(own, j.cast("long")), F.greatest(own, j.cast("long"))))
-    dealt = rooted.join(open_, "bucket").select(F.explode(F.when(F.col("n") <= CHUNK, F.array("bucket")).otherwise(places)).alias("place"), F.col("bucket"), "key", "size", "root")
+    dealt = rooted.join(open_, "bucket").select(F.explode(F.when(F.col("n") <= CHUNK, F.array("bucket")).otherwise(places)).alias("place"), F.col("bucket"), "key", "size", "open", "root")
     bounded_batches(spark, 50_000)
-    pairs = dealt.repartition("place").sortWithinPartitions("place", "key").mapInArrow(whole_buckets(_open_pairs, ("place", "key", "size", "root")), "u long, v long, n long")
+    pairs = dealt.repartition("place").sortWithinPartitions("place", "key").mapInArrow(whole_buckets(_open_pairs, ("place", "key", "size", "open", "root")), "u long, v long, n long")
     # Beyond its prefix a set of n shingles has ceil(0.8 n) - 1 more, and that is all that can be common besides.
     pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"))
     for side in ("u", "v"):
         pairs = pairs.join(nodes.select(F.col("key").alias(side), F.col("size").cast("long").alias(f"size_{side}")), side)
+    # (and no more than the lesser open part, which the tasks have seen to)
     most = F.col("n") + F.ceil(4 * F.greatest("size_u", "size_v") / 5) - 1
     pairs = written(pairs.where(9 * most >= 4 * (F.col("size_u") + F.col("size_v"))).select("u", "v"), "open")
     return found.unionByName(verified(pairs, sets_of(_ends(pairs), marked, df, id_col, text_col)))
 
 
+def _led(shared: DataFrame) -> DataFrame:
+    """(u, v): each node with the bucket leader (the node of most weight) that it meets most often."""
+    leaders = written(shared.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("top")).select("bucket", F.col("top.key").alias("leader")), "leaders")
+    counted = shared.select("bucket", "key").join(leaders, "bucket").where("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("key").agg(F.max_by("leader", F.struct("n", "leader")).alias("v")).select(F.col("key").alias("u"), "v")
+
+
+def _verified(candidates: DataFrame, marked: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    pairs = written(candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    return verified(pairs, sets_of(_ends(pairs), marked, df, id_col, text_col))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("key")).distinct().unionByName(pairs.select(F.col("v").alias("key")).distinct()).distinct()
 
