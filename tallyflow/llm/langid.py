@@ -42,7 +42,7 @@ from pyspark.sql import Window
 from tallyflow.llm._common import bounded_batches, by_batch, documents, schema_with
 
 #: Documents of each label to learn from.
-PER_LABEL = 200
+PER_LABEL = 120
 #: Characters of the longest document to learn from.
 LONGEST = 100_000
 #: Rows of the hashed feature table.
