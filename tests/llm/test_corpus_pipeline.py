@@ -5,6 +5,7 @@ from test_decontaminate import plain
 from test_near_dedup import plain_kept
 from test_packing import check_pieces, reference_ids
 
+ENGLISH_IDS = (21, 23, 24)  # not held out
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -55,11 +56,18 @@ def test_run_equals_the_stages_one_by_one(spark, sf):
 
 def test_odd_rows_pass_all_stages(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the house of the king", None, "s", 21), (None, "the house of the king", None, "s", 21), (3, "das haus und der see", "de", None, 20), (3, "das haus und der see", "de", None, 20), (4, "!!", "en", "s", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    english = [(i, text, "en", "s", 0) for i, text in zip(ENGLISH_IDS, ("the king of the house and the sea", "the road to the house by the sea", "the king and the road"))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    # Without an English text to learn from, an English one is in none of the learned languages.
+    alone = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, schema), sf)
+    assert {r.doc_id for r in alone.collect()} == {3}
+    docs = spark.createDataFrame(rows + english, schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == COLUMNS
-    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, "the house of the king"), (3, "das haus und der see")]
+    kept = docs.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id not in ENGLISH_IDS) == [(0, "the house of the king"), (3, "das haus und der see")]
+    assert {r.lang for r in kept if r.doc_id is None} == {"en"} and len(kept) == 2 + len(english)
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
