@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, sharding, simhash, substring_dedup
+from tallyflow.llm import alignment, decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_pair_bitmaps": alignment.op11_pair_bitmaps,
 }
 
 ORACLE_SQL: dict[str, str] = {
