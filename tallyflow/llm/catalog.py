@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import alignment, decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, prefix_trie, sharding, simhash, substring_dedup
+from tallyflow.llm import alignment, decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, neighbours, packing, prefix_trie, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": langid.op9_language_id,
     "op10_lm_score": lm_score.op10_lm_score,
     "op11_pair_bitmaps": alignment.op11_pair_bitmaps,
+    "op12_learned_partitions": neighbours.op12_learned_partitions,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
