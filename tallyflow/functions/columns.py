@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
+from tallyflow.functions import base58
+
 #: Status codes 0 to 6; fixed values of the stream format.
 STATUS_NAMES = ("processed", "confirmed", "finalized", "first_shred_received", "completed", "created_bank", "dead")
 
-#: Digits of base58; a fixed value of the format.
-BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
-
 
 def status_name(code: Column) -> Column:
     """Name of a slot status code, ``unknown`` if there is none."""
@@ -69,42 +69,21 @@ def watched_programs(instruction_index: Column, account_keys: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(instruction_index, lambda i: F.get(account_keys, i)), lambda x: x.isNotNull()))
 
 
-def _encode(raw: bytes) -> str:
-    number, out = int.from_bytes(raw, "big"), ""
-    while number:
-        number, digit = divmod(number, 58)
-        out = BASE58[digit] + out
-    return BASE58[0] * (len(raw) - len(raw.lstrip(b"\0"))) + out
-
-
-_DIGIT = {c: i for i, c in enumerate(BASE58)}
-
-
-def _decode(text: str) -> bytes | None:
-    number = 0
-    for c in text:
-        if c not in _DIGIT:
-            return None
-        number = number * 58 + _DIGIT[c]
-    zeros = len(text) - len(text.lstrip(BASE58[0]))
-    return bytes(zeros) + number.to_bytes((number.bit_length() + 7) // 8, "big")
-
-
 def key_text(raw: bytes) -> str:
     """The base58 text of a key."""
-    return _encode(raw)
+    return base58.encode_one(raw)
 
 
 def key_bytes(text: str) -> bytes:
     """Bytes of a key's text: what its base58 stands for, or the text itself where it is not base58."""
     trimmed = text.strip()
-    raw = _decode(trimmed) if trimmed else None
+    raw = base58.decode_one(trimmed) if trimmed else None
     return text.encode() if raw is None else raw
 
 
 def key_bytes_of(text: Column) -> Column:
     """``key_bytes`` of a column."""
-    return F.pandas_udf(_key_bytes_all, BinaryType())(text)
+    return F.arrow_udf(_key_bytes_all, BinaryType())(text)
 
 
 def as_key(value: Column, kind: DataType) -> Column:
@@ -113,59 +92,58 @@ def as_key(value: Column, kind: DataType) -> Column:
 
 
 def base58_encode(raw: Column) -> Column:
-    return F.pandas_udf(_encode_all, StringType())(raw)
+    return F.arrow_udf(_encode_all, StringType())(raw)
 
 
 def base58_encode_each(raws: Column) -> Column:
     """An array of bytes as an array of base58 texts."""
-    return F.pandas_udf(_encode_arrays, ArrayType(StringType()))(raws)
+    return F.arrow_udf(_encode_arrays, ArrayType(StringType()))(raws)
 
 
 def base58_decode(text: Column | str) -> Column:
     """Null for text that is not base58."""
-    return F.pandas_udf(_decode_all, BinaryType())(text)
+    return F.arrow_udf(_decode_all, BinaryType())(text)
 
 
 def base58_decode_each(texts: Column) -> Column:
     """An array of base58 texts as an array of bytes; null where a text is not base58."""
-    return F.pandas_udf(_decode_arrays, ArrayType(BinaryType()))(texts)
+    return F.arrow_udf(_decode_arrays, ArrayType(BinaryType()))(texts)
 
 
 def checked_key(text: Column | str) -> Column:
     """Struct of the 32-byte key of a base58 text, or the reason why there is none."""
-    return F.pandas_udf(_check_all, StructType([StructField("bytes", BinaryType()), StructField("reason", StringType())]))(text)
-
+    return F.arrow_udf(_check_all, StructType([StructField("bytes", BinaryType()), StructField("reason", StringType())]))(text)
 
-def _encode_all(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda x: None if x is None else _encode(bytes(x)))
 
+def _encode_all(raw: pa.Array) -> pa.Array:
+    return base58.encode(raw)
 
-def _decode_all(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else _decode(x))
 
+def _decode_all(text: pa.Array) -> pa.Array:
+    return base58.decode(text)
 
-def _encode_arrays(raws: pd.Series) -> pd.Series:
-    return raws.map(lambda xs: None if xs is None else [None if x is None else _encode(bytes(x)) for x in xs])
 
+def _encode_arrays(raws: pa.Array) -> pa.Array:
+    return base58.each(base58.encode, raws)
 
-def _decode_arrays(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda xs: None if xs is None else [None if x is None else _decode(x) for x in xs])
 
+def _decode_arrays(texts: pa.Array) -> pa.Array:
+    return base58.each(base58.decode, texts)
 
-def _key_bytes_all(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else key_bytes(x))
 
+def _key_bytes_all(text: pa.Array) -> pa.Array:
+    trimmed = pc.utf8_trim_whitespace(text)
+    raw = base58.decode(pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, trimmed.type), trimmed))
+    return pc.coalesce(raw, text.cast(pa.binary()))
 
-def _check_all(text: pd.Series) -> pd.DataFrame:
-    def check(x: str | None) -> tuple[bytes | None, str | None]:
-        trimmed = (x or "").strip()
-        if not trimmed:
-            return None, "empty"
-        raw = _decode(trimmed)
-        if raw is None:
-            return None, "not base58"
-        if len(raw) != 32:
-            return None, f"{len(raw)} bytes, not 32"
-        return raw, None
 
-    return pd.DataFrame([check(x) for x in text], columns=["bytes", "reason"])
+def _check_all(text: pa.Array) -> pa.Array:
+    trimmed = pc.utf8_trim_whitespace(pc.coalesce(text, pa.scalar("", text.type)))
+    raw = base58.decode(trimmed)
+    length = pc.binary_length(raw)
+    wrong = pc.binary_join_element_wise(length.cast(pa.string()), " bytes, not 32", "")
+    none = pa.scalar(None, pa.string())
+    reason = pc.case_when(
+        pc.make_struct(pc.equal(trimmed, ""), pc.is_null(raw), pc.not_equal(length, 32)), pa.scalar("empty"), pa.scalar("not base58"), wrong, none,
+    )
+    return pa.StructArray.from_arrays([pc.if_else(pc.is_null(reason), raw, pa.scalar(None, pa.binary())), reason], names=["bytes", "reason"])
