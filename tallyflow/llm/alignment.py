@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -48,8 +49,8 @@ BLOCK_DOCS = 1 << 16
 RUN_POSTINGS = 2_000_000
 #: Bytes, about, of the segments that a worker remembers, and characters from which on one is not remembered.
 CACHED_BYTES, LONGEST_CACHED = 100 << 20, 64
-#: Segments whose groups are hashed at once, and documents of bitmaps that are added at once.
-HASHED, ADDED = 100_000, 1_000_000
+#: New segments that are encoded in one text, segments whose groups are hashed at once, and documents of bitmaps that are added at once.
+JOINED, HASHED, ADDED = 1000, 100_000, 1_000_000
 ID_BITS = 20
 
 POSTING, DOCUMENT = 0, 1
@@ -61,8 +62,16 @@ def _place(vocabulary: str) -> str:
     return vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
 
 
-class ByteLevel:
-    """A byte-level vocabulary: the ids of texts, and the bytes of each id."""
+class Vocabulary:
+    """The ids of texts; of each id its bytes, their number, and its digits with what may follow them."""
+
+    def _set(self, bytes_of: list[bytes]) -> None:
+        self.bytes_of, self.lengths = bytes_of, np.array([len(x) for x in bytes_of], np.int64)
+        self.text = {mark: np.array([f"{i}{mark}" for i in range(len(bytes_of))], object) for mark in ",|;\n"}
+
+
+class ByteLevel(Vocabulary):
+    """A byte-level vocabulary."""
 
     def __init__(self, vocabulary: str):
         self._tokenizer = Tokenizer.from_file(_place(vocabulary))
@@ -71,19 +80,19 @@ class ByteLevel:
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         size = self._tokenizer.get_vocab_size()
-        self.bytes_of = [bytes(byte_of[c] for c in (self._tokenizer.id_to_token(i) or "") if c in byte_of) for i in range(size)]
+        self._set([bytes(byte_of[c] for c in (self._tokenizer.id_to_token(i) or "") if c in byte_of) for i in range(size)])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-class Pieces:
+class Pieces(Vocabulary):
     """A piece vocabulary, which puts a blank before each text itself."""
 
     def __init__(self, vocabulary: str):
         self._model = sentencepiece.SentencePieceProcessor(model_file=_place(vocabulary))
         piece = self._model.id_to_piece
-        self.bytes_of = [bytes([int(piece(i)[3:5], 16)]) if self._model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self._model.vocab_size())]
+        self._set([bytes([int(piece(i)[3:5], 16)]) if self._model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self._model.vocab_size())])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return self._model.encode(texts, num_threads=1)
@@ -94,28 +103,6 @@ def tokenizers_of(a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> tuple[ByteLev
     return ByteLevel(a), Pieces(b)
 
 
-def linked(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Linked pairs of ids in order, and the groups between places where both have an end, of two cuts of the same bytes."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = (len(a_bytes[a[0]]), len(b_bytes[b[0]])) if a else (0, 0)
-    while i < len(a):
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-            if i < len(a):
-                end_a, end_b = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            end_b += len(b_bytes[b[j]])
-    return links, groups
-
-
 #: Characters that some definition of white space holds and another does not; no cut follows them.
 _UNSURE = "\x1c\x1d\x1e\x1f\u180e\u200b\u2060\ufeff"
 
@@ -162,26 +149,64 @@ class Aligner:
         self.sums, self.pair, self.times, self.at = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        """Align segments and number them on."""
-        sums, pair, times, ends = [], [], [], []
-        for key, a, b in zip(new, self.a.ids([f" {k}" for k in new]), self.b.ids(new), strict=True):
-            raw = f" {key}".encode()
-            good = b"".join(map(self.a.bytes_of.__getitem__, a)) == raw == b"".join(map(self.b.bytes_of.__getitem__, b))
-            links, groups = linked(a, b, self.a.bytes_of, self.b.bytes_of) if good else ([], [])
-            counted: dict[int, int] = {}
-            for x, y in links:
-                packed = x << ID_BITS | y
-                counted[packed] = counted.get(packed, 0) + 1
-            self.groups.append(";".join(groups).encode())
-            self.size += 200 + len(self.groups[-1]) + 16 * len(counted)
-            self.good.append(good)
-            sums.append((len(a), len(b), len(groups), len(links)))
-            pair += counted.keys()
-            times += counted.values()
-            ends.append(len(pair))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64).reshape(-1, 4)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.array(ends, np.int64)])
-        self.pair, self.times = np.concatenate([self.pair, np.array(pair, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
+        """Align segments and number them on. Many are encoded in one text, as tokens end where segments do."""
+        alone = [k for k, key in enumerate(new) if _ends_open(key) or len(key) >= LONGEST_CACHED]
+        out = set(alone)
+        many = [k for k in range(len(new)) if k not in out]
+        runs = [many[k : k + JOINED] for k in range(0, len(many), JOINED)] + [[k] for k in alone]
+        good: list[list[int]] = []
+        ids: list[tuple[list[int], list[int]]] = []
+        while runs:
+            texts = [" ".join(new[k] for k in run) for run in runs]
+            again = []
+            for run, text, a, b in zip(runs, texts, self.a.ids([f" {t}" for t in texts]), self.b.ids(texts), strict=True):
+                raw = f" {text}".encode()
+                if b"".join(map(self.a.bytes_of.__getitem__, a)) == raw == b"".join(map(self.b.bytes_of.__getitem__, b)):
+                    good.append(run)
+                    ids.append((a, b))
+                elif len(run) > 1:
+                    again += [[k] for k in run]
+            runs = again
+        order = [k for run in good for k in run]
+        sums, groups, pairs = self._linked([len(new[k].encode()) + 1 for k in order], np.array([x for a, _ in ids for x in a], np.int64), np.array([x for _, b in ids for x in b], np.int64))
+        every_sum, every_group, is_good = np.zeros((len(new), 4), np.int64), [b""] * len(new), [False] * len(new)
+        every_sum[order] = sums
+        for k, text in zip(order, groups, strict=True):
+            every_group[k], is_good[k] = text, True
+        segment, pair, times = np.array(order, np.int64)[pairs[0]], pairs[1], pairs[2]
+        place = np.argsort(segment, kind="stable")
+        self.groups += every_group
+        self.good += is_good
+        self.sums = np.concatenate([self.sums, every_sum])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.bincount(segment, minlength=len(new)))])
+        self.pair, self.times = np.concatenate([self.pair, pair[place]]), np.concatenate([self.times, times[place]])
+        self.size += 200 * len(new) + sum(map(len, every_group)) + 16 * len(pair)
+
+    def _linked(self, lengths: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Counts, groups, and (segment, pair, times) of segments of some lengths that both token sequences add up to.
+
+        A link is a stretch between neighbouring ends of either side, a group one between ends that both have.
+        """
+        if not lengths:
+            return np.zeros((0, 4), np.int64), [], (np.zeros(0, np.int64),) * 3
+        end, n = np.cumsum(lengths), len(lengths)
+        end_a, end_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        either, both = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        if not np.isin(end, both, assume_unique=True).all():
+            raise ValueError("a token goes over the end of a segment")
+        of = [np.searchsorted(end, x) for x in (end_a, end_b, both, either)]
+        pair = a[np.searchsorted(end_a, either)] << ID_BITS | b[np.searchsorted(end_b, either)]
+        link, times = np.unique(of[3] << 2 * ID_BITS | pair, return_counts=True)
+        # the groups as text: a part for each token, in the order of (group, side)
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = both[group_a] == end_a, both[group_b] == end_b
+        text_a = np.where(last_a, self.a.text["|"][a], self.a.text[","][a])
+        ends = end[of[1]] == end_b
+        text_b = np.where(ends, self.b.text["\n"][b], np.where(last_b, self.b.text[";"][b], self.b.text[","][b]))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        groups = "".join(np.concatenate([text_a, text_b])[order].tolist()).encode().split(b"\n")[:-1]
+        sums = np.stack([np.bincount(x, minlength=n) for x in of], axis=1)
+        return sums, groups, (link >> 2 * ID_BITS, link & ((1 << 2 * ID_BITS) - 1), times)
 
     def align(self, texts: list[str | None]) -> Aligned:
         """Segment numbers of texts. Numbers hold until the next call."""
@@ -205,15 +230,23 @@ class Aligner:
                 continue
             words = text.split(" ")
             found = list(map(keep.get, words))  # words that are not segments of their own are never kept
-            if None in found or not words[-1]:
+            if not words[-1]:
                 found = [number(key) for key in segments(text)]
+            elif None in found:
+                missing = [word for word, known in zip(words, found, strict=True) if known is None]
+                if any(len(word) >= LONGEST_CACHED or _ends_open(word) for word in missing):
+                    found = [number(key) for key in segments(text)]
+                else:
+                    for word in missing:
+                        number(word)
+                    found = list(map(keep.get, words))
             numbers.append(found)
         if new:
             self._learn(new)
         if False in self.good:
             numbers = [n if all(map(self.good.__getitem__, n)) else [] for n in numbers]
         lengths = np.array([len(n) for n in numbers], np.int64)
-        return Aligned(np.fromiter((x for n in numbers for x in n), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)]))
+        return Aligned(np.fromiter(chain.from_iterable(numbers), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)]))
 
     def digest(self, segment: np.ndarray) -> str:
         """SHA-256 of the groups of one document; empty without tokens."""
