@@ -127,18 +127,27 @@ def _edges(calls: Column, outcomes: Column, success: Column) -> Column:
 
     A call at depth d comes from the latest call at depth d - 1 before it, even if
     that one has returned; it succeeded as its program's last outcome line says,
-    else as the transaction did.
+    else as the transaction did. One fold over the calls carries the latest program at
+    each depth, and one over the outcomes the last of each program.
     """
+    known = F.aggregate(
+        outcomes, F.expr("cast(map() as map<string, boolean>)"),
+        lambda acc, o: F.map_concat(F.map_filter(acc, lambda k, _: k != o["program"]), F.create_map(o["program"], o["ok"])),
+    )
 
-    def edge(call: Column) -> Column:
-        above = F.filter(calls, lambda y: (y["depth"] == call["depth"] - 1) & (y["at"] < call["at"]))
-        own = F.filter(outcomes, lambda o: o["program"] == call["program"])
-        return F.struct(
-            call["at"].alias("at"), F.try_element_at(above, F.lit(-1))["program"].alias("caller"), call["program"].alias("callee"), call["depth"].alias("depth"),
-            F.coalesce(F.try_element_at(own, F.lit(-1))["ok"], success).alias("success"),
-        )
+    def step(acc: Column, call: Column) -> Column:
+        caller = F.try_element_at(acc["latest"], call["depth"] - 1)
+        edge = F.struct(call["at"].alias("at"), caller.alias("caller"), call["program"].alias("callee"), call["depth"].alias("depth"))
+        latest = F.map_concat(F.map_filter(acc["latest"], lambda k, _: k != call["depth"]), F.create_map(call["depth"], call["program"]))
+        return F.struct(latest.alias("latest"), F.when((call["depth"] > 1) & caller.isNotNull(), F.concat(acc["edges"], F.array(edge))).otherwise(acc["edges"]).alias("edges"))
 
-    return F.filter(F.transform(F.filter(calls, lambda c: c["depth"] > 1), edge), lambda e: e["caller"].isNotNull())
+    start = F.struct(F.expr("cast(map() as map<int, string>)").alias("latest"), F.expr("cast(array() as array<struct<at: int, caller: string, callee: string, depth: int>>)").alias("edges"))
+    found = F.aggregate(calls, start, step, lambda acc: acc["edges"])
+    # the folds stand in arrays of one, so that each runs once and not once an edge
+    both = F.transform(F.array(F.struct(found.alias("edges"), known.alias("known"))), lambda x: F.transform(x["edges"], lambda e: F.struct(
+        e["at"].alias("at"), e["caller"].alias("caller"), e["callee"].alias("callee"), e["depth"].alias("depth"), F.coalesce(F.try_element_at(x["known"], e["callee"]), success).alias("success"),
+    )))
+    return F.get(both, F.lit(0))
 
 
 def _with_lines(transactions: DataFrame, logs: str) -> DataFrame:
@@ -167,13 +176,15 @@ class CallEdges:
 
     name = "cpi-edge"
 
-    def apply(self, events: DataFrame) -> DataFrame:
-        own = events.where("kind = 'transaction'").select(F.col("observed_at").alias("timestamp"), "slot", "transaction.signature", "transaction.success", "transaction.log_messages")
-        key = base58_encode(F.col("signature")) if isinstance(own.schema["signature"].dataType, BinaryType) else F.col("signature").cast("string")
-        return call_edges(own).select(
-            "timestamp", "slot", F.lit(self.name).alias("decoder_name"), key.alias("record_key"), F.col("depth").cast("short").alias("event_index"),
-            F.to_json(F.struct("caller", "callee", "depth", "success")).alias("payload"),
-        )
+    def rows(self, events: DataFrame) -> Column:
+        logs = F.col("transaction.log_messages")
+        edges = _edges(_calls(logs), _outcomes(logs), F.col("transaction.success"))
+
+        def row(e: Column) -> Column:
+            payload = F.to_json(F.struct(e["caller"].alias("caller"), e["callee"].alias("callee"), e["depth"].alias("depth"), e["success"].alias("success")))
+            return decoded(self.name, F.col("transaction.signature"), key_type(events, "transaction.signature"), e["depth"], payload)
+
+        return F.when(F.col("kind") == "transaction", F.transform(edges, row)).otherwise(_none())
 
 
 class RowDecoder:

@@ -12,16 +12,21 @@ def missing_seqs(df: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def gap_ranges(df: DataFrame, bucket_size: int = 1_000_000) -> DataFrame:
-    """(first_missing, last_missing, missing) of each hole between present positions.
+    """(first_missing, last_missing, missing) of each hole between present positions."""
+    return interval_gaps(df.select(F.col("seq").alias("low"), F.col("seq").alias("high")), bucket_size)
+
+
+def interval_gaps(intervals: DataFrame, bucket_size: int = 1_000_000) -> DataFrame:
+    """The same of present intervals (low, high), which may touch but not overlap.
 
     Neighbours are found inside buckets of positions; then between the edges of
     buckets inside buckets of buckets, and so on. No task orders more than
     ``bucket_size`` rows, and each level is smaller by that factor.
     """
     size = max(2, bucket_size)
-    low, high = df.agg(F.min("seq"), F.max("seq")).first()
+    low, high = intervals.agg(F.min("low"), F.max("high")).first()
     low, span = low or 0, (high or 0) - (low or 0)
-    level = df.select(F.col("seq").alias("low"), F.col("seq").alias("high"), F.floor((F.col("seq") - low) / size).alias("group"))
+    level = intervals.select("low", "high", F.floor((F.col("low") - low) / size).alias("group"))
     pairs, width = None, size
     while True:
         found = level.select(F.col("high").alias("seq"), F.lead("low").over(Window.partitionBy("group").orderBy("low")).alias("next"))

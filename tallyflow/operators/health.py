@@ -28,8 +28,13 @@ def slot_health(slots: DataFrame, as_of: Column, lookback: str = "1 hour", bucke
     unit like the others.
     """
     kind = slots.schema["timestamp"].dataType
-    recent = slots.where((F.col("status") == status) & (F.col("timestamp") > (as_of - F.expr(f"INTERVAL {lookback}")).cast(kind)))
-    return recent.groupBy(time_bucket(F.col("timestamp"), bucket).cast(kind).alias("bucket")).agg(*_measures(SECONDS[bucket]))
+    return health_of(slots.where(F.col("timestamp") > (as_of - F.expr(f"INTERVAL {lookback}")).cast(kind)), bucket, status)
+
+
+def health_of(slots: DataFrame, bucket: str = "minute", status: str = "finalized") -> DataFrame:
+    """The same of all slots."""
+    kind = slots.schema["timestamp"].dataType
+    return slots.where(F.col("status") == status).groupBy(time_bucket(F.col("timestamp"), bucket).cast(kind).alias("bucket")).agg(*_measures(SECONDS[bucket]))
 
 
 def slot_health_stream(slots: DataFrame, watermark: str = "1 hour", bucket: str = "minute", status: str = "finalized") -> DataFrame:

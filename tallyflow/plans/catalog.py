@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.functions.columns import base58_decode, base58_encode, base58_encode_each, event_slot, key_text, rfc3339, slug, trimmed_list
-from tallyflow.operators import decoders, enrich, gaps, health, keyed, lookup, metrics, project, watch
+from tallyflow.operators import decoders, enrich, gaps, health, keyed, lookup, metrics, project, sketches, watch
 from tallyflow.plans import views
 from tallyflow.plans.views import sql, table
 from tallyflow.session import scratch_path
 from tallyflow.sources import readers, writers
-from tallyflow.streaming import ingest
+from tallyflow.streaming import ingest, late_times, minute_view, positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -882,3 +882,176 @@ def stream_restart(spark, sf_dir):
 def batch_metrics(spark, sf_dir):
     rows = spark.read.parquet(f"{_restarted(spark, sf_dir)}/pipeline_metrics")
     return rows.agg(F.count(F.lit(1)).alias("batches"), F.sum("received").alias("received"), F.sum("account_rows").alias("account_rows"), F.sum("pruned").alias("pruned"))
+
+
+# Rows whose block time comes late, the stored minute view, metrics
+
+
+def _late_transactions(spark, sf_dir) -> DataFrame:
+    """Four fifths of the transactions, which arrive a second apart and without block times."""
+    live = views.binary_bronze(spark, sf_dir).where("kind = 'transaction' AND seq % 5 <> 0")
+    path = scratch_path(spark, "landing")
+    live.withColumn("observed_at", F.timestamp_seconds(F.lit(1_706_745_600) - F.col("seq"))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "v_tx v_tx_ix v_prog",
+    f""", l AS (SELECT signature, count(*) AS programs FROM v_prog GROUP BY 1),
+    t AS (SELECT *, {BLOCK_OK} AND slot % 3 <> 0 AS timed, {BLOCK_OK} AND signature % 7 <> 0 AND signature % 19 <> 0 AS filled FROM v_tx)
+    SELECT sha256(CAST(t.signature AS VARCHAR)) AS signature, CAST(1 AS BIGINT) AS stored, coalesce(programs, 0) AS programs, strftime(CASE WHEN timed THEN make_timestamp(slot * 60 * 1000000)
+      WHEN t.signature % 5 = 0 THEN TIMESTAMP '2024-02-01' WHEN slot % 2 = 0 THEN make_timestamp((slot * 60 + 1) * 1000000) ELSE make_timestamp((1706745600 - t.signature) * 1000000) END, '%Y-%m-%d %H:%M:%S.%g') AS timestamp
+    FROM t LEFT JOIN l ON t.signature = l.signature WHERE t.signature % 5 <> 0 OR filled""",
+)
+def late_block_time(spark, sf_dir):
+    """Transactions by arrival; the same again when every second slot's block time is known; then the documents, which time two slots in three."""
+    root, live = scratch_path(spark, "tables"), _late_transactions(spark, sf_dir)
+    ingest.ingest_batch(live, root)
+    even = live.select("slot").where("slot % 2 = 0").distinct().withColumn("block_time", F.timestamp_seconds(F.col("slot") * 60 + 1))
+    ingest.ingest_batch(live, root, block_times=even)
+    ingest.apply_backfill(_blocks(spark, sf_dir), root, AS_OF)
+    rows = spark.read.parquet(f"{root}/transactions").groupBy("signature").agg(F.count(F.lit(1)).alias("stored"), F.max("timestamp").alias("timestamp"))
+    own = spark.read.parquet(f"{root}/transaction_program_ids").groupBy("timestamp", "signature").agg(F.count(F.lit(1)).alias("programs"))
+    return rows.join(own, ["timestamp", "signature"], "left").select(hex_text("signature").alias("signature"), "stored", F.coalesce("programs", F.lit(0).cast("long")).alias("programs"), time_text("timestamp"))
+
+
+@query("v_accounts v_block_times", ACCOUNT_ROWS.replace("SELECT seq, ", "SELECT "))
+def late_metas(spark, sf_dir):
+    """Accounts in three micro-batches, and after them the block times; an earlier part of these comes twice."""
+    root = scratch_path(spark, "tables")
+    events = views.event_bronze(table(spark, sf_dir, "events"))
+    metas = events.where("kind = 'block_meta'")
+    for part in [events.where(f"kind = 'account' AND seq % 3 = {k}") for k in (2, 0, 1)] + [metas.where("seq % 2 = 0"), metas]:
+        ingest.ingest_batch(part, root)
+    return spark.read.parquet(f"{root}/account_updates").select(time_text("timestamp"), "slot", "pubkey", "owner", "lamports", "data", "write_version")
+
+
+@query("v_accounts v_block_times", f"SELECT a.seq, a.slot, {T.format("coalesce(b.block_time, observed_at)", "timestamp")} FROM v_accounts a LEFT JOIN v_block_times b ON a.slot = b.slot")
+def held_stream(spark, sf_dir):
+    """A stream that holds accounts for their block time; a last, later event lets go of what still waits."""
+    root = scratch_path(spark, "stream")
+    events = views.event_bronze(table(spark, sf_dir, "events"))
+    times = late_times.learned(events).withColumn("kind", F.lit("time")).join(events.where("kind = 'block_meta'").select("seq", "observed_at"), "seq")
+    end = events.limit(1).select(F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("kind"), F.lit(-1).cast("long").alias("slot"), F.lit("2030-01-01").cast("timestamp").alias("observed_at"), F.lit(None).cast("timestamp").alias("block_time"))
+    accounts = events.where("kind = 'account'").select("seq", "kind", "slot", F.col("observed_at").cast("timestamp").alias("observed_at"), F.lit(None).cast("timestamp").alias("block_time"))
+    landed = accounts.unionByName(times.select("seq", "kind", "slot", F.col("observed_at").cast("timestamp").alias("observed_at"), F.col("block_time").cast("timestamp").alias("block_time")))
+    out = f"{root}/out"
+
+    def run(rows: DataFrame) -> None:
+        rows.coalesce(4).write.mode("append").parquet(f"{root}/in")
+        source = readers.read_events(spark, f"{root}/in", streaming=True, schema=landed.schema)
+        held = late_times.held_for_block_time(source.where("kind <> 'time'").select("seq", "slot", "observed_at"), source.where("kind <> 'account'").select("slot", "observed_at", "block_time"), "90 days")
+        held.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+
+    for rows in (landed, end):
+        run(rows)
+    return spark.read.parquet(out).where("seq >= 0").select("seq", "slot", time_text("timestamp"))
+
+
+@query("v_slots", HEALTH.format(bucket=T.format("date_trunc('minute', ts)", "bucket"), seconds="60.0", unit="minute"))
+def refreshed_health(spark, sf_dir):
+    """Slots come half of them first, with another status and no parent, then all; each batch refreshes its own minutes."""
+    root = scratch_path(spark, "tables")
+    rows = views.slots(spark, sf_dir).select("seq", "timestamp", "slot", "parent_slot", "status")
+    early = rows.where("slot % 2 = 0").withColumns({"parent_slot": F.lit(None).cast("long"), "status": F.lit("finalized")})
+    for batch in (early, rows.where("slot % 3 = 0"), rows):
+        writers.upsert_last(batch, root, "slots")
+        minute_view.refresh(batch, root)
+    return minute_view.stored_health(spark, root, at(AS_OF), LOOKBACK).withColumn("bucket", time_text("bucket"))
+
+
+@query(
+    "v_accounts",
+    """, e AS (SELECT event_id AS seq, ts, 0 AS account FROM events UNION ALL SELECT seq, observed_at, 1 FROM v_accounts), b AS (SELECT *, seq % 3 AS batch_id FROM e UNION ALL SELECT *, 2 FROM e WHERE seq % 3 = 0 AND seq % 10 = 0)
+    SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S.%g') AS timestamp, strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H:%M:%S') AS bucket, batch_id, count(*) AS received, sum(account) FILTER (WHERE seq % 3 = batch_id) AS account_rows FROM b GROUP BY batch_id""",
+)
+def metrics_by_hour(spark, sf_dir):
+    rows = writers.read_folders(spark, f"{_restarted(spark, sf_dir)}/pipeline_metrics")
+    return rows.select(time_text("timestamp"), "bucket", "batch_id", "received", "account_rows")
+
+
+@query("v_accounts", ACTIVITY.split("UNION ALL")[0].replace("CAST(0 AS SMALLINT) AS event_index", "0 AS event_index"))
+def stored_decoded(spark, sf_dir):
+    root = scratch_path(spark, "tables")
+    for _ in range(2):
+        ingest.ingest_batch(views.event_bronze(table(spark, sf_dir, "events")).where("kind = 'account'"), root, [_activity()])
+    rows = spark.read.parquet(f"{root}/custom_decoded_events")
+    return rows.select(time_text("timestamp"), "slot", "decoder_name", "record_key", F.col("event_index").cast("int"), "payload")
+
+
+@query("", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'account: empty' WHEN c_custkey % 4 = 1 THEN 'account: not base58' WHEN c_custkey % 4 = 2 THEN 'account: 3 bytes, not 32' END AS reason FROM customer")
+def watchlist_reasons(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    key = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat(F.lit("0"), "c_name")).when(k == 2, base58_encode(F.lit(b"abc"))).otherwise(base58_encode(F.unhex(F.sha2(F.col("c_custkey").cast("string"), 256))))
+    return watch.validate_watchlist(table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"), F.lit("account").alias("kind"))).select("c_custkey", "reason")
+
+
+# Positions as intervals, sketches
+
+
+def _positions(spark, sf_dir, part: int) -> str:
+    """The interval set after four batches of positions in an order of their own, one of them twice."""
+    root, present = scratch_path(spark, "tables"), _present(spark, sf_dir)
+    for k in (2, 0, 3, 2, 1):
+        positions.add_positions(present.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == k), root, part)
+    return root
+
+
+@query("", ORACLE_SQL["seq_gap_ranges"])
+def gap_set(spark, sf_dir):
+    return positions.gap_set(spark, _positions(spark, sf_dir, 1000), 100)
+
+
+@query(
+    "",
+    """WITH p AS (SELECT event_id AS seq, event_id // 1000 AS part FROM events WHERE event_type <> 'error'), i AS (SELECT part, min(seq) AS low, max(seq) AS high FROM (SELECT *, seq - row_number() OVER (PARTITION BY part ORDER BY seq) AS run FROM p) GROUP BY part, run),
+    b AS (SELECT unnest(range(low, high + 1, 7)) AS first, low, high FROM i)
+    SELECT first, least(first + 6, high) AS last, CASE WHEN first + 6 < high OR high + 1 IN (SELECT seq FROM p) THEN 'full' WHEN high = (SELECT max(seq) FROM p) THEN 'end' ELSE 'gap' END AS ends FROM b""",
+)
+def contiguous_batch(spark, sf_dir):
+    return positions.replay_plan(spark, _positions(spark, sf_dir, 1000), 7)
+
+
+def _sketched_lags(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """Hourly sketches of three batches, stored; one batch comes twice."""
+    root = scratch_path(spark, "tables")
+    for k in (0, 1, 2, 1):
+        hourly = sketches.lag_sketches(rows.where(F.col("slot") % 3 == k)).withColumns({"stream_name": F.lit("main"), "batch_id": F.lit(k), "seq": F.lit(0)})
+        writers.insert_if_absent(hourly, root, "lag_sketches")
+    return writers.read_folders(spark, f"{root}/lag_sketches")
+
+
+@query("v_accounts v_block_times", f", {LAGS.replace('AS lag FROM', "AS lag, date_trunc('day', observed_at) AS day FROM")} SELECT {T.format('day', 'timestamp')}, count(*) AS lags, true AS within_bound FROM l GROUP BY day")
+def merged_lag_sketches(spark, sf_dir):
+    """Each day's p50, p95 and p99 from hourly sketches: their ranks among the day's lags are within the stated bound."""
+    rows, ps = _lagged(spark, sf_dir), {"lag_p50_ms": 0.5, "lag_p95_ms": 0.95, "lag_p99_ms": 0.99}
+    daily = sketches.merged_lags(_sketched_lags(spark, sf_dir, rows), list(ps.values()), "day")
+    own = rows.select(F.date_trunc("day", "observed_at").cast("timestamp_ntz").alias("timestamp"), metrics.lag_millis(F.col("observed_at"), F.col("block_time")).alias("lag"))
+    joined = own.join(daily.withColumnRenamed("lags", "n"), "timestamp")
+    n = F.count(F.lit(1))
+    good = [(F.count_if(F.col("lag") < F.col(c)) <= p * n + sketches.RANK_ERROR * n + 1) & (F.count_if(F.col("lag") <= F.col(c)) >= p * n - sketches.RANK_ERROR * n - 1) for c, p in ps.items()]
+    return joined.groupBy("timestamp").agg(F.max("n").alias("lags"), (good[0] & good[1] & good[2] & (n == F.max("n"))).alias("within_bound")).withColumn("timestamp", time_text("timestamp"))
+
+
+@query("v_accounts", f"SELECT {T.format("date_trunc('day', observed_at)", 'timestamp')}, owner, count(*) AS updates, count(DISTINCT pubkey) AS accounts, true AS within_error FROM v_accounts GROUP BY date_trunc('day', observed_at), owner")
+def distinct_accounts_rollup(spark, sf_dir):
+    """Distinct accounts of each day and owner from hourly sketches of three batches, beside the true figure."""
+    root = scratch_path(spark, "tables")
+    accounts = project.account_rows(views.event_bronze(table(spark, sf_dir, "events")))
+    for k in range(3):
+        hourly = sketches.account_sketches(accounts.where(F.col("seq") % 3 == k)).withColumns({"stream_name": F.lit("main"), "batch_id": F.lit(k), "seq": F.lit(0)})
+        writers.insert_if_absent(hourly, root, "account_sketches")
+    daily = sketches.merged_accounts(writers.read_folders(spark, f"{root}/account_sketches"), "day", ["owner"]).withColumnRenamed("accounts", "estimate")
+    true = accounts.groupBy(F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("timestamp"), "owner").agg(F.count_distinct("pubkey").alias("accounts"))
+    close = F.abs(F.col("estimate") - F.col("accounts")) <= F.col("accounts") * sketches.DISTINCT_ERROR + 1
+    return daily.join(true, ["timestamp", "owner"]).select(time_text("timestamp"), "owner", "updates", "accounts", close.alias("within_error"))
+
+
+@query("v_accounts", "SELECT protocol, count(*) AS updates, count(DISTINCT pubkey) AS accounts, true AS within_error FROM v_accounts JOIN (VALUES ('shop', 'purchase'), ('shop', 'click'), ('all', 'purchase'), ('all', 'click'), ('all', 'signup'), ('all', 'error')) w(protocol, owner) USING (owner) GROUP BY protocol")
+def protocol_accounts(spark, sf_dir):
+    """Distinct accounts of protocols that own several programs, from the programs' hourly sketches."""
+    accounts = project.account_rows(views.event_bronze(table(spark, sf_dir, "events")))
+    watch_of = readers.watchlist_of(spark, [(p, "program", o, False, False) for p, owners in (("shop", ("purchase", "click")), ("all", ("purchase", "click", "signup", "error"))) for o in owners]).select("protocol", F.col("key").alias("owner"))
+    estimated = sketches.merged_accounts(sketches.account_sketches(accounts).join(watch_of, "owner"), by=["protocol"]).withColumnRenamed("accounts", "estimate")
+    true = accounts.join(watch_of, "owner").groupBy("protocol").agg(F.count_distinct("pubkey").alias("accounts"))
+    return estimated.join(true, "protocol").select("protocol", "updates", "accounts", (F.abs(F.col("estimate") - F.col("accounts")) <= F.col("accounts") * sketches.DISTINCT_ERROR + 1).alias("within_error"))

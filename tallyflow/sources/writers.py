@@ -3,13 +3,15 @@
 Parquet has no transactions, so every write can be repeated: a batch that is
 delivered again finds its keys stored and adds nothing, or rewrites the same
 buckets with the same rows. A table's checkpoint row is written last. Buckets
-that a batch does not touch are neither read nor written.
+that a batch does not touch are neither listed, read nor written. Where the key does
+not tell the bucket, an index does (see ``key_index``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ from tallyflow.functions.columns import time_bucket
 from tallyflow.operators.keyed import absent, first_by_key, last_by_key
 from tallyflow.schemas import TABLES
 from tallyflow.session import scratch_path
+from tallyflow.sources.key_index import KeyIndex
+
+
+#: Rows of a bucket that go to one file.
+FILE_ROWS = 1_000_000
 
 
 def bucket_of(time: Column, unit: str) -> Column:
@@ -40,17 +47,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(files.globStatus(where))
 
 
-def _touched(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the buckets in ``batch``, by partition pruning on their few names."""
-    names = [r.bucket for r in batch.select("bucket").distinct().collect()]
-    return stored.where(F.col("bucket").isin(names))
+def folders(spark: SparkSession, path: str, column: str = "bucket") -> dict[str, str]:
+    """The partitions of a table by name, with their folders."""
+    files, where = _path(spark, path)
+    if not files.exists(where):
+        return {}
+    found = [str(f.getPath()) for f in files.listStatus(where)]
+    start = f"{column}="
+    return {unquote(name[len(start) :]): full for full in found if (name := full.rpartition("/")[2]).startswith(start)}
+
+
+def read_folders(spark: SparkSession, path: str, column: str = "bucket", names: Sequence[str] | None = None, schema=None) -> DataFrame | None:
+    """Rows of some partitions (default: all) of a table; None if it has none of them. Other partitions are not listed."""
+    have = folders(spark, path, column)
+    chosen = [have[n] for n in (have if names is None else names) if n in have]
+    if not chosen:
+        return None
+    if schema is None:
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(chosen[0]).schema] + [f"`{column}` string"])
+    return spark.read.schema(schema).option("basePath", path).parquet(*chosen)
+
+
+def drop_folder(spark: SparkSession, path: str, column: str, name: str) -> None:
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+    files, where = _path(spark, f"{path}/{column}={escaped}")
+    files.delete(where, True)
+
+
+def bucket_rows(batch: DataFrame) -> dict[str, int]:
+    """Rows of each bucket in a batch: as many entries as buckets."""
+    return {r["bucket"]: r["n"] for r in batch.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _write(df: DataFrame, path: str, sort: Sequence[str], mode: str) -> None:
-    """Lay rows out by bucket. They are dealt by ranges of (bucket, sort columns), so that a large bucket is shared by tasks."""
-    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in sort if c.lstrip("-") in df.columns]
-    laid = df.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
-    laid.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def _dealt(df: DataFrame, rows: dict[str, int]) -> DataFrame:
+    """Rows by bucket to as many tasks as there are; a bucket of more than FILE_ROWS rows goes to several."""
+    large = {name: -(-n // FILE_ROWS) for name, n in rows.items() if n > FILE_ROWS}
+    tasks = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(rows) + sum(large.values()))
+    if not large:
+        return df.repartition(max(1, tasks), "bucket")
+    over = F.coalesce(F.create_map(*[F.lit(x) for pair in large.items() for x in pair])[F.col("bucket")], F.lit(1))
+    return df.withColumn("__file", F.pmod(F.xxhash64(*[c for c in df.columns if c != "bucket"]), over)).repartition(max(1, tasks), "bucket", "__file").drop("__file")
+
+
+def write_buckets(df: DataFrame, path: str, table: str, mode: str, rows: dict[str, int] | None = None) -> None:
+    """Lay rows out by bucket, sorted inside files.
+
+    With the ``rows`` of each bucket many small buckets are written side by side; without
+    them the shuffle measures, joins small ones and splits large ones.
+    """
+    spec = TABLES[table]
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in spec.sort if c.lstrip("-") in df.columns]
+    laid = df.hint("rebalance", "bucket") if rows is None else _dealt(df, rows)
+    out = laid.sortWithinPartitions("bucket", *order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+    if looked_up := [c for c in spec.looked_up if c in df.columns]:
+        # filters from 1 KB to 1 MB, as small as the values of a file allow
+        out = out.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", "10")
+        for column in looked_up:
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    out.parquet(path)
 
 
 @contextmanager
@@ -72,22 +126,28 @@ def staging(spark: SparkSession) -> Iterator:
         files.delete(where, True)
 
 
-def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq") -> int:
+def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq", key: Sequence[str] | None = None, index: KeyIndex | None = None, entries: Sequence[KeyIndex] = ()) -> int:
     """Add rows whose key is not stored; of rows in the batch with one key the first by ``order``.
 
-    Returns the number of rows added.
+    A key without the timestamp takes an ``index`` that knows where rows with the key may
+    be. The indexes in ``entries`` get entries of the new rows. Returns the number of rows
+    added.
     """
-    spark, spec = batch.sparkSession, TABLES[table]
-    path = f"{root}/{table}"
+    spark, path = batch.sparkSession, f"{root}/{table}"
+    key = key or TABLES[table].key
     with staging(spark) as staged:
-        rows = staged(with_bucket(first_by_key(batch, spec.key, order).drop(order), table))
-        if exists(spark, path):
-            # The bucket follows from the key's timestamp, so it joins along and prunes.
-            rows = staged(absent(rows, _touched(spark.read.schema(rows.schema).parquet(path), rows), spec.key))
-        added = rows.count()
-        if added:
-            _write(rows, path, spec.sort, "append")
-    return added
+        rows = staged(with_bucket(first_by_key(batch, key, order).drop(order), table))
+        counts = bucket_rows(rows)
+        # The bucket follows from a key with the timestamp.
+        stored = read_folders(spark, path, names=index.buckets_of(rows) if index else list(counts), schema=rows.schema)
+        if stored is not None:
+            rows = staged(absent(rows, stored, key))
+            counts = bucket_rows(rows)
+        if counts:
+            for each in entries:
+                each.add(rows)
+            write_buckets(rows, path, table, "append", counts)
+    return sum(counts.values())
 
 
 def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") -> int:
@@ -96,61 +156,80 @@ def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") ->
     path = f"{root}/{table}"
     with staging(spark) as staged:
         plain = staged(with_bucket(last_by_key(batch, spec.key, order).drop(order), table))
-        fresh = plain.withColumn("__new", F.lit(1))
-        if exists(spark, path):
-            old = _touched(spark.read.schema(plain.schema).parquet(path), plain).withColumn("__new", F.lit(0)).select(*fresh.columns)
-            fresh = staged(last_by_key(fresh.unionByName(old), spec.key, "__new"))
-        stored = fresh.where("__new = 1").count()
-        if stored:
-            _write(fresh.drop("__new"), path, spec.sort, "overwrite")
-    return stored
+        counts = bucket_rows(plain)
+        old = read_folders(spark, path, names=list(counts), schema=plain.schema)
+        whole = plain if old is None else staged(plain.unionByName(absent(old, plain, spec.key)))
+        if counts:
+            write_buckets(whole, path, table, "overwrite", counts if old is None else bucket_rows(whole))
+    return sum(counts.values())
 
 
 def write_clustered(df: DataFrame, root: str, table: str, unit: str | None = None) -> None:
     """Append ``df`` by bucket (of another time unit, if given), sorted inside files by the table's sort columns."""
-    _write(with_bucket(df, table, unit), f"{root}/{table}", TABLES[table].sort, "append")
+    write_buckets(with_bucket(df, table, unit), f"{root}/{table}", table, "append")
 
 
 def compact(spark: SparkSession, root: str, table: str, buckets: Sequence[str]) -> None:
     """Rewrite the files of some buckets as few sorted ones."""
     path = f"{root}/{table}"
     with staging(spark) as staged:
-        _write(staged(_stored(spark, path).where(F.col("bucket").isin(list(buckets)))), path, TABLES[table].sort, "overwrite")
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """A table with its buckets' names as text (readers may take them for timestamps)."""
-    found = spark.read.parquet(path)
-    return spark.read.schema(", ".join(f"`{f.name}` {'string' if f.name == 'bucket' else f.dataType.simpleString()}" for f in found.schema)).parquet(path)
+        found = read_folders(spark, path, names=[str(b) for b in buckets])
+        if found is not None:
+            write_buckets(staged(found), path, table, "overwrite")
 
 
 def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
     """Delete rows strictly older than ``cutoff``: old buckets whole, the boundary bucket by a rewrite."""
     path, unit = f"{root}/{table}", TABLES[table].bucket
-    stored = _stored(spark, path)
-    limit = F.lit(cutoff).cast(stored.schema["timestamp"].dataType)
-    old = stored.where((F.col("timestamp") < limit) & (F.col("bucket") <= bucket_of(limit, unit)))
-    counts = old.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
+    have = folders(spark, path)
+    edge = spark.range(1).select(bucket_of(F.lit(cutoff).cast("timestamp"), unit)).first()[0]
+    # Names of buckets sort like their times.
+    stored = read_folders(spark, path, names=[n for n in have if n <= edge])
+    if stored is None:
         return 0
-    edge = spark.range(1).select(bucket_of(limit, unit)).first()[0]
+    limit = F.lit(cutoff).cast(stored.schema["timestamp"].dataType)
+    counts = {r.bucket: r.n for r in stored.where(F.col("timestamp") < limit).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     with staging(spark) as staged:
-        if any(r.bucket == edge for r in counts):
+        if edge in counts:
             rest = staged(stored.where((F.col("bucket") == edge) & (F.col("timestamp") >= limit)))
             if rest.isEmpty():
-                _drop(spark, path, edge)
+                drop_folder(spark, path, "bucket", edge)
             else:
-                _write(rest, path, TABLES[table].sort, "overwrite")
-        for r in counts:
-            if r.bucket != edge:
-                _drop(spark, path, r.bucket)
-    return sum(r.n for r in counts)
+                write_buckets(rest, path, table, "overwrite")
+        for name in counts:
+            if name != edge:
+                drop_folder(spark, path, "bucket", name)
+    return sum(counts.values())
 
 
-def _drop(spark: SparkSession, path: str, bucket: str) -> None:
-    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(bucket)
-    files, where = _path(spark, f"{path}/bucket={escaped}")
-    files.delete(where, True)
+def move_rows(moved: DataFrame, root: str, table: str, indexes: Sequence[KeyIndex] = ()) -> None:
+    """Give stored rows (with their ``bucket``) the time in ``to_time``, in the bucket of that time.
+
+    New rows are added before old ones go, so it can be repeated after a failure at any place.
+    """
+    spark, spec, path = moved.sparkSession, TABLES[table], f"{root}/{table}"
+    columns = [c for c in moved.columns if c not in ("to_time", "bucket")]
+    with staging(spark) as staged:
+        fresh = staged(with_bucket(moved.withColumn("timestamp", F.col("to_time")).select(*columns), table))
+        counts = bucket_rows(fresh)
+        there = read_folders(spark, path, names=list(counts), schema=fresh.schema)
+        if there is not None:
+            fresh = staged(absent(fresh, there, spec.key))
+            counts = bucket_rows(fresh)
+        if counts:
+            for each in indexes:
+                each.add(fresh)
+            write_buckets(fresh, path, table, "append", counts)
+        names = list(bucket_rows(moved))
+        old = read_folders(spark, path, names=names, schema=fresh.schema)
+        if old is None:
+            return
+        rest = staged(absent(old, moved, spec.key))
+        left = bucket_rows(rest)
+        if left:
+            write_buckets(rest, path, table, "overwrite", left)
+        for name in set(names) - left.keys():
+            drop_folder(spark, path, "bucket", name)
 
 
 def write_checkpoint(progress: DataFrame, root: str, stream: str, reason: str = "size") -> None:

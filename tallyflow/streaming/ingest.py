@@ -11,9 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyflow.operators import project
 from tallyflow.operators.decoders import Decoder, decode
 from tallyflow.operators.metrics import batch_progress
-from tallyflow.sources import writers
+from tallyflow.schemas import TABLES
+from tallyflow.sources import key_index, writers
+from tallyflow.streaming import late_times, minute_view
 
-RETAINED = ("account_updates", "transactions", "transaction_program_ids", "slots", "custom_decoded_events")
+RETAINED = ("account_updates", "transactions", "transaction_program_ids", "slots", "slot_health_1m", "custom_decoded_events", "pipeline_metrics")
+PROGRAM_KEY = ("signature", "program_id", "position")
 
 
 def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, time: str = "timestamp") -> DataFrame:
@@ -21,44 +24,71 @@ def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, time: str =
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(key))
 
 
+def insert_transactions(transactions: DataFrame, root: str) -> tuple[int, int]:
+    """Add transactions whose signature is not stored at any time, and their programs; the rows added of each.
+
+    Programs have the bucket of their transaction, so one index serves both tables.
+    """
+    signatures, slots = key_index.by_signature(root), key_index.by_slot(root)
+    programs = project.program_rows(transactions).withColumn("seq", F.col("position"))
+    added = writers.insert_if_absent(transactions.drop("program_ids"), root, "transactions", key=("signature",), index=signatures, entries=[signatures, slots])
+    return added, writers.insert_if_absent(programs, root, "transaction_program_ids", key=PROGRAM_KEY, index=signatures)
+
+
 def ingest_batch(
     events: DataFrame, root: str, decoders: Sequence[Decoder] = (), block_times: DataFrame | None = None, stream: str = "main", max_age: str | None = None, reason: str = "size", batch_id: int = 0
 ) -> dict[str, int]:
     """Store one micro-batch; safe to repeat.
 
-    Block times are those known when the batch runs: the given dimension and the
-    batch's own. The checkpoint row comes last, so a batch that fails between
-    writes is run again and completes what is missing.
+    Block times are those stored so far, the batch's own among them, else the given ones.
+    Rows stored before their block time was known move to it first, so what came in
+    another order, or comes again, meets its row. The checkpoint row comes last: a batch
+    that fails between writes is run again and completes what is missing.
     """
-    spark = events.sparkSession
-    own = project.block_times(events)
-    if block_times is not None:
-        known = block_times.join(own.select("slot"), "slot", "left_anti").unionByName(own.select(*block_times.columns))
-    else:
-        known = own
-    accounts, transactions = project.account_rows(events, known), project.transaction_rows(events, known)
-    written = {"received": events.count()}
-    written["account_rows"] = writers.insert_if_absent(accounts, root, "account_updates")
-    written["transaction_rows"] = writers.insert_if_absent(transactions.drop("program_ids"), root, "transactions")
-    children = project.program_rows(transactions).withColumn("seq", F.col("position"))
-    written["program_rows"] = writers.insert_if_absent(children, root, "transaction_program_ids")
-    written["slot_rows"] = writers.upsert_last(project.slot_rows(events), root, "slots")
+    kinds = {r["kind"]: r["n"] for r in events.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    written = dict.fromkeys(("received", "moved_rows", "account_rows", "transaction_rows", "program_rows", "slot_rows", "decoded_rows"), 0)
+    written["received"] = sum(kinds.values())
+    if "block_meta" in kinds:
+        late_times.remember(late_times.learned(events), root)
+    if kinds.keys() & {"account", "transaction", "block_meta"}:
+        known = late_times.known_times(events.where(F.col("kind") != "slot"), root, block_times)
+        written["moved_rows"] = sum(late_times.correct_times(known, root).values())
+    slots = key_index.by_slot(root)
+    if "account" in kinds:
+        written["account_rows"] = writers.insert_if_absent(project.account_rows(events, known), root, "account_updates", key=("slot", "pubkey", "write_version"), index=slots, entries=[slots])
+    if "transaction" in kinds:
+        written["transaction_rows"], written["program_rows"] = insert_transactions(project.transaction_rows(events, known), root)
+    if "slot" in kinds:
+        updates = project.slot_rows(events)
+        written["slot_rows"] = writers.upsert_last(updates, root, "slots")
+        minute_view.refresh(updates, root)
     if decoders:
         # The first row in arrival order wins a key; payload breaks ties inside one event.
         decoded = decode(events, decoders).withColumn("seq", F.struct("timestamp", "payload"))
         written["decoded_rows"] = writers.insert_if_absent(decoded, root, "custom_decoded_events")
     progress = batch_progress(events)
-    pruned = 0
-    if max_age:
-        latest = progress.first()["max_observed_at"]
-        if latest is not None:
-            cutoff = spark.range(1).select((F.lit(latest) - F.expr(f"INTERVAL {max_age}"))).first()[0]
-            pruned = sum(writers.prune(spark, root, t, cutoff) for t in RETAINED if writers.exists(spark, f"{root}/{t}"))
-    columns = {"received": 0, "account_rows": 0, "transaction_rows": 0, "program_rows": 0, "slot_rows": 0, "decoded_rows": 0} | written
-    metrics = spark.createDataFrame([(batch_id, *columns.values(), pruned)], "batch_id long, " + ", ".join(f"{c} long" for c in columns) + ", pruned long")
-    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/pipeline_metrics")
+    written["pruned"] = _retain(progress, root, max_age) if max_age else 0
+    _add_metrics(progress, root, stream, batch_id, written)
     writers.write_checkpoint(progress, root, stream, reason)
-    return columns | {"pruned": pruned}
+    return written
+
+
+def _retain(progress: DataFrame, root: str, max_age: str) -> int:
+    """Prune all tables by their age at the latest arrival; a table's own retention holds where it is shorter."""
+    spark, pruned = progress.sparkSession, 0
+    ages = {t: F.expr(f"INTERVAL {max_age}") if not TABLES[t].max_age else F.least(F.expr(f"CAST(INTERVAL {max_age} AS INTERVAL DAY TO SECOND)"), F.expr(f"CAST(INTERVAL {TABLES[t].max_age} AS INTERVAL DAY TO SECOND)")) for t in RETAINED}
+    cutoffs = progress.select(*[(F.col("max_observed_at") - age).alias(t) for t, age in ages.items()]).first()
+    for table in RETAINED:
+        if cutoffs[table] is not None and writers.exists(spark, f"{root}/{table}"):
+            pruned += writers.prune(spark, root, table, cutoffs[table])
+    return pruned
+
+
+def _add_metrics(progress: DataFrame, root: str, stream: str, batch_id: int, written: dict[str, int]) -> None:
+    """A row for the batch, at its latest arrival; not a second one if the batch comes again."""
+    counts = [F.lit(n).cast("long").alias(c) for c, n in written.items()]
+    row = progress.where("max_observed_at IS NOT NULL").select(F.col("max_observed_at").alias("timestamp"), F.lit(stream).alias("stream_name"), F.lit(batch_id).cast("long").alias("batch_id"), *counts, F.lit(0).alias("seq"))
+    writers.insert_if_absent(row, root, "pipeline_metrics")
 
 
 def start_ingest(
@@ -89,9 +119,9 @@ def apply_backfill(blocks: DataFrame, root: str, as_of) -> dict[str, int]:
     now = F.lit(as_of).cast("timestamp")
     slots = project.backfill_slots(blocks, now).withColumn("seq", F.col("slot"))
     transactions = project.backfill_transactions(blocks, now).withColumn("seq", F.col("slot"))
-    children = project.program_rows(transactions).withColumn("seq", F.col("position"))
-    return {
-        "slots": writers.upsert_last(slots, root, "slots"),
-        "transactions": writers.insert_if_absent(transactions.drop("program_ids"), root, "transactions"),
-        "programs": writers.insert_if_absent(children, root, "transaction_program_ids"),
-    }
+    timed = blocks.where("error IS NULL AND blockTime IS NOT NULL").select("slot", F.timestamp_seconds("blockTime").alias("block_time"))
+    late_times.correct_times(timed.groupBy("slot").agg(F.max("block_time").alias("block_time")), root)
+    stored = writers.upsert_last(slots, root, "slots")
+    minute_view.refresh(slots, root)
+    added, programs = insert_transactions(transactions, root)
+    return {"slots": stored, "transactions": added, "programs": programs}

@@ -104,7 +104,7 @@ def test_nothing_is_left_beside_the_tables(spark, root, events, tmp_path):
     before = set((p := __import__("pathlib").Path(scratch_path(spark, "x").removeprefix("file://")).parents[1]).iterdir())
     for _ in range(2):
         ingest.ingest_batch(events(account(1), tx(2), slot(3)), root)
-    assert {p.name for p in (tmp_path / "tables").iterdir()} == {"account_updates", "transactions", "transaction_program_ids", "slots", "pipeline_metrics", "ingestion_checkpoints"}
+    assert {p.name for p in (tmp_path / "tables").iterdir()} == {"account_updates", "transactions", "transaction_program_ids", "slots", "pipeline_metrics", "ingestion_checkpoints", "transactions_by_signature", "rows_by_slot"}
     assert set(p.iterdir()) == before
 
 
