@@ -13,8 +13,9 @@ from tallyflow.operators import decoders, enrich, gaps, health, keyed, lookup, m
 from tallyflow.plans import views
 from tallyflow.plans.views import sql, table
 from tallyflow.session import scratch_path
-from tallyflow.sources import readers, writers
-from tallyflow.streaming import ingest, late_times, minute_view, positions
+from tallyflow.schemas import BLOCK
+from tallyflow.sources import current, readers, writers
+from tallyflow.streaming import ingest, late_times, layout, minute_view, positions, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1055,3 +1056,54 @@ def protocol_accounts(spark, sf_dir):
     estimated = sketches.merged_accounts(sketches.account_sketches(accounts).join(watch_of, "owner"), by=["protocol"]).withColumnRenamed("accounts", "estimate")
     true = accounts.join(watch_of, "owner").groupBy("protocol").agg(F.count_distinct("pubkey").alias("accounts"))
     return estimated.join(true, "protocol").select("protocol", "updates", "accounts", (F.abs(F.col("estimate") - F.col("accounts")) <= F.col("accounts") * sketches.DISTINCT_ERROR + 1).alias("within_error"))
+
+
+# Current accounts, layout, repair
+
+
+@query("v_accounts", "SELECT pubkey, arg_max(owner, write_version) AS owner, arg_max(lamports, write_version) AS lamports, max(write_version) AS write_version FROM v_accounts GROUP BY 1")
+def current_accounts(spark, sf_dir):
+    """Versions come in three batches, newest first, one batch twice, and the table is compacted between them."""
+    root = scratch_path(spark, "tables")
+    rows = project.account_rows(views.event_bronze(table(spark, sf_dir, "events"))).drop("seq")
+    for k in (2, 1, 2, 0):
+        current.add_versions(rows.where(F.pmod("write_version", F.lit(3)) == k), root, 8)
+        if k == 1:
+            current.compact_current(spark, root, 8)
+    return current.current_accounts(spark, root, 8).select("pubkey", "owner", "lamports", "write_version")
+
+
+@query("v_accounts", "SELECT strftime(date_trunc('hour', observed_at) - INTERVAL 1 HOUR * (hour(observed_at) % 2), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS rows, CAST(1 AS BIGINT) AS files FROM v_accounts GROUP BY 1")
+def compacted_layout(spark, sf_dir):
+    """Accounts in four batches, so buckets of several files; one run of the layout job."""
+    root = scratch_path(spark, "tables")
+    rows = project.account_rows(views.event_bronze(table(spark, sf_dir, "events")))
+    for k in range(4):
+        writers.insert_if_absent(rows.where(F.col("seq") % 4 == k), root, "account_updates")
+    layout.run_layout(spark, root, AS_OF, ["account_updates"])
+    stored = writers.read_folders(spark, f"{root}/account_updates")
+    return stored.select("bucket", F.col("_metadata.file_path").alias("file")).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"))
+
+
+REPAIRED = "CASE WHEN {0} % 19 = 0 THEN 'pending' WHEN {0} % 13 = 0 THEN 'unavailable' WHEN {0} % 17 = 0 THEN 'failed' ELSE 'repaired' END"
+
+
+@query(
+    "",
+    f"""WITH a AS (SELECT event_id - 1 AS slot, {REPAIRED.format("(event_id - 1)")} AS status, CAST(0 AS BIGINT) AS round FROM events WHERE event_id % 4 = 0 AND event_id > 0),
+    b AS (SELECT slot - 1 AS slot, {REPAIRED.format("(slot - 1)")} AS status, CAST(1 AS BIGINT) AS round FROM a WHERE status = 'repaired'),
+    c AS (SELECT slot - 1 AS slot, {REPAIRED.format("(slot - 1)")} AS status, CAST(2 AS BIGINT) AS round FROM b WHERE status = 'repaired')
+    SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+)
+def repair_chain(spark, sf_dir):
+    """Every fourth slot is stored; three missing parents lie between two, and each is known only by the one above it."""
+    root, s = scratch_path(spark, "tables"), F.col("slot")
+    slots = table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"))
+    stored = slots.where("slot % 4 = 0").select(s.alias("seq"), F.timestamp_seconds(s * 60).alias("timestamp"), "slot", F.when(s > 0, s - 1).alias("parent_slot"), F.lit("finalized").alias("status"))
+    writers.upsert_last(stored, root, "slots")
+    error = F.when(s % 13 == 0, F.struct(F.lit(-32007).alias("code"), F.lit("n/a").alias("message"))).when(s % 17 == 0, F.struct(F.lit(-32000).alias("code"), F.lit("server").alias("message")))
+    fields = {f.name: f.dataType for f in spark.createDataFrame([], BLOCK).schema}
+    given = {"slot": s, "blockTime": s * 60, "parentSlot": s - 1, "transactions": F.array(), "error": error}
+    documents = slots.where("slot % 19 <> 0").select(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields.items()])
+    repair.repair(spark, root, lambda missing: documents.join(missing, "slot", "left_semi"), AS_OF)
+    return repair.statuses(spark, root)

@@ -175,7 +175,8 @@ def compact(spark: SparkSession, root: str, table: str, buckets: Sequence[str])
     with staging(spark) as staged:
         found = read_folders(spark, path, names=[str(b) for b in buckets])
         if found is not None:
-            write_buckets(staged(found), path, table, "overwrite")
+            rows = staged(found)
+            write_buckets(rows, path, table, "overwrite", bucket_rows(rows))
 
 
 def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
