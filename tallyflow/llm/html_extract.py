@@ -13,8 +13,8 @@ Pages are handled in Arrow batches, row by row independent, so nothing is
 shuffled; messages of all pages in a batch are passed level by level in numpy.
 
 Defined cases: null and empty html give an empty text; a truncated page is read
-as far as it goes, an unended script or style reaches to the page's end, other
-unended or self-closing elements hide no text after them; drawings, players,
+as far as it goes, an unended script or style reaches to the page's end; elements that are
+self-closing, or have no end tag further on, hide no text after them; drawings, players,
 buttons and lists of choices are no text, formulas and the text of objects are; white space is what ``str.split`` removes, so no-break spaces
 count; character references that are not complete stay as they are; repeated
 rows get equal results; an empty table gives an empty result; other columns
@@ -60,7 +60,7 @@ SCOPES = frozenset("ul ol dl table html body div section article".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
 #: Comments, declarations, tags, tags with a quote that never ends, and a tag cut off by the page's end.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -86,6 +86,14 @@ def parse(html: str | None, labelled: bool = False) -> Page:
     links, link_chars, dead, at, html = 0, 0, 0, 0, html or ""
     ignored: dict[str, int] = {}  # open elements inside a dead one
 
+    last_end: dict[str, int] = {}  # of a dead element's tag
+
+    def has_end(tag: str) -> bool:
+        """Whether the page has an end tag for it further on; without one nothing after it is hidden."""
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", html, re.I)), default=-1)
+        return last_end[tag] >= at
+
     def flush() -> None:
         nonlocal link_chars
         if texts:
@@ -136,7 +144,7 @@ def parse(html: str | None, labelled: bool = False) -> Page:
         closed = rest.endswith("/")
         if tag in RAW:
             if not (closed and tag not in CODE):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                end = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I).search(html, at)
                 at = end.end() if end else len(html) if tag in CODE else at
             if not dead:
                 texts.append(" ")
@@ -155,7 +163,7 @@ def parse(html: str | None, labelled: bool = False) -> Page:
         if tag in DEAD:
             if not dead:
                 texts.append(" ")
-            if not closed:
+            if not closed and (tag in LEFT or has_end(tag)):
                 stack.append((tag, stack[-1][1]))
                 dead += 1
             continue
@@ -302,6 +310,10 @@ def train(pages: list[Page], rounds: int = 80) -> Weights:
     return weights
 
 
+#: Share of the generator's pages whose article is not told by a tag or a known name.
+OWN_NAMES = 0.5
+
+
 def labelled_page(rng: random.Random) -> str:
     """One page in a random layout; parts of the article carry ``data-main="1"``."""
 
@@ -387,9 +399,13 @@ def labelled_page(rng: random.Random) -> str:
         part = rng.choice((advert, notice, form, sidebar))()
         inside.insert(rng.randint(0, len(inside)), re.sub(r"^<(\w+)", r'<\1 data-main="0"', part))
     body = "".join(inside)
-    if rng.random() < 0.06:  # a page that is little more than its article
-        bare = "".join(paragraph() for _ in range(rng.randint(1, 3)))
-        return rng.choice(('<article data-main="1">{}</article>', '<body><main data-main="1">{}</main></body>', '<html><body><article data-main="1">{}</article></body></html>')).format(bare)
+    if rng.random() < 0.15:  # a page that is little more than its article
+        parts = [paragraph() for _ in range(rng.randint(1, 3))]
+        if rng.random() < 0.3:
+            return "".join(re.sub(r"^<(\w+)", r'<\1 data-main="1"', part) for part in parts)
+        own = rng.choice(("", f' id="{word()}"', f' class="{word()}"'))
+        form_of = rng.choice(('<article data-main="1">{}</article>', '<body><main data-main="1">{}</main></body>', '<body data-main="1">{}</body>', f'<div{own} data-main="1">{{}}</div>', f'<html><body><div{own}><div data-main="1">{{}}</div></div></body></html>'))
+        return form_of.format(f"<h1>{sentence(1, 6)}</h1>" * (rng.random() < 0.4) + "".join(parts))
     draw = rng.random()
     if draw < 0.5:
         article = f'<article data-main="1">{body}</article>'
@@ -400,15 +416,31 @@ def labelled_page(rng: random.Random) -> str:
     else:
         name = rng.choice("content post entry story article article-body post-content entry-content main-content text body-text".split())
         article = f'<{(tag := rng.choice(("div", "div", "section")))} {rng.choice(("class", "id"))}="{name}" data-main="1">{body}</{tag}>'
+    layout = rng.random()
+    if layout < OWN_NAMES:  # containers whose names say nothing, or none at all
+        neutral = "wrap box area list inner outer wrapper container page".split()
+        name = rng.choice(("", f' class="{word()}"', f' id="{word()}"', f' class="{word()} {word()}"', f' class="{rng.choice(neutral)}"'))
+        article = f'<{(tag := rng.choice(("div", "div", "section", "td")))}{name} data-main="1">{body}</{tag}>'
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            article = f'<div{rng.choice(("", f" id={word()}", f" class={word()}", f" class={rng.choice(neutral)}", f" id={rng.choice(neutral)}"))}>{article}</div>'
     before = [header()] * (rng.random() < 0.6) + [menu()] * (rng.random() < 0.7) + [extra() for _ in range(rng.randint(0, 2))]
     after = [extra() for _ in range(rng.randint(0, 2))] + [comments()] * (rng.random() < 0.5) + [footer()] * (rng.random() < 0.85)
     if rng.random() < 0.3:
         article = f'<div class="{rng.choice(("container", "wrapper", "page", "row", "layout"))}">{article}{sidebar() if rng.random() < 0.5 else ""}</div>'
+    if layout < OWN_NAMES and rng.random() < 0.4:
+        before, after = before[: rng.choice((0, 0, 1))], after[len(after) - rng.choice((0, 0, 1)) :]
+    if layout < OWN_NAMES / 3:  # the article is what is left in the body, between its other parts
+        before, after = ([re.sub(r"^<(\w+)", r'<\1 data-main="0"', part) for part in parts] for parts in (before[: rng.choice((0, 2, 9))], after[: rng.choice((0, 2, 9))]))
+        return f"<html><head><title>{sentence()}</title></head><body data-main=\"1\">{''.join(before)}{body}{''.join(after)}</body></html>"
+    if layout < OWN_NAMES / 2:  # columns of a table
+        side = rng.choice((link_list(rng.randint(1, 6)), f'<a href="/">{word()}</a><br><a href="/{word()}">{word()}</a>', f'<a href="/">{word()}</a>'))
+        cells = rng.choice((f"<td>{side}</td>{{}}", f"{{}}<td>{side}</td>")).format(f'<td data-main="1">{body}</td>')
+        return f"<html><body>{''.join(before[:1])}<table><tr>{cells}</tr></table>{''.join(after[-1:])}</body></html>"
     return f"<!DOCTYPE html><html><head><title>{sentence()}</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>"
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 500, seed: int = 11) -> Weights:
+def trained(pages: int = 900, seed: int = 11) -> Weights:
     rng = random.Random(seed)
     return train([parse(labelled_page(rng), labelled=True) for _ in range(pages)])
 

@@ -91,3 +91,39 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars, r.text[:3]) for r in hx.extract(df).collect())
     assert got == [(0, 300001, "T\nw"), (1, 0, ""), (2, 0, ""), (2, 0, "")]
     assert hx.extract(df.limit(0)).collect() == []
+
+
+def prose(n, about="the matter"):
+    return " ".join(f"Sentence number {k} tells something about {about}, plainly." for k in range(1, n + 1))
+
+
+def test_pages_without_known_names():
+    """Articles that no tag or name tells: bare bodies, unknown and foreign names, table layouts."""
+    a, b, c = prose(4), prose(2, "a harbour"), prose(7, "old clocks")
+    cases = {
+        f"<body><p>{a}</p><p>{b}</p></body>": [a, b],
+        f"<body><h1>Title here</h1><p>{c}</p></body>": ["Title here", c],
+        f"<p>{b}</p>": [b],
+        f"<div>{a}</div>": [a],
+        f'<div id="wrap"><div class="inner"><h1>T</h1><p>{c}</p></div></div>': ["T", c],
+        f'<div id="inhalt"><p>{a}</p><p>{b}</p></div>': [a, b],
+        f'<div class="contenido"><h2>Titulo</h2><p>{c}</p><p>{a}</p></div>': ["Titulo", c, a],
+        f'<table><tr><td><a href="/">Home</a></td><td><p>{c}</p></td></tr></table>': [c],
+        f"<table><tr><td><a href=/>Home</a><td>{a}</table>": [a],
+        f'<body><nav><ul><li><a href=/>A</a></li></ul></nav><p>{a}</p><p>{b}</p><footer>c 2020</footer></body>': [a, b],
+        f'<html><body><div class="q1"><div class="q2"><p>{c}</p></div></div></body></html>': [c],
+        f'<html><body><section><h1>Report</h1><p>{a}</p><p>{c}</p></section></body></html>': ["Report", a, c],
+        f'<body><div class="kopf"><a href=/>Start</a> <a href=/x>Mehr</a></div><div class="haupt"><h2>Titel</h2><p>{c}</p></div></body>': ["Titel", c],
+    }
+    texts = hx.main_texts([hx.parse(x) for x in cases], hx.trained())
+    assert texts == ["\n".join(x) for x in cases.values()]
+
+
+def test_ends_of_comments_and_scripts():
+    def blocks(text):
+        return [t for _, t, _ in hx.parse(text).blocks]
+
+    assert blocks("<p>x</p><!--><p>a</p><!---><p>b</p><script>1</script foo><p>c</p><script>2</script/><p>d</p><!-- no --!><p>e</p>") == ["x", "a", "b", "c", "d", "e"]
+    for tag in ("canvas", "video", "audio controls"):
+        assert blocks(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"]
+    assert blocks("<p>a</p><canvas><p>no</p></canvas><p>b</p><canvas><p>c</p>") == ["a", "b", "c"]
