@@ -57,6 +57,14 @@ def rebalanced(slot_to_shard: list[int], sizes: dict[int, int], shards: int) ->
     slots, that brings the two nearest to each other.
     """
     out = list(slot_to_shard)
+    used = [0] * shards
+    for slot, shard in enumerate(out):
+        if shard < shards:
+            used[shard] += sizes.get(slot, 0)
+    for slot in sorted((k for k, shard in enumerate(out) if shard >= shards), key=lambda k: (-sizes.get(k, 0), k)):
+        lightest = min(range(shards), key=used.__getitem__)  # shards that are no more give their slots away
+        out[slot] = lightest
+        used[lightest] += sizes.get(slot, 0)
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     for slot, shard in enumerate(out):
         insort(held[shard], (sizes.get(slot, 0), slot))

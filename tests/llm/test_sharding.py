@@ -71,3 +71,13 @@ def test_stored_map_takes_another_version(spark, sf, tmp_path):
     assert 0 < moved < 128 and set(new) == set(range(5))
     bytes_of = [sum(r.size for r in grown if r.shard == k) for k in range(5)]
     assert max(bytes_of) - min(bytes_of) < 0.3 * max(bytes_of)
+
+
+def test_fewer_shards_than_the_stored_map(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 40)) for i in range(400)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    shard(df, shards=8, slots=64, map_path=path).count()
+    rows = shard(df, shards=5, slots=64, map_path=path).collect()
+    assert {r.shard for r in rows} == set(range(5)) and len(rows) == 400
+    sizes = [sum(r["size"] for r in rows if r.shard == k) for k in range(5)]
+    assert max(sizes) - min(sizes) < 200
