@@ -62,6 +62,12 @@ def row_key(id_col: Column, text_col: Column) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
+def wide_row_key(id_col: Column, text_col: Column) -> Column:
+    """A 128-bit key of (id, text), for results that two rows with one key would spoil."""
+    text = F.coalesce(text_col, F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("|", id_col.cast("string"), id_col.isNull().cast("string"), text_col.isNull().cast("string"), text).cast("binary")))
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lift a function on one Arrow batch to what ``mapInArrow`` takes."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, row_key, schema_with, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, documents, schema_with, text_bytes, wide_row_key, written
 
 WINDOW = 10
 #: Words in one broadcast block of windows; about 100 bytes each when indexed.
@@ -105,6 +105,7 @@ def decontaminate(
     """``docs`` with __tf_n_words, __tf_n_hit, __tf_items (sorted as strings) and __tf_items_sha256."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = docs.drop(*(f.split(" ")[0] for f in _ADDED.split(", ")))  # an earlier result gives way
     windows = written(item_windows(benchmark, item_col, item_text_col, window), "windows")
     blocks = max(1, -(-windows.count() * window // block_words))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
@@ -120,11 +121,11 @@ def decontaminate(
 
     # Several blocks: each finds its hits in all documents, which are written before the next block is
     # broadcast, so one index is held at a time. Hits are merged by row, then applied once.
-    rid = row_key(F.col(id_col), F.col(text_col))
+    rid = wide_row_key(F.col(id_col), F.col(text_col))
     parts = None
     for block in range(blocks):
         shared = shared_index(block)
-        found = written(docs.select(rid.alias("__tf_rid"), F.col(text_col).alias("text")).mapInArrow(_hits_of(shared), "__tf_rid long, at array<int>, items array<string>"), "hits")
+        found = written(docs.select(rid.alias("__tf_rid"), F.col(text_col).alias("text")).mapInArrow(_hits_of(shared), "__tf_rid binary, at array<int>, items array<string>"), "hits")
         shared.unpersist(blocking=True)
         shared.destroy()
         parts = found if parts is None else parts.unionByName(found)
@@ -141,7 +142,7 @@ def _hits_of(shared):
             if hit:
                 out.append((rid, sorted(hit), sorted(i for i in items if i is not None)))
         rids, at, items = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["__tf_rid", "at", "items"])
+        return pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["__tf_rid", "at", "items"])
 
     return by_batch(run)
 

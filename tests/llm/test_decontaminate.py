@@ -47,3 +47,10 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     assert sorted((r.doc_id or 0, r["__tf_n_hit"], tuple(r["__tf_items"])) for r in got) == [(0, 2, ("7",)), (1, 2, ("7",)), (1, 2, ("7",)), (3, 0, ())]
     assert {r["__tf_n_hit"] for r in decontaminate(docs, items.limit(0)).collect()} == {0}
     assert decontaminate(docs.limit(0), items).collect() == []
+
+
+def test_columns_of_an_earlier_result_give_way(spark):
+    docs = spark.createDataFrame([(1, "one two three", 9, "x")], "doc_id long, text string, __tf_n_words int, __tf_items string")
+    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
+    (row,) = decontaminate(docs, items).collect()
+    assert (row["__tf_n_words"], row["__tf_items"]) == (3, ["7"])
