@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, row_key, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, text_bytes, wide_row_key, written
 from tallyflow.llm.simhash import SEED, components, fingerprint_of, links, shingle_hashes
 
 WIDTH = 5
@@ -94,7 +94,7 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, rid, key (equal for equal sets), fp, size, first and tail of each row."""
-    slim = df.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    slim = df.select(F.col(id_col).cast("long").alias("id"), wide_row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(common_shingles(slim))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,7 +107,7 @@ def marked_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             [batch["id"], batch["rid"], pa.array(keys), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), _lists(list(first)), _lists(list(tail))], names=["id", "rid", "key", "fp", "size", "first", "tail"]
         )
 
-    return slim.mapInArrow(by_batch(run), "id long, rid long, key long, fp long, size int, first array<long>, tail array<long>")
+    return slim.mapInArrow(by_batch(run), "id long, rid binary, key long, fp long, size int, first array<long>, tail array<long>")
 
 
 def _held_by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def sets_of(keys: DataFrame, marked: DataFrame, df: DataFrame, id_col: str, text
 
     bounded_batches(df.sparkSession)
     rows = marked.join(keys, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid"))
-    texts = df.select(row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    texts = df.select(wide_row_key(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
     found = texts.join(rows, "rid").dropDuplicates(["key"]).select("key", "text")
     return written(found.mapInArrow(by_batch(run), "key long, hashes array<long>"), "sets")
 
@@ -307,5 +307,5 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     best = marked.groupBy("key").agg(first.alias("best")).join(found, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.rid").alias("__tf_rid"))
-    keyed = df.withColumn("__tf_rid", row_key(F.col(id_col), F.col(text_col)))
+    keyed = df.withColumn("__tf_rid", wide_row_key(F.col(id_col), F.col(text_col)))
     return keyed.join(keep, "__tf_rid", "left_semi").dropDuplicates(["__tf_rid"]).drop("__tf_rid")
