@@ -10,14 +10,14 @@ of all words of that id, which are joined on the words in Spark. Words that were
 never counted have, for each id, the share of one.
 
 From the corpus come the word counts of all documents (summed map-side first)
-and the weights. Masked words with their neighbours are written once as packed
-examples, in ``ROUNDS`` parts; which words, and which part and learner get them,
-follows from hashes of the rows. In each round every learner goes on from the
-shared weights with stochastic steps over its examples in hash order, and the
-learners' weights are averaged. There are as many learners as the number of
-examples asks for, so results do not depend on how the input is partitioned,
-and the work is shared by more tasks where there is more of it. The average is
-taken chunk by chunk in Spark; only the finished weights, of fixed size, reach
+and the weights. Every word is masked and learned from once over the ``ROUNDS``
+rounds: stretches of ids with two neighbours on either side are written once, and
+which round and learner gets a stretch follows from hashes of the rows. In each
+round every learner goes on from the shared weights with stochastic steps over its
+stretches in hash order, and the learners' weights are averaged. There are as many
+learners as the number of words asks for, ``LEARNERS`` at most (then each takes
+more steps), so results do not depend on how the input is partitioned. The average
+is taken chunk by chunk in Spark; only the finished weights, of fixed size, reach
 the driver.
 
 Defined cases: null and blank texts have no tokens and score 0; a null id stays
@@ -28,17 +28,16 @@ untrained network; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm._common import bounded_batches, by_batch, documents, text_bytes, written
+from tallyflow.llm._common import bounded_batches, by_batch, documents, written
 
 CLASSES = 64
 IN_CLASS = 64
@@ -47,24 +46,31 @@ VOCABULARY = CLASSES * IN_CLASS
 HASHED = 256
 WIDTH = 16
 SIDE = (-2, -1, 1, 2)
-#: One word in so many is masked and learned from.
-MASKED = 4
 ROUNDS = 4
 CHUNKS = 64
 RATE = 0.08
 #: Masked words in one gradient step, and in one learner's part of a round.
-STEP = 2048
-LEARNER = 300_000
-#: Words of a text whose examples travel together.
+STEP = 8192
+LEARNER = 1_200_000
+#: Learners of a round at most; each sends weights of half a megabyte.
+LEARNERS = 4096
+#: Words of a text that are learned from together.
 STRETCH = 1 << 16
+#: Bound of the logits below which their exponentials need no scaling.
+PLAIN = 60.0
 #: Words scored at once.
 SCORED = 16384
-#: Distinct words a task counts before it sends what it has.
-COUNTED = 600_000
+#: Words a task counts before it sends what it has.
+COUNTED = 4_000_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts (binary), and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # blanks at the ends of a text leave empty words
+    sizes = np.bincount(pc.list_parent_indices(lists).filter(real).to_numpy(), minlength=len(texts))
+    return words.filter(real).cast(pa.binary() if pa.types.is_string(words.type) else pa.large_binary()), sizes
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -72,17 +78,19 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
-        seen: Counter[bytes] = Counter()
+        held, n = [], 0
         for batch in batches:
-            for text in text_bytes(batch["text"]):
-                seen.update(words_of(text))
-            if len(seen) > COUNTED:
+            held.append(split_words(batch["text"])[0].cast(pa.binary()))
+            n += len(held[-1])
+            if n > COUNTED:
                 yield rows()
-                seen = Counter()
+                held, n = [], 0
         yield rows()
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -117,17 +125,23 @@ class WordIds(dict):
         return WordIds({w: i + 1 for i, w in enumerate(frequent[: VOCABULARY - HASHED - 1])})
 
 
-def log_softmax(z: np.ndarray, chosen: np.ndarray, with_all: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of the chosen column of each row, and (if asked for) all probabilities; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
+def log_softmax(z: np.ndarray, chosen: np.ndarray, with_all: bool, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of the chosen column of each row, and (if asked for) all probabilities; ``z``, whose size ``bound`` limits, is used up."""
+    if bound > PLAIN:
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), chosen]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     if with_all:
         z /= total[:, None]
     return own - np.log(total), z
 
 
+def by_word(words: np.ndarray) -> np.ndarray:
+    """Places in the order of their words; numpy sorts 16-bit numbers by their digits."""
+    return np.argsort(words.astype(np.uint16), kind="stable")
+
+
 class Network:
     """Weights as views into one flat vector."""
 
@@ -135,7 +149,7 @@ class Network:
     SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
     def __init__(self, flat: np.ndarray):
-        self.flat, self.tables, at = flat, None, 0
+        self.flat, self.tables, self.bounds, at = flat, None, None, 0
         for name, shape in self.SHAPES:
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
@@ -155,27 +169,32 @@ class Network:
             self.tables = [self.embed * p for p in self.place]
         return self.tables
 
+    def _logit_bounds(self) -> list[float]:
+        """Bounds of the logits of classes and of words: hidden units lie between -1 and 1."""
+        return [float((np.abs(w).sum(axis=-1) + np.abs(b)).max()) for w, b in ((self.classes, self.class_bias), (self.words, self.word_bias))]
+
     def run(self, ids: np.ndarray, at: np.ndarray, gradient: Network | None = None) -> np.ndarray:
         """Log-probability of the word at each place; adds the gradient of their sum, if one is given."""
         return self.scored(ids[at[:, None] + np.array(SIDE)], ids[at], gradient)
 
     def scored(self, context: np.ndarray, target: np.ndarray, gradient: Network | None = None) -> np.ndarray:
         """``run`` on words with their neighbours."""
-        order = np.argsort(target, kind="stable")
+        order = by_word(target)
         context, target = context[order], target[order]
         own, inner = target // IN_CLASS, target % IN_CLASS
         rows = np.arange(len(target))
         if gradient is None:
-            hidden = self._placed()[0][context[:, 0]] + self.bias
-            for table, column in zip(self._placed()[1:], context.T[1:], strict=True):
-                hidden += table[column]
+            tables = self._placed()
+            self.bounds = limits = self.bounds or self._logit_bounds()
         else:
-            seen = self.embed[context]
-            hidden = (seen * self.place).sum(axis=1) + self.bias
+            tables, limits = [self.embed * p for p in self.place], self._logit_bounds()
+        hidden = np.take(tables[0], context[:, 0], axis=0) + self.bias
+        for table, column in zip(tables[1:], context.T[1:], strict=True):
+            hidden += np.take(table, column, axis=0)
         np.tanh(hidden, out=hidden)
 
         z = hidden @ self.classes.T + self.class_bias
-        out, z = log_softmax(z, own, gradient is not None)
+        out, z = log_softmax(z, own, gradient is not None, limits[0])
         if gradient is not None:
             dz = -z
             dz[rows, own] += 1
@@ -187,7 +206,7 @@ class Network:
             a, b = bounds[c], bounds[c + 1]
             h = hidden[a:b]
             y = h @ self.words[c].T + self.word_bias[c]
-            inner_log, y = log_softmax(y, inner[a:b], gradient is not None)
+            inner_log, y = log_softmax(y, inner[a:b], gradient is not None, limits[1])
             out[a:b] += inner_log
             if gradient is not None:
                 dy = -y
@@ -198,13 +217,15 @@ class Network:
         if gradient is not None:
             back *= 1 - hidden * hidden
             gradient.bias += back.sum(axis=0)
-            gradient.place += (seen * back[:, None, :]).sum(axis=0)
             # Rows of one word are added up before they go to its place.
-            flat = context.ravel()
-            by = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(flat[by]) != 0))
-            each = (self.place * back[:, None, :]).reshape(-1, WIDTH)[by]
-            gradient.embed[flat[by[first]]] += np.add.reduceat(each, first, axis=0)
+            for k, column in enumerate(context.T):
+                by = by_word(column)
+                word = column[by]
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+                summed = np.add.reduceat(np.take(back, by, axis=0), first, axis=0) if len(first) else np.zeros((0, WIDTH), back.dtype)
+                word = word[first]
+                gradient.place[k] += (self.embed[word] * summed).sum(axis=0)
+                gradient.embed[word] += summed * self.place[k]
         scores = np.empty_like(out)
         scores[order] = out
         return scores
@@ -221,21 +242,11 @@ def laid_out(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, at, sizes
 
 
-class Hashes(dict):
-    """Word to its hash as Spark's ``xxhash64`` has it, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < 500_000:
-            self[word] = number
-        return number
-
-
 _WORDS = "array<struct<word: long, times: int>>"
 
 
 def tokens(df: DataFrame, frequent: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key (a hash of the text), row (a hash of the row), number, ids (16-bit) and words of each row.
+    """id, key (a 128-bit hash of the text), row (a hash of the row), number, ids (16-bit) and words of each row.
 
     ``words`` are the text's hashed words with how often they occur; a task sends them
     once for each text, so copies of a text do not multiply them.
@@ -244,12 +255,16 @@ def tokens(df: DataFrame, frequent: list[bytes], id_col: str = "doc_id", text_co
     vocabulary = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, hashed, met = _ids_of(vocabulary), Hashes(), set()
+        number, met = _ids_of(vocabulary), set()
         for batch in batches:
-            words = [words_of(t) for t in text_bytes(batch["text"])]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            flat = list(chain.from_iterable(words))
-            ids = np.fromiter(map(number.__getitem__, flat), "<u2", len(flat))
+            words, sizes = split_words(batch["text"])
+            words = words.dictionary_encode()
+            codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+            of_code = np.fromiter(map(number.__getitem__, distinct), "<u2", len(distinct))
+            hashes = np.zeros(len(distinct), np.uint64)
+            for i in np.flatnonzero(of_code >= VOCABULARY - HASHED).tolist():
+                hashes[i] = xxhash.xxh64_intdigest(distinct[i], 42)  # as Spark's ``xxhash64`` has it
+            ids = of_code[codes]
             bounds = np.append(0, np.cumsum(sizes)).tolist()
             new = []
             for key in batch["key"].to_pylist():
@@ -257,20 +272,20 @@ def tokens(df: DataFrame, frequent: list[bytes], id_col: str = "doc_id", text_co
                 if len(met) < 1_000_000:
                     met.add(key)
             rare = np.flatnonzero((ids >= VOCABULARY - HASHED) & np.repeat(new, sizes))
-            owner = np.repeat(np.arange(len(words)), sizes)[rare]
-            h = np.fromiter((hashed[flat[i]] for i in rare.tolist()), np.uint64, len(rare))
+            owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            h = hashes[codes[rare]]
             order = np.lexsort((h, owner))
             owner, h = owner[order], h[order]
             first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))[: len(h)])
             times = np.diff(np.append(first, len(h)))
             struct = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32))], names=["word", "times"])
-            ends = np.searchsorted(owner[first], np.arange(len(words) + 1))
+            ends = np.searchsorted(owner[first], np.arange(len(sizes) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), struct, mask=pa.array([not x for x in new], pa.bool_()))
             blocks = pa.array([ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], batch["row"], batch["number"], blocks, lists], names=["id", "key", "row", "number", "ids", "words"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.xxhash64(id_col, text_col).alias("row"), F.monotonically_increasing_id().alias("number"), F.col(text_col).alias("text"))
-    return written(slim.mapInArrow(run, f"id long, key long, row long, number long, ids binary, words {_WORDS}"), "tokens")
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).alias("key"), F.xxhash64(id_col, text_col).alias("row"), F.monotonically_increasing_id().alias("number"), F.col(text_col).alias("text"))
+    return written(slim.mapInArrow(run, f"id long, key binary, row long, number long, ids binary, words {_WORDS}"), "tokens")
 
 
 def _ids_in(column: pa.Array) -> list[np.ndarray]:
@@ -300,27 +315,32 @@ def _network_of(shared) -> Network:
     return _networks[id(shared.value)]
 
 
-_EXAMPLE = len(SIDE) + 1
+_MARGIN = max(SIDE)
 
 
-def packed_examples(held: DataFrame) -> DataFrame:
-    """draw, n and examples (16-bit ids: neighbours, then the word) of each stretch of text with a masked word."""
+def stretches(held: DataFrame) -> DataFrame:
+    """draw, n and ids (16-bit, with the neighbours at both ends) of each stretch of ``n`` words of a text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at, sizes = laid_out(_ids_in(batch["ids"]))
-        seeds = batch["row"].to_numpy().view(np.uint64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chosen = np.flatnonzero(_mixed(seeds[owner] + place.astype(np.uint64)) % np.uint64(MASKED) == 0)
-        packed = ids[at[chosen, None] + np.array((*SIDE, 0))].astype("<u2")
-        part = owner[chosen] * (1 << 20) + place[chosen] // STRETCH
-        first = np.flatnonzero(np.append(True, np.diff(part) != 0)) if len(part) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(part))[: len(first)].astype(np.int64)
-        draws = _mixed(seeds[owner[chosen[first]]] ^ _mixed((place[chosen[first]] // STRETCH).astype(np.uint64) + np.uint64(1)))
-        blocks = pa.array([packed[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(draws.view(np.int64)), pa.array(ends - first), blocks], names=["draw", "n", "examples"])
+        draws, sizes, blocks = [], [], []
+        for seed, own in zip(batch["row"].to_numpy().view(np.uint64), batch["ids"].to_pylist(), strict=True):
+            n = len(own) // 2
+            around = bytes(2 * _MARGIN) + own + bytes(2 * _MARGIN)
+            for i, at in enumerate(range(0, n, STRETCH)):
+                part = min(STRETCH, n - at)
+                draws.append(seed ^ np.uint64(i))
+                sizes.append(part)
+                blocks.append(around[2 * at : 2 * (at + part + 2 * _MARGIN)])
+        found = _mixed(np.array(draws, np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=["draw", "n", "ids"])
+
+    return held.select("row", "ids").mapInArrow(by_batch(run), "draw long, n long, ids binary")
+
 
-    return held.select("row", "ids").mapInArrow(by_batch(run), "draw long, n long, examples binary")
+def examples_of(block: bytes) -> np.ndarray:
+    """Neighbours and word, for each word of a stretch."""
+    ids = np.frombuffer(block, "<u2").astype(np.int64)
+    return ids[np.arange(_MARGIN, len(ids) - _MARGIN)[:, None] + np.array((*SIDE, 0))]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -330,9 +350,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _round(examples: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
-    """Local steps of each learner over its examples, then the average."""
-    given = examples.sparkSession.sparkContext.broadcast(flat)
+def _round(parts: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
+    """Local steps of each learner over its stretches, then the average."""
+    given = parts.sparkSession.sparkContext.broadcast(flat)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, net, held, n_held, seen = None, None, [], 0, 0
@@ -340,7 +360,7 @@ def _round(examples: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
 
         def step(last: bool) -> None:
             nonlocal held, n_held, seen, squares
-            rows = np.concatenate(held) if held else np.zeros((0, _EXAMPLE), np.int64)
+            rows = np.concatenate(held) if held else np.zeros((0, len(SIDE) + 1), np.int64)
             upto = len(rows) if last else len(rows) // STEP * STEP
             for i in range(0, upto, STEP):
                 part = rows[i : min(i + STEP, upto)]
@@ -348,7 +368,9 @@ def _round(examples: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
                 net.scored(part[:, :-1], part[:, -1], gradient)
                 step = gradient.flat / len(part)
                 squares += step * step
-                net.flat += RATE * step / np.sqrt(squares)
+                step *= RATE
+                step /= np.sqrt(squares)
+                net.flat += step
                 seen += len(part)
             held, n_held = [rows[upto:]], len(rows) - upto
 
@@ -359,12 +381,12 @@ def _round(examples: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([learner] * CHUNKS, pa.int64()), pa.array([seen] * CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "learner", "n", "part"])
 
         for batch in batches:
-            for own, block in zip(batch["learner"].to_pylist(), batch["examples"].to_pylist(), strict=True):
+            for own, block in zip(batch["learner"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 if own != learner:
                     yield from finished()
                     learner, net, held, n_held, seen = own, Network(given.value.copy()), [], 0, 0
                     squares = np.full(Network.SIZE, 1e-4, np.float32)
-                held.append(np.frombuffer(block, "<u2").reshape(-1, _EXAMPLE).astype(np.int64))
+                held.append(examples_of(block))
                 n_held += len(held[-1])
                 if n_held >= 16 * STEP:
                     step(False)
@@ -380,9 +402,9 @@ def _round(examples: DataFrame, learners: int, flat: np.ndarray) -> np.ndarray:
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([(t[1] / t[0]).astype(np.float32).tobytes() for t in totals.values()], pa.binary())], names=["chunk", "part"])
 
-    dealt = examples.withColumn("learner", F.pmod(F.shiftright("draw", 20), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("learner", "draw", "examples").select("learner", "examples")
-    parts = dealt.mapInArrow(learn, "chunk int, learner long, n long, part binary")
-    found = sorted(parts.repartition("chunk").sortWithinPartitions("chunk", "learner").mapInArrow(add, "chunk int, part binary").collect(), key=lambda r: r.chunk)
+    dealt = parts.withColumn("learner", F.pmod(F.shiftright("draw", 20), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("learner", "draw", "ids").select("learner", "ids")
+    learned = dealt.mapInArrow(learn, "chunk int, learner long, n long, part binary")
+    found = sorted(learned.repartition("chunk").sortWithinPartitions("chunk", "learner").mapInArrow(add, "chunk int, part binary").collect(), key=lambda r: r.chunk)
     return np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in found]) if found else flat
 
 
@@ -396,12 +418,12 @@ def trained(held: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The weights learned from ``tokens``."""
     bounded_batches(held.sparkSession)
     part = F.pmod("draw", F.lit(rounds)).cast("int").alias("round")
-    examples = written(packed_examples(held).select("*", part), "examples")
-    sizes = {r["round"]: r.n for r in examples.groupBy("round").agg(F.sum("n").alias("n")).collect()}
+    cut = written(stretches(held).select("*", part), "stretches")
+    sizes = {r["round"]: r.n for r in cut.groupBy("round").agg(F.sum("n").alias("n")).collect()}
     flat = Network.fresh().flat
     for r in range(rounds):
         if sizes.get(r):
-            flat = _round(examples.where(F.col("round") == r), -(-sizes[r] // LEARNER), flat)
+            flat = _round(cut.where(F.col("round") == r), min(LEARNERS, -(-sizes[r] // LEARNER)), flat)
     return flat
 
 
@@ -451,7 +473,7 @@ def _scored(held: DataFrame, flat: np.ndarray, log_totals: np.ndarray) -> DataFr
         total = np.diff(np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])[np.concatenate([[0], np.cumsum(sizes)])])
         return pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(sizes), pa.array(total)], names=["id", "key", "n_tokens", "log_prob"])
 
-    return held.select("id", "key", "ids").mapInArrow(by_batch(run), "id long, key long, n_tokens long, log_prob double")
+    return held.select("id", "key", "ids").mapInArrow(by_batch(run), "id long, key binary, n_tokens long, log_prob double")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from tallyflow.llm import lm_score as lm
 
@@ -24,3 +25,11 @@ def test_hashed_words_have_probabilities_of_their_own(spark):
         assert r.n_tokens == len(words)
         assert r.log_prob == pytest.approx(by_id[r.doc_id] + shares, rel=1e-6)
         assert r.mean_log_prob == pytest.approx(r.log_prob / max(1, len(words)))
+
+
+def test_words_are_cut_at_ascii_blanks_only():
+    texts = [None, "", " \x0b\n", "A b\tC\r\n d", "\x1cx\x1f y Z   q", " Ää\x0c\x00 e "]
+    words, sizes = lm.split_words(pa.array(texts))
+    expected = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == list(map(len, expected))
+    assert words.to_pylist() == [w for own in expected for w in own]
