@@ -86,3 +86,18 @@ def test_rows_that_others_hold_are_sent_once():
         batches = [pa.RecordBatch.from_arrays([pa.array(x), pa.array(k)], names=["h", "key"]) for x, k in zip(np.split(h, cuts), np.split(np.arange(len(h)), cuts))]
         got = [k for b in nd._held_by_others(iter(batches)) for k in b["key"].to_pylist()]
         assert got == [k for k in range(len(h)) if (h == h[k]).sum() > 1]
+
+
+def test_sketches_never_tell_more_than_sets_differ_in():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 5, 63, 64, 65, 128, 129, 200, 500, 700, 9000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sets += [own, np.unique(np.concatenate([own[n // 10 :], rng.integers(0, 1 << 63, n // 20 + 1).astype(np.uint64)]))]
+    sketches = nd.Sketches(np.array([nd.parity_sketch(s) for s in sets], object))
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = sketches.least_apart(i, j)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (apart <= real).all() and (apart[i == j] == 0).all()
+    sure = (np.array(list(map(len, sets)))[i] == np.array(list(map(len, sets)))[j]) & (real > 100)
+    assert (apart[sure] > 0).all()
