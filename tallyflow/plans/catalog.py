@@ -659,6 +659,13 @@ def live_plus_backfill(spark, sf_dir):
     return keyed.live_and_backfilled(live, filled, ["signature"]).select(hex_text("signature").alias("signature"), "origin")
 
 
+def _landed(events: DataFrame) -> DataFrame:
+    """Events as files, which each step of a batch reads."""
+    path = scratch_path(events.sparkSession, "landing")
+    events.write.parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path)
+
+
 @query(
     "v_tx v_tx_ix v_prog",
     f""", l AS (SELECT signature, count(*) AS programs FROM v_prog GROUP BY 1)
@@ -669,15 +676,15 @@ def backfill_after_live(spark, sf_dir):
     """Four fifths of the transactions come live with their block times; the documents bring all of them, twice."""
     root, as_of = scratch_path(spark, "tables"), F.lit(AS_OF).cast("timestamp")
     live = views.binary_bronze(spark, sf_dir).where("kind = 'transaction' AND seq % 5 <> 0")
-    live = live.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    live = _landed(live.withColumn("observed_at", F.col("observed_at").cast("timestamp")))
     slot = F.col("slot")
     times = live.select("slot").distinct().withColumn("block_time", F.when(slot % 3 != 0, F.timestamp_seconds(slot * 60)).otherwise(as_of))
     ingest.ingest_batch(live, root, block_times=times)
     blocks = _blocks(spark, sf_dir)
     for _ in range(2):
         ingest.apply_backfill(blocks, root, AS_OF)
-    rows = spark.read.parquet(f"{root}/transactions").groupBy("signature").agg(F.count(F.lit(1)).cast("int").alias("stored"), *[F.min(c).alias(c) for c in ("slot", "timestamp", "fee", "success")])
-    children = spark.read.parquet(f"{root}/transaction_program_ids").groupBy("signature").agg(F.count(F.lit(1)).alias("programs"))
+    rows = writers.read_folders(spark, f"{root}/transactions").groupBy("signature").agg(F.count(F.lit(1)).cast("int").alias("stored"), *[F.min(c).alias(c) for c in ("slot", "timestamp", "fee", "success")])
+    children = writers.read_folders(spark, f"{root}/transaction_program_ids").groupBy("signature").agg(F.count(F.lit(1)).alias("programs"))
     joined = rows.join(children, "signature", "left").withColumn("programs", F.coalesce("programs", F.lit(0).cast("long")))
     return joined.select(hex_text("signature").alias("signature"), "slot", time_text("timestamp"), "fee", "success", "stored", "programs")
 
@@ -891,9 +898,7 @@ def batch_metrics(spark, sf_dir):
 def _late_transactions(spark, sf_dir) -> DataFrame:
     """Four fifths of the transactions, which arrive a second apart and without block times."""
     live = views.binary_bronze(spark, sf_dir).where("kind = 'transaction' AND seq % 5 <> 0")
-    path = scratch_path(spark, "landing")
-    live.withColumn("observed_at", F.timestamp_seconds(F.lit(1_706_745_600) - F.col("seq"))).write.parquet(path)
-    return spark.read.parquet(path)
+    return _landed(live.withColumn("observed_at", F.timestamp_seconds(F.lit(1_706_745_600) - F.col("seq"))))
 
 
 @query(
@@ -911,8 +916,8 @@ def late_block_time(spark, sf_dir):
     even = live.select("slot").where("slot % 2 = 0").distinct().withColumn("block_time", F.timestamp_seconds(F.col("slot") * 60 + 1))
     ingest.ingest_batch(live, root, block_times=even)
     ingest.apply_backfill(_blocks(spark, sf_dir), root, AS_OF)
-    rows = spark.read.parquet(f"{root}/transactions").groupBy("signature").agg(F.count(F.lit(1)).alias("stored"), F.max("timestamp").alias("timestamp"))
-    own = spark.read.parquet(f"{root}/transaction_program_ids").groupBy("timestamp", "signature").agg(F.count(F.lit(1)).alias("programs"))
+    rows = writers.read_folders(spark, f"{root}/transactions").groupBy("signature").agg(F.count(F.lit(1)).alias("stored"), F.max("timestamp").alias("timestamp"))
+    own = writers.read_folders(spark, f"{root}/transaction_program_ids").groupBy("timestamp", "signature").agg(F.count(F.lit(1)).alias("programs"))
     return rows.join(own, ["timestamp", "signature"], "left").select(hex_text("signature").alias("signature"), "stored", F.coalesce("programs", F.lit(0).cast("long")).alias("programs"), time_text("timestamp"))
 
 

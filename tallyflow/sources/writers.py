@@ -52,20 +52,44 @@ def folders(spark: SparkSession, path: str, column: str = "bucket") -> dict[str,
     files, where = _path(spark, path)
     if not files.exists(where):
         return {}
-    found = [str(f.getPath()) for f in files.listStatus(where)]
+    # all paths in one text, as each call to the JVM takes its time and a table may have tens of thousands of folders
+    listed = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(files.listStatus(where))
+    paths = spark.sparkContext._gateway.new_array(spark._jvm.Object, len(listed))
+    spark._jvm.System.arraycopy(listed, 0, paths, 0, len(listed))
+    found = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", spark._jvm.java.util.Arrays.asList(paths)).split("\n")
     start = f"{column}="
     return {unquote(name[len(start) :]): full for full in found if (name := full.rpartition("/")[2]).startswith(start)}
 
 
 def read_folders(spark: SparkSession, path: str, column: str = "bucket", names: Sequence[str] | None = None, schema=None) -> DataFrame | None:
-    """Rows of some partitions (default: all) of a table; None if it has none of them. Other partitions are not listed."""
+    """Rows of some partitions (default: all) of a table; None if it has none of them.
+
+    Other partitions are not read, nor listed unless they are few beside many."""
     have = folders(spark, path, column)
-    chosen = [have[n] for n in (have if names is None else names) if n in have]
+    wanted = set(have if names is None else names) & have.keys()
+    chosen = [have[n] for n in have if n in wanted]
     if not chosen:
         return None
     if schema is None:
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(chosen[0]).schema] + [f"`{column}` string"])
-    return spark.read.schema(schema).option("basePath", path).parquet(*chosen)
+    reader, others = spark.read.schema(schema), sorted(have.keys() - wanted)
+    with _listing(spark):
+        if len(others) * 4 > len(chosen):
+            return reader.option("basePath", path).parquet(*chosen)
+        whole = reader.parquet(path)
+    return whole.where(~F.col(column).isin(others)) if others else whole
+
+
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks for each core, not by one task for each folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drop_folder(spark: SparkSession, path: str, column: str, name: str) -> None:
@@ -207,11 +231,14 @@ def move_rows(moved: DataFrame, root: str, table: str, indexes: Sequence[KeyInde
     """Give stored rows (with their ``bucket``) the time in ``to_time``, in the bucket of that time.
 
     New rows are added before old ones go, so it can be repeated after a failure at any place.
+    A bucket that gets rows and has rows that stay in it is written once, with these replaced.
     """
     spark, spec, path = moved.sparkSession, TABLES[table], f"{root}/{table}"
     columns = [c for c in moved.columns if c not in ("to_time", "bucket")]
     with staging(spark) as staged:
-        fresh = staged(with_bucket(moved.withColumn("timestamp", F.col("to_time")).select(*columns), table))
+        plan = staged(with_bucket(moved.withColumns({"from_time": F.col("timestamp"), "from_bucket": F.col("bucket"), "timestamp": F.col("to_time")}), table))
+        fresh = plan.select(*columns, "bucket")
+        names = {r["from_bucket"]: r["leave"] for r in plan.groupBy("from_bucket").agg(F.count_if(F.col("from_bucket") != F.col("bucket")).alias("leave")).collect()}
         counts = bucket_rows(fresh)
         there = read_folders(spark, path, names=list(counts), schema=fresh.schema)
         if there is not None:
@@ -220,16 +247,27 @@ def move_rows(moved: DataFrame, root: str, table: str, indexes: Sequence[KeyInde
         if counts:
             for each in indexes:
                 each.add(fresh)
+        stay = {r["bucket"] for r in plan.where(F.col("from_bucket") == F.col("bucket")).select("bucket").distinct().collect()}
+        own = read_folders(spark, path, names=list(stay), schema=fresh.schema)
+        if own is not None:
+            gone = plan.where(F.col("from_bucket") == F.col("bucket")).withColumn("timestamp", F.col("from_time"))
+            added = spark.createDataFrame([(n,) for n in sorted(stay)], "bucket string")
+            whole = staged(absent(own, gone, spec.key).unionByName(fresh.join(added, "bucket", "left_semi").select(*own.columns)))
+            write_buckets(whole, path, table, "overwrite", bucket_rows(whole))
+            fresh = fresh.join(added, "bucket", "left_anti").select(*own.columns)
+            counts = {n: rows for n, rows in counts.items() if n not in stay}
+        if counts:
             write_buckets(fresh, path, table, "append", counts)
-        names = list(bucket_rows(moved))
-        old = read_folders(spark, path, names=names, schema=fresh.schema)
+        left = [n for n, leave in names.items() if leave]
+        old = read_folders(spark, path, names=left, schema=fresh.schema)
         if old is None:
             return
-        rest = staged(absent(old, moved, spec.key))
-        left = bucket_rows(rest)
-        if left:
-            write_buckets(rest, path, table, "overwrite", left)
-        for name in set(names) - left.keys():
+        away = plan.where(F.col("from_bucket") != F.col("bucket")).withColumn("timestamp", F.col("from_time"))
+        rest = staged(absent(old, away, spec.key))
+        kept = bucket_rows(rest)
+        if kept:
+            write_buckets(rest, path, table, "overwrite", kept)
+        for name in set(left) - kept.keys():
             drop_folder(spark, path, "bucket", name)
 
 

@@ -10,13 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyflow.operators import project
 from tallyflow.operators.decoders import Decoder, decode
+from tallyflow.operators.keyed import absent, first_by_key
 from tallyflow.operators.metrics import batch_progress
 from tallyflow.schemas import TABLES
 from tallyflow.sources import key_index, writers
 from tallyflow.streaming import late_times, minute_view
 
 RETAINED = ("account_updates", "transactions", "transaction_program_ids", "slots", "slot_health_1m", "custom_decoded_events", "pipeline_metrics")
-PROGRAM_KEY = ("signature", "program_id", "position")
 
 
 def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, time: str = "timestamp") -> DataFrame:
@@ -27,12 +27,49 @@ def dedup_stream(df: DataFrame, key: Sequence[str], watermark: str, time: str =
 def insert_transactions(transactions: DataFrame, root: str) -> tuple[int, int]:
     """Add transactions whose signature is not stored at any time, and their programs; the rows added of each.
 
-    Programs have the bucket of their transaction, so one index serves both tables.
+    Programs have the bucket of their transaction, so one index serves both tables. They are
+    stored before it: where a transaction is stored its programs are too, so only those of new
+    ones are looked at. Programs without a transaction are left from a write that failed, and go.
     """
-    signatures, slots = key_index.by_signature(root), key_index.by_slot(root)
-    programs = project.program_rows(transactions).withColumn("seq", F.col("position"))
-    added = writers.insert_if_absent(transactions.drop("program_ids"), root, "transactions", key=("signature",), index=signatures, entries=[signatures, slots])
-    return added, writers.insert_if_absent(programs, root, "transaction_program_ids", key=PROGRAM_KEY, index=signatures)
+    spark, signatures, slots = transactions.sparkSession, key_index.by_signature(root), key_index.by_slot(root)
+    table, children = f"{root}/transactions", f"{root}/transaction_program_ids"
+    with writers.staging(spark) as staged:
+        rows = staged(writers.with_bucket(first_by_key(transactions, ("signature",)).drop("seq"), "transactions"))
+        names = signatures.buckets_of(rows)
+        stored = writers.read_folders(spark, table, names=names, schema=rows.drop("program_ids").schema) if names else None
+        if stored is not None:
+            rows = staged(absent(rows, stored, ("signature",)))
+            names = signatures.buckets_of(rows)
+        counts = {r["bucket"]: (r["n"], r["programs"]) for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("program_ids").isNotNull(), F.size("program_ids"))), F.lit(0)).alias("programs")).collect()}
+        if not counts:
+            return 0, 0
+        if names:
+            _drop_programs(rows, root, names, staged)
+        for each in (signatures, slots):
+            each.add(rows)
+        programs = {name: n for name, (_, n) in counts.items() if n}
+        if programs:
+            writers.write_buckets(writers.with_bucket(project.program_rows(rows), "transaction_program_ids"), children, "transaction_program_ids", "append", programs)
+        writers.write_buckets(rows.drop("program_ids"), table, "transactions", "append", {name: n for name, (n, _) in counts.items()})
+    return sum(n for n, _ in counts.values()), sum(programs.values())
+
+
+def _drop_programs(transactions: DataFrame, root: str, names: list[str], staged: Callable[[DataFrame], DataFrame]) -> None:
+    """Delete stored programs of transactions that are not stored, in the named buckets."""
+    spark, path = transactions.sparkSession, f"{root}/transaction_program_ids"
+    stored = writers.read_folders(spark, path, names=names)
+    if stored is None:
+        return
+    hit = [r["bucket"] for r in stored.join(transactions.select("signature"), "signature", "left_semi").select("bucket").distinct().collect()]
+    found = writers.read_folders(spark, path, names=hit, schema=stored.schema)
+    if found is None:
+        return
+    rest = staged(absent(found, transactions, ("signature",)))
+    kept = writers.bucket_rows(rest)
+    if kept:
+        writers.write_buckets(rest, path, "transaction_program_ids", "overwrite", kept)
+    for name in set(hit) - kept.keys():
+        writers.drop_folder(spark, path, "bucket", name)
 
 
 def ingest_batch(
@@ -117,11 +154,13 @@ def apply_backfill(blocks: DataFrame, root: str, as_of) -> dict[str, int]:
     Decoders do not run on backfilled rows.
     """
     now = F.lit(as_of).cast("timestamp")
-    slots = project.backfill_slots(blocks, now).withColumn("seq", F.col("slot"))
-    transactions = project.backfill_transactions(blocks, now).withColumn("seq", F.col("slot"))
-    timed = blocks.where("error IS NULL AND blockTime IS NOT NULL").select("slot", F.timestamp_seconds("blockTime").alias("block_time"))
-    late_times.correct_times(timed.groupBy("slot").agg(F.max("block_time").alias("block_time")), root)
-    stored = writers.upsert_last(slots, root, "slots")
-    minute_view.refresh(slots, root)
-    added, programs = insert_transactions(transactions, root)
+    with writers.staging(blocks.sparkSession) as staged:
+        # without their transactions documents are small, and each step below reads them
+        heads = staged(blocks.select("slot", "blockTime", "parentSlot", "error"))
+        slots = project.backfill_slots(heads, now).withColumn("seq", F.col("slot"))
+        timed = heads.where("error IS NULL AND blockTime IS NOT NULL").select("slot", F.timestamp_seconds("blockTime").alias("block_time"))
+        late_times.correct_times(timed.groupBy("slot").agg(F.max("block_time").alias("block_time")), root)
+        stored = writers.upsert_last(slots, root, "slots")
+        minute_view.refresh(slots, root)
+        added, programs = insert_transactions(project.backfill_transactions(blocks, now).withColumn("seq", F.col("slot")), root)
     return {"slots": stored, "transactions": added, "programs": programs}

@@ -67,10 +67,12 @@ def correct_times(times: DataFrame, root: str) -> dict[str, int]:
                 continue
             kind = stored.schema["timestamp"].dataType
             to = times.select("slot", F.col("block_time").cast(kind).alias("to_time"))
-            wrong = staged(stored.join(to, "slot").where("timestamp <> to_time").select(*stored.columns, "to_time"))
-            moved[table] = wrong.count()
-            if not moved[table]:
+            # two columns tell whether any row moves; whole rows are read for these slots only
+            late = staged(stored.select("slot", "timestamp").join(to, "slot").where("timestamp <> to_time").select("slot", "to_time").distinct())
+            if late.isEmpty():
                 continue
+            wrong = staged(stored.join(late, "slot").where("timestamp <> to_time").select(*stored.columns, "to_time"))
+            moved[table] = wrong.count()
             if table == "transactions":
                 _move_programs(spark, wrong, root, staged)
             writers.move_rows(wrong, root, table, [slot_index, *([signatures] if table == "transactions" else [])])

@@ -177,3 +177,57 @@ def test_programs_have_their_own_retention(spark, root, events):
     ingest.ingest_batch(events(tx(1, slot=1, ms=0, signature=b"a"), tx(2, slot=2, ms=2 * HOUR, signature=b"b")), root, max_age="1 day")
     assert stored(spark, root, "transactions").count() == 2
     assert {bytes(r.signature) for r in stored(spark, root, "transaction_program_ids").collect()} == {b"b"}
+
+
+def test_programs_of_stored_transactions_are_not_read(spark, root, events):
+    ingest.ingest_batch(events(*five()), root)
+    assert spoil(root, "transaction_program_ids", []) > 0
+    assert ingest.ingest_batch(events(*five()), root)["transaction_rows"] == 0
+
+
+def test_programs_of_a_failed_write_are_replaced(spark, root, events, monkeypatch):
+    true_write = writers.write_buckets
+
+    def fail(df, path, table, *rest):
+        if table == "transactions":
+            raise RuntimeError("lost")
+        true_write(df, path, table, *rest)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(writers, "write_buckets", fail)
+        with pytest.raises(RuntimeError):
+            ingest.ingest_batch(events(*five()), root)
+    assert stored(spark, root, "transaction_program_ids").count() == 10
+    times = spark.createDataFrame([(10 + k, at(k * DAY)) for k in range(5)], "slot long, block_time timestamp")
+    report = ingest.ingest_batch(events(*five()), root, block_times=times)
+    assert (report["transaction_rows"], report["program_rows"]) == (5, 10)
+    programs = stored(spark, root, "transaction_program_ids").collect()
+    assert sorted((bytes(r.signature)[0], r.timestamp, r.position) for r in programs) == [(k, at(k * DAY), p) for k in range(5) for p in (0, 1)]
+
+
+def test_a_move_inside_a_bucket_writes_it_once(spark, root, events, monkeypatch):
+    ingest.ingest_batch(events(*five(), tx(9, slot=20, ms=DAY, signature=b"x")), root)
+    calls, true_write = [], writers.write_buckets
+    monkeypatch.setattr(writers, "write_buckets", lambda df, path, table, *rest: calls.append(table) or true_write(df, path, table, *rest))
+    times = spark.createDataFrame([(10 + k, at(1000 + k)) for k in range(3)] + [(13, at(DAY + 5))], "slot long, block_time timestamp")
+    assert late_times.correct_times(times, root)["transactions"] == 4
+    # the first bucket with its new times, the other day by an addition, the first again without the row that left
+    assert calls == ["transaction_program_ids"] * 3 + ["transactions"] * 3
+    calls.clear()
+    assert late_times.correct_times(times.where("slot <> 13").withColumn("block_time", F.col("block_time") + F.expr("INTERVAL 1 SECOND")), root)["transactions"] == 3
+    assert calls == ["transaction_program_ids", "transactions"]
+    rows = {bytes(r.signature)[0]: r.timestamp for r in stored(spark, root, "transactions").collect()}
+    assert rows == {0: at(2000), 1: at(2001), 2: at(2002), 3: at(DAY + 5), 4: at(4), ord("x"): at(DAY)}
+    assert stored(spark, root, "transaction_program_ids").count() == stored(spark, root, "transaction_program_ids").select("signature", "position").distinct().count()
+
+
+def test_listing_leaves_the_session_as_it_was(spark, root, events):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    ingest.ingest_batch(events(*[tx(k, slot=k, ms=k * DAY, signature=bytes([k])) for k in range(6)]), root)
+    path = f"{root}/transactions"
+    have = sorted(writers.folders(spark, path))
+    assert [n[:10] for n in have] == [f"2024-01-0{k + 1}" for k in range(6)]
+    for names in (have, have[1:], have[:2]):  # all, all but one, few of them
+        assert sorted(r.bucket for r in writers.read_folders(spark, path, names=names).collect()) == names
+    assert spark.conf.get(name) == before
