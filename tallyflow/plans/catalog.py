@@ -999,7 +999,7 @@ def _positions(spark, sf_dir, part: int) -> str:
     """The interval set after four batches of positions in an order of their own, one of them twice."""
     root, present = scratch_path(spark, "tables"), _present(spark, sf_dir)
     for k in (2, 0, 3, 2, 1):
-        positions.add_positions(present.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == k), root, part)
+        positions.add_positions(present.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == k), root, part, positions.PART // part)
     return root
 
 

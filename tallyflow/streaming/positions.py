@@ -2,7 +2,8 @@
 
 The set is kept in parts of ``PART`` positions; an interval never leaves its part, so a
 batch reads and rewrites the parts that it touches and nothing of the history. A part
-without holes is one row.
+without holes is one row. Small parts may share a folder: their number then grows with the
+positions, that of folders and files does not.
 """
 
 from __future__ import annotations
@@ -29,24 +30,32 @@ def merged(intervals: DataFrame) -> DataFrame:
     return begins.withColumn("run", run).groupBy("part", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
 
 
-def add_positions(events: DataFrame, root: str, part: int = PART) -> int:
-    """Add the positions of a batch; adding again changes nothing. Returns the parts rewritten."""
+def add_positions(events: DataFrame, root: str, part: int = PART, together: int = 1) -> int:
+    """Add the positions of a batch; adding again changes nothing. Returns the folders rewritten.
+
+    Of ``together`` parts the first names the folder of all; a set keeps to one ``together``.
+    """
     spark, path = events.sparkSession, f"{root}/{NAME}"
-    each = events.where("seq IS NOT NULL").select(F.floor(F.col("seq") / part).cast("string").alias("part"), F.col("seq").alias("low"), F.col("seq").alias("high"))
+    own = F.floor(F.col("low") / part)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """Intervals merged in their parts, with the folder's name as ``part``."""
+        return merged(rows.select(own.alias("part"), "low", "high")).select("low", "high", (F.floor(F.col("part") / together) * together).cast("string").alias("part"))
+
     with writers.staging(spark) as staged:
-        fresh = staged(merged(each).select("low", "high", "part"))
+        fresh = staged(cut(events.where("seq IS NOT NULL").select(F.col("seq").alias("low"), F.col("seq").alias("high"))))
         parts = [r.part for r in fresh.select("part").distinct().collect()]
         there = writers.read_folders(spark, path, "part", parts, SCHEMA)
         if there is not None:
-            fresh = staged(merged(fresh.unionByName(there)).select("low", "high", "part"))
+            fresh = staged(cut(fresh.unionByName(there)))
         if parts:
             fresh.repartition("part").sortWithinPartitions("part", "low").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
     return len(parts)
 
 
-def intervals(spark: SparkSession, root: str, low: int | None = None, high: int | None = None, part: int = PART) -> DataFrame | None:
-    """Stored intervals, or those of the parts between two positions; None if there are none."""
-    names = [n for n in writers.folders(spark, f"{root}/{NAME}", "part") if (low is None or int(n) >= low // part) and (high is None or int(n) <= high // part)]
+def intervals(spark: SparkSession, root: str, low: int | None = None, high: int | None = None, part: int = PART, together: int = 1) -> DataFrame | None:
+    """Stored intervals, or those of the folders that hold parts between two positions; None if there are none."""
+    names = [n for n in writers.folders(spark, f"{root}/{NAME}", "part") if (low is None or int(n) + together > low // part) and (high is None or int(n) <= high // part)]
     return writers.read_folders(spark, f"{root}/{NAME}", "part", names, SCHEMA)
 
 
@@ -67,7 +76,7 @@ class Batch:
     ends: str
 
 
-def next_batch(spark: SparkSession, root: str, after: int | None, most: int, part: int = PART) -> Batch:
+def next_batch(spark: SparkSession, root: str, after: int | None, most: int, part: int = PART, together: int = 1) -> Batch:
     """The next positions to replay after a checkpoint (None: from 0): at most ``most``, none beyond the first hole.
 
     ``gap``: the next position is missing though later ones are there; ``end``: nothing
@@ -76,7 +85,7 @@ def next_batch(spark: SparkSession, root: str, after: int | None, most: int, par
     first = 0 if after is None else after + 1
     limit = first + most - 1
     last = first - 1
-    found = intervals(spark, root, first, limit, part)
+    found = intervals(spark, root, first, limit, part, together)
     if found is not None and most > 0:
         own = found.where((F.col("high") >= first) & (F.col("low") <= limit)).select(F.greatest("low", F.lit(first)).alias("low"), F.least("high", F.lit(limit)).alias("high"))
         low, high = own.agg(F.min("low"), F.max("high")).first()
@@ -86,7 +95,7 @@ def next_batch(spark: SparkSession, root: str, after: int | None, most: int, par
     if most <= 0 or last == limit:
         return Batch(first, last, "full")
     parts = [int(n) for n in writers.folders(spark, f"{root}/{NAME}", "part")]
-    top = intervals(spark, root, max(parts) * part, None, part).agg(F.max("high")).first()[0] if parts else -1
+    top = intervals(spark, root, max(parts) * part, None, part, together).agg(F.max("high")).first()[0] if parts else -1
     return Batch(first, last, "gap" if top > last else "end")
 
 
