@@ -166,3 +166,14 @@ def test_later_batches_know_earlier_block_times(spark, root, events):
 
 def test_day_is_in_milliseconds():
     assert at(DAY) - T0 == dt.timedelta(days=1)
+
+
+def test_a_landing_of_several_files_is_one_batch(spark, sf, monkeypatch, tmp_path):
+    from tallyflow.plans import catalog
+
+    monkeypatch.setattr(catalog, "LANDED_POSITIONS", 200)
+    root = catalog._restarted(spark, sf)
+    rows = writers.read_folders(spark, f"{root}/pipeline_metrics").orderBy("batch_id").collect()
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert [r.batch_id for r in rows] == [0, 1, 2] and all(r.received >= n // 3 for r in rows)
+    assert spark.read.parquet(f"{root}-landing").select("lane").distinct().count() == n // 200 > 1
