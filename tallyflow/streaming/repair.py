@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tallyflow.streaming.ingest import apply_backfill
 NAME = "repair_status"
 #: What is not asked for again: the slot is stored, or the network has left it out.
 SETTLED = ("repaired", "unavailable")
+#: Rounds whose blocks are stored by one write.
+TOGETHER = 8
 
 
 def statuses(spark: SparkSession, root: str) -> DataFrame | None:
@@ -27,31 +30,46 @@ def repair(spark: SparkSession, root: str, fetch: Callable[[DataFrame], DataFram
 
     ``fetch`` takes slots to ask for and gives the block documents there are. The first
     round looks at all stored slots; each later one at the parents of what the last has
-    brought. A round's statuses are stored after its rows, so a run that fails asks for
-    them again. ``pending`` and ``failed`` slots are asked for once in a run. Returns the rounds.
+    brought. Blocks of up to ``TOGETHER`` rounds are stored by one write, as rounds mostly
+    bring neighbours and so touch the same buckets. Statuses are stored after these rows, so a
+    run that fails asks for its unstored rounds again. ``pending`` and ``failed`` slots are
+    asked for once in a run. Returns the rounds.
     """
     number = first = 1 + max((int(n) for n in writers.folders(spark, f"{root}/{NAME}", "round")), default=-1)
-    brought: DataFrame | None = None
+    now = F.lit(as_of).cast("timestamp")
     while True:
-        stored = writers.read_folders(spark, f"{root}/slots")
-        if stored is None:
+        slots = writers.read_folders(spark, f"{root}/slots")
+        if slots is None:
             return number - first
-        if brought is None:
-            missing = gaps.missing_slots(stored)
-        else:
-            missing = brought.where("parent_slot IS NOT NULL").select(F.col("parent_slot").alias("slot")).distinct().join(stored.select("slot"), "slot", "left_anti")
-        known = statuses(spark, root)
-        if known is not None:
-            asked = known.where(F.col("status").isin(*SETTLED) | (F.col("round") >= first))
-            missing = missing.join(asked.select("slot"), "slot", "left_anti")
         with writers.staging(spark) as staged:
-            requests = staged(missing)
-            if requests.isEmpty():
-                return number - first
-            documents = staged(fetch(requests).join(requests, "slot", "left_semi"))
-            apply_backfill(documents, root, as_of)
-            status = gaps.repair_status(requests, project.block_status(documents))
-            status.withColumn("round", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(f"{root}/{NAME}")
-        repaired = writers.read_folders(spark, f"{root}/{NAME}", "round", [str(number)], "slot long, status string, round long").where("status = 'repaired'")
-        brought = writers.read_folders(spark, f"{root}/slots").join(repaired.select("slot"), "slot", "left_semi").select("slot", "parent_slot")
-        number += 1
+            # two columns of many small files, which each round is compared with
+            stored = staged(slots.select("slot", "parent_slot"))
+            known = statuses(spark, root)
+            asked = stored.select("slot").limit(0) if known is None else known.where(F.col("status").isin(*SETTLED) | (F.col("round") >= first)).select("slot")
+            if number == first:
+                missing = gaps.missing_slots(stored)
+            else:
+                last = writers.read_folders(spark, f"{root}/{NAME}", "round", [str(number - 1)], "slot long, status string, round long").where("status = 'repaired'")
+                missing = _missing_parents(stored.join(last.select("slot"), "slot", "left_semi"), stored)
+            rounds: list[tuple[DataFrame, DataFrame]] = []
+            while len(rounds) < TOGETHER:
+                requests = staged(missing.join(asked, "slot", "left_anti"))
+                if requests.isEmpty():
+                    break
+                documents = staged(fetch(requests).join(requests, "slot", "left_semi"))
+                rounds.append((requests, documents))
+                asked = asked.unionByName(requests)
+                missing = _missing_parents(project.backfill_slots(documents, now), stored)
+            if rounds:
+                apply_backfill(reduce(DataFrame.unionByName, [documents for _, documents in rounds]), root, as_of)
+                each = [gaps.repair_status(requests, project.block_status(documents)).withColumn("round", F.lit(number + k)) for k, (requests, documents) in enumerate(rounds)]
+                reduce(DataFrame.unionByName, each).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(f"{root}/{NAME}")
+        number += len(rounds)
+        if len(rounds) < TOGETHER:
+            return number - first
+
+
+def _missing_parents(brought: DataFrame, stored: DataFrame) -> DataFrame:
+    """Parents of slots just brought that are not among the stored slots."""
+    parents = brought.where("parent_slot IS NOT NULL").select(F.col("parent_slot").alias("slot")).distinct()
+    return parents.join(stored.select("slot"), "slot", "left_anti")

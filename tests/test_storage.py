@@ -118,3 +118,40 @@ def test_repair_follows_parents_until_nothing_is_left(spark, root):
 
 def test_repair_without_slots(spark, root):
     assert repair.repair(spark, root, lambda missing: missing, at(0)) == 0 and repair.statuses(spark, root) is None
+
+
+@pytest.mark.parametrize("together", [1, 2, 8])
+def test_rounds_of_a_chain_are_stored_by_one_write(spark, root, monkeypatch, together):
+    monkeypatch.setattr(repair, "TOGETHER", together)
+    stored = spark.createDataFrame([(0, at(0), 10, 9, "finalized"), (1, at(0), 20, 19, "finalized")], "seq long, timestamp timestamp, slot long, parent_slot long, status string")
+    writers.upsert_last(stored, root, "slots")
+    documents = blocks(spark, (9, 8, None), (8, 7, None), (7, 6, None), (6, 10, None), (19, None, (-32007, "x")))
+    calls, dropped, true_write = [], [], writers.write_buckets
+    monkeypatch.setattr(writers, "write_buckets", lambda df, path, table, *rest: calls.append(table) or true_write(df, path, table, *rest))
+    monkeypatch.setattr(writers, "drop_folder", lambda *args: dropped.append(args))
+    assert repair.repair(spark, root, lambda missing: documents.join(missing, "slot", "left_semi"), at(0)) == 4
+    assert calls == ["slots"] * -(-4 // together)
+    assert dropped == []  # the minute view has no folders of these days
+    assert {(r.slot, r.status, r.round) for r in repair.statuses(spark, root).collect()} == {(9, "repaired", 0), (19, "unavailable", 0), (8, "repaired", 1), (7, "repaired", 2), (6, "repaired", 3)}
+    assert {r.slot for r in writers.read_folders(spark, f"{root}/slots").collect()} == {10, 20, 9, 8, 7, 6}
+
+
+def test_a_repair_that_failed_asks_for_its_unstored_rounds_again(spark, root, monkeypatch):
+    monkeypatch.setattr(repair, "TOGETHER", 2)
+    stored = spark.createDataFrame([(0, at(0), 10, 9, "finalized")], "seq long, timestamp timestamp, slot long, parent_slot long, status string")
+    writers.upsert_last(stored, root, "slots")
+    documents, asked, broken = blocks(spark, (9, 8, None), (8, 7, None), (7, 6, None), (6, 5, None)), [], [True]
+
+    def fetch(missing):
+        asked.append([r.slot for r in missing.collect()])
+        if broken and asked[-1] == [6]:
+            raise RuntimeError("lost")
+        return documents.join(missing, "slot", "left_semi")
+
+    with pytest.raises(RuntimeError):
+        repair.repair(spark, root, fetch, at(0))
+    assert {r.slot for r in writers.read_folders(spark, f"{root}/slots").collect()} == {10, 9, 8}
+    broken.clear()
+    assert repair.repair(spark, root, fetch, at(0)) == 3
+    assert asked == [[9], [8], [7], [6], [7], [6], [5]]
+    assert {r.slot: r.status for r in repair.statuses(spark, root).collect()} == {9: "repaired", 8: "repaired", 7: "repaired", 6: "repaired", 5: "pending"}
