@@ -105,6 +105,11 @@ def base58_decode(text: Column | str) -> Column:
     return F.arrow_udf(_decode_all, BinaryType())(text)
 
 
+def is_base58(text: Column) -> Column:
+    """Whether ``base58_decode`` gives bytes, as a built-in expression."""
+    return text.rlike(f"^[{base58.BASE58}]*\\z")
+
+
 def base58_decode_each(texts: Column) -> Column:
     """An array of base58 texts as an array of bytes; null where a text is not base58."""
     return F.arrow_udf(_decode_arrays, ArrayType(BinaryType()))(texts)

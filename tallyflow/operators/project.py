@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.functions.columns import base58_decode, base58_decode_each, watched_programs
+from tallyflow.functions.columns import base58_decode, base58_decode_each, is_base58, watched_programs
 from tallyflow.operators.enrich import with_block_time
 
 
@@ -106,12 +106,14 @@ def backfill_transactions(blocks: DataFrame, as_of: Column) -> DataFrame:
     each = blocks.where("error IS NULL").select("slot", F.coalesce(F.timestamp_seconds("blockTime"), as_of).alias("timestamp"), F.explode("transactions").alias("t"))
     keys = F.col("t.transaction.message.accountKeys")
     index = F.transform("t.transaction.message.instructions", lambda x: x["programIdIndex"])
-    texts = each.where("t.meta IS NOT NULL AND get(t.transaction.signatures, 0) IS NOT NULL").select(
+    signature = F.get("t.transaction.signatures", F.lit(0))
+    # the text tells which signatures can be read: a filter on what the function gives would run it twice
+    texts = each.where(F.col("t.meta").isNotNull() & is_base58(signature)).select(
         "slot", "timestamp",
-        base58_decode(F.get("t.transaction.signatures", F.lit(0))).alias("signature"),
+        base58_decode(signature).alias("signature"),
         F.coalesce("t.meta.fee", F.lit(0).cast("long")).alias("fee"),
         F.col("t.meta.err").isNull().alias("success"),
         base58_decode_each(_no_null(watched_programs(index, keys))).alias("program_ids"),
         F.coalesce("t.meta.logMessages", F.array().cast("array<string>")).alias("log_messages"),
     )
-    return texts.where("signature IS NOT NULL").withColumn("program_ids", F.filter("program_ids", lambda x: x.isNotNull()))
+    return texts.withColumn("program_ids", F.filter("program_ids", lambda x: x.isNotNull()))

@@ -597,17 +597,26 @@ def slot_forks(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     """Block documents as JSON files with one document for each slot's transactions; one slot in 13 is unavailable, one in 17 fails."""
-    s = F.col("signature")
-    keys = base58_encode_each(F.transform(F.coalesce("programs", F.array().cast("array<bigint>")), views.digest))
-    joined = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "signature").join(views.lines(spark, sf_dir), "signature", "left")
-    texts = joined.withColumns({"text": base58_encode(views.digest(s)), "keys": keys})
-    message = F.struct(F.col("keys").alias("accountKeys"), F.transform("keys", lambda x, i: F.struct(i.alias("programIdIndex"))).alias("instructions"))
-    signatures = F.when(s % 19 != 0, F.array("text")).otherwise(F.array().cast("array<string>"))
-    meta = F.struct(F.when(F.col("o_orderstatus") == "F", F.lit("failed")).alias("err"), F.round("o_totalprice").cast("long").alias("fee"), F.array(F.lit("x")).alias("logMessages"))
-    tx = F.struct(F.struct(signatures.alias("signatures"), message.alias("message")).alias("transaction"), F.when(s % 7 != 0, meta).alias("meta"))
-    slot = F.col("slot")
+    s, slot = F.col("signature"), F.col("slot")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("signature"), F.struct(F.col("o_orderkey").alias("signature"), "o_orderstatus", "o_totalprice").alias("own"))
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("signature"), F.struct(F.col("l_orderkey").alias("signature"), "l_linenumber", "l_partkey", "l_suppkey").alias("line"))
+    # one shuffle of short rows by slot, and no join: a document has both its transactions and their lines
+    rows = orders.unionByName(lines, allowMissingColumns=True).select(F.floor(s / 4).cast("long").alias("slot"), "own", "line").repartition("slot")
+    each = rows.groupBy("slot").agg(F.collect_list("own").alias("own"), F.sort_array(F.collect_list("line")).alias("lines")).where("size(own) > 0")
+    texts = base58_encode_each(F.transform("own", lambda o: views.digest(o["signature"])))
+    keys = base58_encode_each(F.transform("lines", lambda x: views.digest(x["l_partkey"] % 50)))
+    coded = each.select("slot", "own", F.transform("lines", lambda x: x["signature"]).alias("of"), texts.alias("texts"), keys.alias("keys")).withColumn("lines", F.arrays_zip("of", "keys"))
+    whole = coded.select("slot", F.transform("own", lambda o, i: F.struct(o.alias("own"), F.get("texts", i).alias("text"), F.transform(F.filter("lines", lambda x: x["of"] == o["signature"]), lambda x: x["keys"]).alias("keys"))).alias("each"))
+
+    def document(x):
+        own, keys = x["own"], x["keys"]
+        message = F.struct(keys.alias("accountKeys"), F.transform(keys, lambda _, i: F.struct(i.alias("programIdIndex"))).alias("instructions"))
+        signatures = F.when(own["signature"] % 19 != 0, F.array(x["text"])).otherwise(F.array().cast("array<string>"))
+        meta = F.struct(F.when(own["o_orderstatus"] == "F", F.lit("failed")).alias("err"), F.round(own["o_totalprice"]).cast("long").alias("fee"), F.array(F.lit("x")).alias("logMessages"))
+        return F.struct(F.struct(signatures.alias("signatures"), message.alias("message")).alias("transaction"), F.when(own["signature"] % 7 != 0, meta).alias("meta"))
+
     error = F.when(slot % 13 == 0, F.struct(F.lit(-32007).alias("code"), F.lit("n/a").alias("message"))).when(slot % 17 == 0, F.struct(F.lit(-32000).alias("code"), F.lit("server").alias("message")))
-    grouped = texts.select(F.floor(s / 4).cast("long").alias("slot"), tx.alias("tx")).groupBy("slot").agg(F.collect_list("tx").alias("transactions"))
+    grouped = whole.select("slot", F.transform("each", document).alias("transactions"))
     path = scratch_path(spark, "documents")
     grouped.select(F.to_json(F.struct("slot", F.when(slot % 3 != 0, slot * 60).alias("blockTime"), (slot - 1).alias("parentSlot"), "transactions", error.alias("error")))).write.text(path)
     return readers.read_blocks(spark, path).where("_corrupt_record IS NULL").drop("_corrupt_record")

@@ -58,3 +58,19 @@ def test_empty_batches(n):
     assert base58.encode(pa.nulls(n, pa.binary())).to_pylist() == [None] * n
     assert base58.decode(pa.nulls(n, pa.string())).to_pylist() == [None] * n
     assert base58.each(base58.decode, pa.nulls(n, pa.list_(pa.string()))).to_pylist() == [None] * n
+
+
+@given(st.lists(TEXT, max_size=6))
+@settings(max_examples=20, deadline=None)
+def test_what_can_be_read_is_known_from_the_text(spark, texts):
+    df = spark.createDataFrame([(t,) for t in [*texts, "", "abc\n", "l", None]], "text string")
+    for r in df.select("text", c.is_base58(F.col("text")).alias("can")).collect():
+        assert r.can is (None if r.text is None else base58.decode_one(r.text) is not None)
+
+
+def test_an_item_that_comes_often_is_converted_once():
+    sizes = []
+    lists = pa.array([[b"a", b"b", None], None, [b"a"] * 50, [], [b"b", b"c"]], pa.list_(pa.binary()))
+    got = base58.each(lambda x: sizes.append(len(x)) or base58.encode(x), lists)
+    assert sizes == [3]
+    assert got.to_pylist() == [None if x is None else [None if r is None else base58.encode_one(r) for r in x] for x in lists.to_pylist()]

@@ -303,3 +303,12 @@ def test_lookups(spark, events):
     got = lookup.tx_by_program(rows, project.program_rows(rows), b"P", str(T0), str(at(1)))
     assert [bytes(r.signature) for r in got.collect()] == [b"S"]
     assert lookup.tx_by_program(rows, project.program_rows(rows), b"P", str(at(1)), str(at(9))).count() == 0
+
+
+def test_backfilled_keys_are_decoded_once(spark):
+    good, bad = key_text(b"\x01" * 64), "0OIl"
+    rows = [(([s], ([key_text(b"P"), bad], [(0,), (1,)])), (None, 5, [])) for s in (good, bad, good + "\n", "")] + [(([None], ([], [])), (None, 5, [])), (([good], ([], [])), None)]
+    out = project.backfill_transactions(spark.createDataFrame([(7, 60, 6, None, None, None, rows, None)], BLOCK), F.lit(at(0)))
+    assert sorted((bytes(r.signature), [bytes(p) for p in r.program_ids]) for r in out.collect()) == [(b"", [b"P"]), (b"\x01" * 64, [b"P"])]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_decode_all(") == 1 and plan.count("ArrowEvalPython") == 1
