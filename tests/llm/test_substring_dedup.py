@@ -72,6 +72,30 @@ def test_a_passage_in_most_texts_with_other_surroundings(spark):
     assert substring_dedup(df.limit(0)).collect() == []
 
 
+def test_planted_passages_are_told_by_what_is_removed(spark):
+    """Passages of over 50 words lose their bytes where they have 400; ``n_bytes`` is the size before, whatever goes."""
+    rng = random.Random(9)
+
+    def words(n, size):
+        return " ".join("".join(rng.choice("abcdefghé") for _ in range(size)) for _ in range(n))
+
+    long, short = words(55, 8), words(55, 4)
+    assert len(long.encode()) >= 400 > len(short.encode()) + 2
+    planted = {i: f"{words(40, 6)} {long} {words(40, 6)}" for i in range(4)} | {4: long, 5: long}
+    other = {i: f"{words(40, 6)} {short} {words(40, 6)}" for i in range(10, 14)} | {i: words(130, 6) for i in range(20, 24)} | {30: "", 31: None}
+    texts = {i: (t or "").encode() for i, t in (planted | other).items()}
+    df = spark.createDataFrame(list((planted | other).items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in substring_dedup(df).collect()}
+    assert {i for i, r in rows.items() if r.n_removed} == set(planted)
+    for i, r in rows.items():
+        text, spans = texts[i], [(s.start, s.stop) for s in r.spans]
+        assert r.n_bytes == len(text) and r.n_spans == len(spans) and r.n_removed == sum(b - a for a, b in spans)
+        assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+        kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)], strict=True))
+        assert hashlib.sha256(kept).hexdigest() == r.kept_sha256
+        assert i not in planted or long.encode() not in kept
+
+
 def test_segments_tile_all_starts():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (10, 60, 61, 500)] + [b"a" * 300]
