@@ -58,10 +58,10 @@ def _no_null(column: Column) -> Column:
     return F.coalesce(column, F.array())
 
 
-def program_rows(transactions: DataFrame, base: int = 0) -> DataFrame:
-    """One row for each program of a transaction with its position, counted from ``base``."""
-    return transactions.select("timestamp", "signature", F.posexplode("program_ids").alias("position", "program_id")).select(
-        "timestamp", "signature", "program_id", (F.col("position") + base).cast("short").alias("position")
+def program_rows(transactions: DataFrame, base: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each program of a transaction with its position, counted from ``base``, and the columns in ``keep``."""
+    return transactions.select("timestamp", "signature", *keep, F.posexplode("program_ids").alias("position", "program_id")).select(
+        "timestamp", "signature", "program_id", (F.col("position") + base).cast("short").alias("position"), *keep
     )
 
 

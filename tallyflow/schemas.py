@@ -36,8 +36,9 @@ WATCHLIST = "protocol STRING, kind STRING, key STRING, include_slots BOOLEAN, in
 @dataclass(frozen=True)
 class Table:
     """A stored table: its key, the unit of the time buckets it is laid out by, the order inside a
-    bucket (``-`` for descending columns), columns whose files get Bloom filters, and its own
-    retention where that is shorter than the others'."""
+    bucket (``-`` for descending columns), columns whose files get Bloom filters, its own
+    retention where that is shorter than the others', and whether many thin buckets may share
+    the folder of their month (see ``writers.shared_months``)."""
 
     name: str
     key: tuple[str, ...]
@@ -45,16 +46,17 @@ class Table:
     sort: tuple[str, ...] = ("-timestamp",)
     looked_up: tuple[str, ...] = ()
     max_age: str | None = None
+    shares: bool = False
 
 
 TABLES = {
     t.name: t
     for t in (
         Table("account_updates", ("timestamp", "slot", "pubkey", "write_version"), sort=("pubkey", "-timestamp"), looked_up=("pubkey", "owner")),
-        Table("transactions", ("timestamp", "signature"), looked_up=("signature",)),
-        Table("transaction_program_ids", ("timestamp", "signature", "program_id", "position"), sort=("program_id", "-timestamp"), looked_up=("program_id",), max_age="1 hour"),
-        Table("slots", ("timestamp", "slot"), "day"),
-        Table("slot_health_1m", ("timestamp",), "day"),
+        Table("transactions", ("timestamp", "signature"), looked_up=("signature",), shares=True),
+        Table("transaction_program_ids", ("timestamp", "signature", "program_id", "position"), sort=("program_id", "-timestamp"), looked_up=("program_id",), max_age="1 hour", shares=True),
+        Table("slots", ("timestamp", "slot"), "day", shares=True),
+        Table("slot_health_1m", ("timestamp",), "day", shares=True),
         Table("custom_decoded_events", ("timestamp", "decoder_name", "record_key", "slot", "event_index"), looked_up=("record_key",)),
         Table("pipeline_metrics", ("timestamp", "stream_name", "batch_id"), "hour"),
         Table("lag_sketches", ("timestamp", "stream_name", "batch_id"), "day"),

@@ -39,7 +39,8 @@ def read_table(spark: SparkSession, root: str, name: str, since=None, until=None
             value = F.lit(bound).cast(df.schema["timestamp"].dataType)
             edge = time_bucket(value, unit).cast("timestamp_ntz").cast("string")
             if op == "ge":
-                df = df.where((F.col("bucket") >= edge) & (F.col("timestamp") >= value))
+                # a month's folder may hold later buckets of that month
+                df = df.where(((F.col("bucket") >= edge) | F.startswith(edge, F.col("bucket").cast("string"))) & (F.col("timestamp") >= value))
             else:
                 df = df.where((F.col("bucket") <= edge) & (F.col("timestamp") < value))
     return df

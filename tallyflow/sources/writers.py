@@ -5,11 +5,15 @@ delivered again finds its keys stored and adds nothing, or rewrites the same
 buckets with the same rows. A table's checkpoint row is written last. Buckets
 that a batch does not touch are neither listed, read nor written. Where the key does
 not tell the bucket, an index does (see ``key_index``).
+
+Where a batch brings many buckets of few rows, those of a month share one folder, named by
+the month: files then grow with the rows and not with the hours. The name of a bucket begins
+with that of its month, so two names are of one time if one begins with the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from urllib.parse import unquote
 
@@ -25,6 +29,12 @@ from tallyflow.sources.key_index import KeyIndex
 
 #: Rows of a bucket that go to one file.
 FILE_ROWS = 1_000_000
+#: A batch of more than FEW buckets shares folders in months whose buckets have fewer than THIN rows on average.
+FEW, THIN = 256, 10_000
+#: Rows of a shared folder that go to one file: few, so that all tasks have their part.
+SHARED_ROWS = 100_000
+#: Characters of a month in a bucket's name.
+MONTH = len("2024-01")
 
 
 def bucket_of(time: Column, unit: str) -> Column:
@@ -36,6 +46,46 @@ def with_bucket(df: DataFrame, table: str, unit: str | None = None) -> DataFrame
     return df.withColumn("bucket", bucket_of(F.col("timestamp"), unit or TABLES[table].bucket))
 
 
+def shared_months(spark: SparkSession, path: str, table: str, rows: dict[str, int]) -> set[str]:
+    """Months whose buckets share a folder: those that have one and, if ``rows`` (of each bucket of a
+    batch) are many thin buckets, those that the batch is the first to store. What a month begins with, it keeps."""
+    if not TABLES[table].shares:
+        return set()
+    have = folders(spark, path)
+    shared = {name for name in have if len(name) == MONTH}
+    if len(rows) > FEW:
+        thin: dict[str, list[int]] = {}
+        for name, n in rows.items():
+            if name:
+                thin.setdefault(name[:MONTH], []).append(n)
+        stored = {name[:MONTH] for name in have}
+        shared |= {month for month, each in thin.items() if month not in stored and sum(each) < THIN * len(each)}
+    return shared
+
+
+def in_folders(df: DataFrame, months: set[str]) -> DataFrame:
+    """Rows with the name of their folder as ``bucket``."""
+    month = F.substring("bucket", 1, MONTH)
+    return df.withColumn("bucket", F.when(month.isin(sorted(months)), month).otherwise(F.col("bucket"))) if months else df
+
+
+def folder_rows(rows: dict[str, int], months: set[str]) -> dict[str, int]:
+    """Rows of each folder from those of each bucket."""
+    out: dict[str, int] = {}
+    for name, n in rows.items():
+        folder = name[:MONTH] if name and name[:MONTH] in months else name
+        out[folder] = out.get(folder, 0) + n
+    return out
+
+
+def overlapping(have: Iterable[str], names: Iterable[str]) -> set[str]:
+    """Of the folders in ``have`` those that may hold rows of the named buckets or folders."""
+    names = set(names)
+    inside = {n[:MONTH] for n in names if n}
+    months = {n for n in names if n and len(n) == MONTH}
+    return {h for h in have if h in names or (len(h) == MONTH and h in inside) or h[:MONTH] in months}
+
+
 def _path(spark: SparkSession, text: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(text)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -64,9 +114,9 @@ def folders(spark: SparkSession, path: str, column: str = "bucket") -> dict[str,
 def read_folders(spark: SparkSession, path: str, column: str = "bucket", names: Sequence[str] | None = None, schema=None) -> DataFrame | None:
     """Rows of some partitions (default: all) of a table; None if it has none of them.
 
-    Other partitions are not read, nor listed unless they are few beside many."""
+    A folder that buckets share is read whole, and ``bucket`` is its name. Other partitions are not read, nor listed unless they are few beside many."""
     have = folders(spark, path, column)
-    wanted = set(have if names is None else names) & have.keys()
+    wanted = set(have) if names is None else overlapping(have, names) if column == "bucket" else set(names) & have.keys()
     chosen = [have[n] for n in have if n in wanted]
     if not chosen:
         return None
@@ -104,8 +154,9 @@ def bucket_rows(batch: DataFrame) -> dict[str, int]:
 
 
 def _dealt(df: DataFrame, rows: dict[str, int]) -> DataFrame:
-    """Rows by bucket to as many tasks as there are; a bucket of more than FILE_ROWS rows goes to several."""
-    large = {name: -(-n // FILE_ROWS) for name, n in rows.items() if n > FILE_ROWS}
+    """Rows by bucket to as many tasks as there are; a bucket of more than FILE_ROWS rows goes to several, a shared folder of more than SHARED_ROWS too."""
+    most = {name: SHARED_ROWS if name and len(name) == MONTH else FILE_ROWS for name in rows}
+    large = {name: -(-n // most[name]) for name, n in rows.items() if n > most[name]}
     tasks = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(rows) + sum(large.values()))
     if not large:
         return df.repartition(max(1, tasks), "bucket")
@@ -168,6 +219,8 @@ def insert_if_absent(batch: DataFrame, root: str, table: str, order: str = "seq"
             rows = staged(absent(rows, stored, key))
             counts = bucket_rows(rows)
         if counts:
+            months = shared_months(spark, path, table, counts)
+            rows, counts = in_folders(rows, months), folder_rows(counts, months)
             for each in entries:
                 each.add(rows)
             write_buckets(rows, path, table, "append", counts)
@@ -182,6 +235,8 @@ def upsert_last(batch: DataFrame, root: str, table: str, order: str = "seq") ->
         plain = staged(with_bucket(last_by_key(batch, spec.key, order).drop(order), table))
         counts = bucket_rows(plain)
         old = read_folders(spark, path, names=list(counts), schema=plain.schema)
+        months = shared_months(spark, path, table, counts)
+        plain, counts = in_folders(plain, months), folder_rows(counts, months)
         whole = plain if old is None else staged(plain.unionByName(absent(old, plain, spec.key)))
         if counts:
             write_buckets(whole, path, table, "overwrite", counts if old is None else bucket_rows(whole))
@@ -208,69 +263,85 @@ def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
     path, unit = f"{root}/{table}", TABLES[table].bucket
     have = folders(spark, path)
     edge = spark.range(1).select(bucket_of(F.lit(cutoff).cast("timestamp"), unit)).first()[0]
-    # Names of buckets sort like their times.
+    # Names of buckets sort like their times, a month before its own. Both may hold the boundary.
+    edges = overlapping(have, [edge])
     stored = read_folders(spark, path, names=[n for n in have if n <= edge])
     if stored is None:
         return 0
     limit = F.lit(cutoff).cast(stored.schema["timestamp"].dataType)
     counts = {r.bucket: r.n for r in stored.where(F.col("timestamp") < limit).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     with staging(spark) as staged:
-        if edge in counts:
-            rest = staged(stored.where((F.col("bucket") == edge) & (F.col("timestamp") >= limit)))
-            if rest.isEmpty():
-                drop_folder(spark, path, "bucket", edge)
-            else:
+        cut = edges & counts.keys()
+        if cut:
+            rest = staged(stored.where(F.col("bucket").isin(sorted(cut)) & (F.col("timestamp") >= limit)))
+            left = bucket_rows(rest)
+            if left:
                 write_buckets(rest, path, table, "overwrite")
-        for name in counts:
-            if name != edge:
+            for name in cut - left.keys():
                 drop_folder(spark, path, "bucket", name)
+        for name in counts.keys() - edges:
+            drop_folder(spark, path, "bucket", name)
     return sum(counts.values())
 
 
-def move_rows(moved: DataFrame, root: str, table: str, indexes: Sequence[KeyIndex] = ()) -> None:
-    """Give stored rows (with their ``bucket``) the time in ``to_time``, in the bucket of that time.
+def with_target(rows: DataFrame, table: str) -> DataFrame:
+    """Stored rows with the bucket of their ``to_time`` as ``to_bucket``, null without one; ``move_rows`` takes a copy of this."""
+    return rows.withColumn("to_bucket", bucket_of(F.col("to_time"), TABLES[table].bucket))
+
+
+def move_rows(rows: DataFrame, root: str, table: str, indexes: Sequence[KeyIndex] = ()) -> None:
+    """Give stored rows the time in ``to_time``, in the bucket of that time.
 
-    New rows are added before old ones go, so it can be repeated after a failure at any place.
-    A bucket that gets rows and has rows that stay in it is written once, with these replaced.
+    ``rows`` are a copy of all rows of some folders, with their ``bucket`` and ``to_bucket``; those that
+    stay have no ``to_time``. So what a folder holds afterwards follows from the copy alone. New rows are added
+    before old ones go, so it can be repeated after a failure at any place. A folder with
+    rows that get another time inside it is written once, with these replaced.
     """
-    spark, spec, path = moved.sparkSession, TABLES[table], f"{root}/{table}"
-    columns = [c for c in moved.columns if c not in ("to_time", "bucket")]
+    spark, spec, path = rows.sparkSession, TABLES[table], f"{root}/{table}"
+    columns = [c for c in rows.columns if c not in ("to_time", "to_bucket", "bucket")]
+    moves = F.col("to_time").isNotNull()
+    plan = rows.where(moves).withColumns({"from_time": F.col("timestamp"), "from_bucket": F.col("bucket"), "timestamp": F.col("to_time"), "bucket": F.col("to_bucket")})
+    counts = bucket_rows(plan)
+    months = shared_months(spark, path, table, counts)
+    plan, counts = in_folders(plan, months), folder_rows(counts, months)
+    inside = F.col("from_bucket") == F.col("bucket")
+    found = plan.groupBy("from_bucket").agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("leave")).collect()
+    changed, left = {r["from_bucket"] for r in found if r["inside"]}, {r["from_bucket"]: r["leave"] for r in found if r["leave"]}
+    staying, leaving = rows.where(~moves).select(*columns, "bucket"), plan.where(~inside).select(*[F.col("from_time" if c == "timestamp" else c).alias(c) for c in columns], F.col("from_bucket").alias("bucket"))
+    kept = bucket_rows(staying)
+    fresh = plan.select(*columns, "bucket")
+
+    def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
+        # as many short rows as folders, of which Spark does not know the size
+        return df.join(F.broadcast(spark.createDataFrame([(n,) for n in sorted(names)], "bucket string")), "bucket", "left_semi").select(*columns, "bucket")
+
     with staging(spark) as staged:
-        plan = staged(with_bucket(moved.withColumns({"from_time": F.col("timestamp"), "from_bucket": F.col("bucket"), "timestamp": F.col("to_time")}), table))
-        fresh = plan.select(*columns, "bucket")
-        names = {r["from_bucket"]: r["leave"] for r in plan.groupBy("from_bucket").agg(F.count_if(F.col("from_bucket") != F.col("bucket")).alias("leave")).collect()}
-        counts = bucket_rows(fresh)
         there = read_folders(spark, path, names=list(counts), schema=fresh.schema)
-        if there is not None:
+        if there is not None and _meet(fresh, there, spec.key):
             fresh = staged(absent(fresh, there, spec.key))
             counts = bucket_rows(fresh)
         if counts:
             for each in indexes:
                 each.add(fresh)
-        stay = {r["bucket"] for r in plan.where(F.col("from_bucket") == F.col("bucket")).select("bucket").distinct().collect()}
-        own = read_folders(spark, path, names=list(stay), schema=fresh.schema)
-        if own is not None:
-            gone = plan.where(F.col("from_bucket") == F.col("bucket")).withColumn("timestamp", F.col("from_time"))
-            added = spark.createDataFrame([(n,) for n in sorted(stay)], "bucket string")
-            whole = staged(absent(own, gone, spec.key).unionByName(fresh.join(added, "bucket", "left_semi").select(*own.columns)))
-            write_buckets(whole, path, table, "overwrite", bucket_rows(whole))
-            fresh = fresh.join(added, "bucket", "left_anti").select(*own.columns)
-            counts = {n: rows for n, rows in counts.items() if n not in stay}
-        if counts:
-            write_buckets(fresh, path, table, "append", counts)
-        left = [n for n, leave in names.items() if leave]
-        old = read_folders(spark, path, names=left, schema=fresh.schema)
-        if old is None:
-            return
-        away = plan.where(F.col("from_bucket") != F.col("bucket")).withColumn("timestamp", F.col("from_time"))
-        rest = staged(absent(old, away, spec.key))
-        kept = bucket_rows(rest)
-        if kept:
-            write_buckets(rest, path, table, "overwrite", kept)
-        for name in set(left) - kept.keys():
+        if changed:
+            whole = staying.unionByName(leaving).unionByName(fresh)
+            write_buckets(only(whole, changed), path, table, "overwrite", {n: kept.get(n, 0) + left.get(n, 0) + counts.get(n, 0) for n in changed})
+        added = {n: rows for n, rows in counts.items() if n not in changed}
+        if added:
+            write_buckets(only(fresh, added) if changed else fresh, path, table, "append", added)
+        rest = {n: kept.get(n, 0) + counts.get(n, 0) for n in left}
+        if any(rest.values()):
+            write_buckets(only(staying.unionByName(fresh), left), path, table, "overwrite", {n: rows for n, rows in rest.items() if rows})
+        for name in sorted(n for n, rows in rest.items() if not rows):
             drop_folder(spark, path, "bucket", name)
 
 
+def _meet(rows: DataFrame, stored: DataFrame, key: Sequence[str]) -> bool:
+    """Whether keys may be in both, by their hashes. If not, as when no write has failed, rows need not be compared."""
+    hashed = F.xxhash64(*key).alias("hash")
+    return not rows.select(hashed).join(stored.select(hashed), "hash", "left_semi").isEmpty()
+
+
 def write_checkpoint(progress: DataFrame, root: str, stream: str, reason: str = "size") -> None:
     """Replace the stream's row with the progress of the batch just stored.
 

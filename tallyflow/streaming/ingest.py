@@ -43,15 +43,18 @@ def insert_transactions(transactions: DataFrame, root: str) -> tuple[int, int]:
         counts = {r["bucket"]: (r["n"], r["programs"]) for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("program_ids").isNotNull(), F.size("program_ids"))), F.lit(0)).alias("programs")).collect()}
         if not counts:
             return 0, 0
+        added = {name: n for name, (n, _) in counts.items()}
+        months = writers.shared_months(spark, table, "transactions", added)
+        rows, added = writers.in_folders(rows, months), writers.folder_rows(added, months)
+        programs = writers.folder_rows({name: n for name, (_, n) in counts.items() if n}, months)
         if names:
             _drop_programs(rows, root, names, staged)
         for each in (signatures, slots):
             each.add(rows)
-        programs = {name: n for name, (_, n) in counts.items() if n}
         if programs:
-            writers.write_buckets(writers.with_bucket(project.program_rows(rows), "transaction_program_ids"), children, "transaction_program_ids", "append", programs)
-        writers.write_buckets(rows.drop("program_ids"), table, "transactions", "append", {name: n for name, (n, _) in counts.items()})
-    return sum(n for n, _ in counts.values()), sum(programs.values())
+            writers.write_buckets(project.program_rows(rows, keep=("bucket",)), children, "transaction_program_ids", "append", programs)
+        writers.write_buckets(rows.drop("program_ids"), table, "transactions", "append", added)
+    return sum(added.values()), sum(programs.values())
 
 
 def _drop_programs(transactions: DataFrame, root: str, names: list[str], staged: Callable[[DataFrame], DataFrame]) -> None:

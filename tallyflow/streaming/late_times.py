@@ -67,15 +67,18 @@ def correct_times(times: DataFrame, root: str) -> dict[str, int]:
                 continue
             kind = stored.schema["timestamp"].dataType
             to = times.select("slot", F.col("block_time").cast(kind).alias("to_time"))
-            # two columns tell whether any row moves; whole rows are read for these slots only
-            late = staged(stored.select("slot", "timestamp").join(to, "slot").where("timestamp <> to_time").select("slot", "to_time").distinct())
-            if late.isEmpty():
+            # three columns tell which folders hold rows that move; whole rows are read of these only
+            late = staged(stored.select("bucket", "slot", "timestamp").join(to, "slot").where("timestamp <> to_time").select("bucket", "slot", "to_time").distinct())
+            own = writers.read_folders(spark, f"{root}/{table}", names=[r.bucket for r in late.select("bucket").distinct().collect()], schema=stored.schema)
+            if own is None:
                 continue
-            wrong = staged(stored.join(late, "slot").where("timestamp <> to_time").select(*stored.columns, "to_time"))
+            to_time = F.when(F.col("timestamp") != F.col("to_time"), F.col("to_time")).alias("to_time")
+            rows = staged(writers.with_target(own.join(late.select("slot", "to_time").distinct(), "slot", "left").select(*stored.columns, to_time), table))
+            wrong = rows.where("to_time IS NOT NULL")
             moved[table] = wrong.count()
             if table == "transactions":
                 _move_programs(spark, wrong, root, staged)
-            writers.move_rows(wrong, root, table, [slot_index, *([signatures] if table == "transactions" else [])])
+            writers.move_rows(rows, root, table, [slot_index, *([signatures] if table == "transactions" else [])])
     return moved
 
 
@@ -84,8 +87,9 @@ def _move_programs(spark: SparkSession, transactions: DataFrame, root: str, stag
     programs = writers.read_folders(spark, f"{root}/transaction_program_ids", names=names)
     if programs is None:
         return
-    own = staged(programs.join(transactions.select("timestamp", "signature", "to_time"), ["timestamp", "signature"]).select(*programs.columns, "to_time"))
-    if not own.isEmpty():
+    # programs have the bucket of their transaction
+    own = staged(programs.join(transactions.select("timestamp", "signature", "to_time", "to_bucket"), ["timestamp", "signature"], "left").select(*programs.columns, "to_time", "to_bucket"))
+    if not own.where("to_time IS NOT NULL").isEmpty():
         writers.move_rows(own, root, "transaction_program_ids")
 
 

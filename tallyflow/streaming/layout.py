@@ -22,10 +22,12 @@ def layout_plan(spark: SparkSession, root: str, table: str, as_of, settle: str =
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}")
     unit = TABLES[table].bucket
     length = unit if " " in unit else f"1 {unit}"
-    found = files.groupBy(F.col("bucket").cast("timestamp_ntz").alias("begins")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-    closed = F.col("begins") + F.expr(f"INTERVAL {length}") + F.expr(f"INTERVAL {settle}") <= F.lit(as_of).cast("timestamp_ntz")
+    found = files.groupBy(F.col("bucket").cast("string").alias("bucket")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    begins = F.col("bucket").cast("timestamp_ntz")
+    ends = F.when(F.length("bucket") == writers.MONTH, F.add_months(begins.cast("date"), 1).cast("timestamp_ntz")).otherwise(begins + F.expr(f"INTERVAL {length}"))
+    closed = ends + F.expr(f"INTERVAL {settle}") <= F.lit(as_of).cast("timestamp_ntz")
     wanted = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(file_bytes))).cast("long")
-    return found.where(closed).select(F.col("begins").cast("string").alias("bucket"), "files", "bytes", wanted.alias("wanted")).where("files > wanted")
+    return found.where(closed).select("bucket", "files", "bytes", wanted.alias("wanted")).where("files > wanted")
 
 
 def run_layout(spark: SparkSession, root: str, as_of, tables: Sequence[str] = tuple(TABLES), settle: str = SETTLE, file_bytes: int = FILE_BYTES) -> dict[str, int]:

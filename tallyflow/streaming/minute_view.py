@@ -22,7 +22,8 @@ def refresh(rows: DataFrame, root: str) -> int:
     minutes = rows.select(time_bucket(F.col("timestamp"), "minute").cast(rows.schema["timestamp"].dataType).alias("minute")).where("minute IS NOT NULL").distinct()
     with writers.staging(spark) as staged:
         touched = staged(writers.with_bucket(minutes.withColumnRenamed("minute", "timestamp"), VIEW))
-        names = [r.bucket for r in touched.select("bucket").distinct().collect()]
+        days = writers.bucket_rows(touched)
+        names = list(days)
         stored = writers.read_folders(spark, f"{root}/slots", names=names)
         if stored is None:
             return 0
@@ -30,7 +31,8 @@ def refresh(rows: DataFrame, root: str) -> int:
         wanted = touched.select(F.col("timestamp").cast(kind).alias("minute"))
         own = stored.withColumn("minute", time_bucket(F.col("timestamp"), "minute").cast(kind)).join(wanted, "minute", "left_semi")
         fresh = health_of(own, "minute").withColumnRenamed("bucket", "timestamp")
-        fresh = writers.with_bucket(fresh, VIEW)
+        # as many rows as minutes at most
+        fresh = writers.in_folders(writers.with_bucket(fresh, VIEW), writers.shared_months(spark, f"{root}/{VIEW}", VIEW, days))
         there = writers.read_folders(spark, f"{root}/{VIEW}", names=names, schema=fresh.schema)
         if there is not None:
             fresh = fresh.unionByName(there.join(wanted.withColumnRenamed("minute", "timestamp"), "timestamp", "left_anti").select(*fresh.columns))
@@ -39,7 +41,7 @@ def refresh(rows: DataFrame, root: str) -> int:
         if left:
             writers.write_buckets(fresh, f"{root}/{VIEW}", VIEW, "overwrite", left)
         # most days without such a minute have no folder to drop, and each call takes its time
-        for name in (set(names) - left.keys()) & writers.folders(spark, f"{root}/{VIEW}").keys():
+        for name in writers.overlapping(writers.folders(spark, f"{root}/{VIEW}"), names) - left.keys():
             writers.drop_folder(spark, f"{root}/{VIEW}", "bucket", name)
         return wanted.count()
 
@@ -51,6 +53,6 @@ def stored_health(spark: SparkSession, root: str, as_of: Column, lookback: str =
     if not have:
         raise ValueError(f"no minute view is stored under {root}")
     # the newest day is read in any case, for the schema
-    found = writers.read_folders(spark, f"{root}/{VIEW}", names=[n for n in have if n == have[-1] or since[:10] <= n[:10]])
+    found = writers.read_folders(spark, f"{root}/{VIEW}", names=[n for n in have if n == have[-1] or since[: len(n[:10])] <= n[:10]])
     kind = found.schema["timestamp"].dataType
     return found.where(F.col("timestamp") > F.lit(since).cast(kind)).select(F.col("timestamp").alias("bucket"), "slot_count", "skipped_slots", "skip_rate", "slots_per_second")
