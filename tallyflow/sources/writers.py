@@ -153,9 +153,9 @@ def bucket_rows(batch: DataFrame) -> dict[str, int]:
     return {r["bucket"]: r["n"] for r in batch.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _dealt(df: DataFrame, rows: dict[str, int]) -> DataFrame:
-    """Rows by bucket to as many tasks as there are; a bucket of more than FILE_ROWS rows goes to several, a shared folder of more than SHARED_ROWS too."""
-    most = {name: SHARED_ROWS if name and len(name) == MONTH else FILE_ROWS for name in rows}
+def _dealt(df: DataFrame, rows: dict[str, int], shared_rows: int) -> DataFrame:
+    """Rows by bucket to as many tasks as there are; a bucket of more than FILE_ROWS rows goes to several, a shared folder of more than ``shared_rows`` too."""
+    most = {name: shared_rows if name and len(name) == MONTH else FILE_ROWS for name in rows}
     large = {name: -(-n // most[name]) for name, n in rows.items() if n > most[name]}
     tasks = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(rows) + sum(large.values()))
     if not large:
@@ -164,7 +164,7 @@ def _dealt(df: DataFrame, rows: dict[str, int]) -> DataFrame:
     return df.withColumn("__file", F.pmod(F.xxhash64(*[c for c in df.columns if c != "bucket"]), over)).repartition(max(1, tasks), "bucket", "__file").drop("__file")
 
 
-def write_buckets(df: DataFrame, path: str, table: str, mode: str, rows: dict[str, int] | None = None) -> None:
+def write_buckets(df: DataFrame, path: str, table: str, mode: str, rows: dict[str, int] | None = None, shared_rows: int | None = None) -> None:
     """Lay rows out by bucket, sorted inside files.
 
     With the ``rows`` of each bucket many small buckets are written side by side; without
@@ -172,7 +172,7 @@ def write_buckets(df: DataFrame, path: str, table: str, mode: str, rows: dict[st
     """
     spec = TABLES[table]
     order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in spec.sort if c.lstrip("-") in df.columns]
-    laid = df.hint("rebalance", "bucket") if rows is None else _dealt(df, rows)
+    laid = df.hint("rebalance", "bucket") if rows is None else _dealt(df, rows, shared_rows or SHARED_ROWS)
     out = laid.sortWithinPartitions("bucket", *order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
     if looked_up := [c for c in spec.looked_up if c in df.columns]:
         # filters from 1 KB to 1 MB, as small as the values of a file allow
@@ -255,7 +255,8 @@ def compact(spark: SparkSession, root: str, table: str, buckets: Sequence[str])
         found = read_folders(spark, path, names=[str(b) for b in buckets])
         if found is not None:
             rows = staged(found)
-            write_buckets(rows, path, table, "overwrite", bucket_rows(rows))
+            # few files, also of a shared folder, or the layout job would pick it again
+            write_buckets(rows, path, table, "overwrite", bucket_rows(rows), FILE_ROWS)
 
 
 def prune(spark: SparkSession, root: str, table: str, cutoff) -> int:
